@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from webloom.llm import line_dedup
-from webloom.session import ship, table
+from webloom.llm import bpe, line_dedup, packing
+from webloom.session import table
+
+
+def op3_bpe_roundtrip(spark, sf_dir):
+    return bpe.digest_columns(bpe.encode_decode(table(spark, sf_dir, "documents")))
 
 
 def op4_line_dedup(spark, sf_dir):
     return line_dedup.digest_columns(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_line_dedup": op4_line_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
