@@ -58,7 +58,11 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="webloom-shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(found)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = store.makeQualified(target).toString().rstrip("/")
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def work_path(spark: SparkSession, label: str) -> str:
