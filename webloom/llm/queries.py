@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, line_dedup, packing
+from webloom.llm import bpe, line_dedup, packing, repair
 from webloom.session import table
 
 
@@ -18,10 +18,15 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op8_repair_token_store(spark, sf_dir):
+    return repair.digest_columns(repair.token_store_roundtrip(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_line_dedup": op4_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_repair_token_store": op8_repair_token_store,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
