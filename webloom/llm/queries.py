@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, line_dedup, packing, repair
+from webloom.llm import bpe, langid, line_dedup, packing, repair
 from webloom.session import table
 
 
@@ -22,11 +22,16 @@ def op8_repair_token_store(spark, sf_dir):
     return repair.digest_columns(repair.token_store_roundtrip(table(spark, sf_dir, "documents")))
 
 
+def op10_language_id(spark, sf_dir):
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_line_dedup": op4_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_repair_token_store": op8_repair_token_store,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
