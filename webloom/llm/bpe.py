@@ -12,6 +12,7 @@ Any columns other than the text pass through ``encode_decode`` unchanged.
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.columns import text_list, with_computed
-from webloom.llm.tokens import PieceEncoder, byte_alphabet, load_tokenizer, vocabulary_path
+from webloom.llm.tokens import byte_alphabet, load_tokenizer, vocabulary_path
 
 _FAR = np.int64(1) << 40
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -209,7 +210,97 @@ class SpeculativeBpe:
         return out, counts, len(redo)
 
 
-class WordEncoder(PieceEncoder):
+class _Seen(dict):
+    """Piece -> slot; an unknown piece gets the next slot and waits to be encoded."""
+
+    def __init__(self, owner):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, piece):
+        slot = self.owner.slots
+        self.owner.slots += 1
+        self.owner.waiting.append((piece, self is self.owner.first))
+        self[piece] = slot
+        return slot
+
+
+class SlotEncoder:
+    """Ids of many texts at once; ``max_pieces`` bounds the cache of a worker."""
+
+    def __init__(self, name_or_path: str, max_pieces: int = 600_000):
+        self.tokenizer = load_tokenizer(name_or_path)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.max_pieces = max_pieces
+        self.reset()
+
+    def reset(self):
+        self.slots, self.waiting = 0, []
+        self.first, self.rest = _Seen(self), _Seen(self)
+        self.flat = np.empty(1 << 20, np.uint32)
+        self.used = 0
+        self.start = np.empty(1 << 16, np.int64)
+        self.length = np.empty(1 << 16, np.int32)
+        self.hits = np.zeros(1 << 16, np.int32)
+        self.filled = 0
+
+    def _age(self):
+        """Forget the pieces that were met once; the others keep their ids under new slots."""
+        keep = self.hits[: self.filled] > 1
+        if keep.sum() > self.max_pieces // 2:
+            self.reset()
+            return
+        slot = np.cumsum(keep) - 1
+        old_start, lengths = self.start[: self.filled][keep], self.length[: self.filled][keep].astype(np.int64)
+        sizes = np.maximum(lengths, 0)
+        to = np.cumsum(sizes)
+        ids = self.flat[np.repeat(old_start - (to - sizes), sizes) + np.arange(int(to[-1]) if len(to) else 0)]
+        old = [(self.first, dict(self.first)), (self.rest, dict(self.rest))]
+        hits = self.hits[: self.filled][keep]
+        self.first.clear()
+        self.rest.clear()
+        for seen, items in old:
+            seen.update((piece, int(slot[k])) for piece, k in items.items() if keep[k])
+        self.slots = self.filled = len(sizes)
+        self.start[: self.filled], self.length[: self.filled] = to - sizes, lengths
+        self.hits[:] = 0
+        self.hits[: self.filled] = hits // 2 + 1
+        self.flat[: len(ids)], self.used = ids, len(ids)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end (uint32), and the end of each text among them (int64)."""
+        if self.slots > self.max_pieces:
+            self._age()
+        slots, ends = [], np.zeros(len(texts), np.int64)
+        first, rest = self.first, self.rest.__getitem__
+        for i, text in enumerate(texts):
+            pieces = text.split(" ")
+            slots.append(first[pieces[0]])
+            slots.extend(map(rest, itertools.islice(pieces, 1, None)))
+            ends[i] = len(slots)
+        self._absorb()
+        slots = np.array(slots, np.int64)
+        self.hits[: self.filled] += np.bincount(slots, minlength=self.filled)[: self.filled].astype(np.int32)
+        lengths = self.length[slots] if len(slots) else np.zeros(0, np.int32)
+        bad = np.flatnonzero(lengths < 0)
+        whole = np.unique(np.searchsorted(ends, bad, side="right")) if len(bad) else ()
+        lengths = np.maximum(lengths, 0).astype(np.int64)
+        to = np.cumsum(lengths)
+        total = int(to[-1]) if len(to) else 0
+        shift = np.repeat(self.start[slots] - (to - lengths), lengths)
+        ids = self.flat[shift + np.arange(total)] if total else np.zeros(0, np.uint32)
+        id_ends = np.concatenate([[0], to])[ends]
+        if len(whole):
+            parts, begin = [], np.concatenate([[0], id_ends[:-1]])
+            replaced = {int(i): np.array(e.ids, np.uint32) for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False))}
+            for i in range(len(texts)):
+                parts.append(replaced[i] if i in replaced else ids[begin[i] : id_ends[i]])
+            ids = np.concatenate(parts)
+            id_ends = np.cumsum([len(p) for p in parts])
+        return ids, id_ends
+
+
+class WordEncoder(SlotEncoder):
     """Whole-text ids of a word-end BPE vocabulary (lower case, white space dropped).
 
     White space never joins two words here, so every space is a safe place to cut. The library

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, langid, line_dedup, packing, repair
+from webloom.llm import bpe, langid, line_dedup, packing, repair, toxicity
 from webloom.session import table
 
 
+def op2_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.digest_columns(toxicity.toxicity(docs, labels))
+
+
 def op3_bpe_roundtrip(spark, sf_dir):
     return bpe.digest_columns(bpe.encode_decode(table(spark, sf_dir, "documents")))
 
@@ -27,6 +32,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_line_dedup": op4_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
+from array import array
 
 import numpy as np
 import regex
@@ -18,6 +20,9 @@ import regex
 #: Fixed value: the public pattern by which this family of vocabularies splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The same for texts of ASCII characters.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
+
 _MODELS: dict[str, object] = {}
 
 
@@ -57,140 +62,71 @@ def byte_alphabet() -> list[str]:
     return out
 
 
-class _Seen(dict):
-    """Piece -> slot; an unknown piece gets the next slot and waits to be encoded."""
+class _Unsafe(Exception):
+    """A text that must go through the library whole."""
+
 
-    def __init__(self, owner):
+class _Pieces(dict):
+    """Piece -> its ids as bytes. Pieces that a whole generation did not meet are forgotten."""
+
+    def __init__(self, encode, limit: int):
         super().__init__()
-        self.owner = owner
+        self.encode, self.limit, self.older = encode, limit, {}
 
     def __missing__(self, piece):
-        slot = self.owner.slots
-        self.owner.slots += 1
-        self.owner.waiting.append((piece, self is self.owner.first))
-        self[piece] = slot
-        return slot
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        self[piece] = ids
+        return ids
+
+    def age(self):
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
 
 
 class PieceEncoder:
-    """Ids of many texts at once; ``max_pieces`` bounds the cache of a worker."""
+    """Ids of many texts at once; ``max_pieces`` bounds a generation of a worker's cache."""
 
-    def __init__(self, name_or_path: str, max_pieces: int = 600_000):
+    def __init__(self, name_or_path: str, max_pieces: int = 400_000):
         self.tokenizer = load_tokenizer(name_or_path)
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PATTERN)
+        self.split = regex.compile(PATTERN).findall
+        self.split_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.max_pieces = max_pieces
-        self.reset()
-
-    def reset(self):
-        self.slots, self.waiting = 0, []
-        self.first, self.rest = _Seen(self), _Seen(self)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.used = 0
-        self.start = np.empty(1 << 16, np.int64)
-        self.length = np.empty(1 << 16, np.int32)
-        self.hits = np.zeros(1 << 16, np.int32)
-        self.filled = 0
-
-    def _age(self):
-        """Forget the pieces that were met once; the others keep their ids under new slots."""
-        keep = self.hits[: self.filled] > 1
-        if keep.sum() > self.max_pieces // 2:
-            self.reset()
-            return
-        slot = np.cumsum(keep) - 1
-        old_start, lengths = self.start[: self.filled][keep], self.length[: self.filled][keep].astype(np.int64)
-        sizes = np.maximum(lengths, 0)
-        to = np.cumsum(sizes)
-        ids = self.flat[np.repeat(old_start - (to - sizes), sizes) + np.arange(int(to[-1]) if len(to) else 0)]
-        old = [(self.first, dict(self.first)), (self.rest, dict(self.rest))]
-        hits = self.hits[: self.filled][keep]
-        self.first.clear()
-        self.rest.clear()
-        for seen, items in old:
-            seen.update((piece, int(slot[k])) for piece, k in items.items() if keep[k])
-        self.slots = self.filled = len(sizes)
-        self.start[: self.filled], self.length[: self.filled] = to - sizes, lengths
-        self.hits[:] = 0
-        self.hits[: self.filled] = hits // 2 + 1
-        self.flat[: len(ids)], self.used = ids, len(ids)
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            plain = word if word.isascii() and word[0] > " " else word.encode().decode("latin-1").translate(self.alphabet)
-            found = self.words[word] = tuple([t.id for t in self.model.tokenize(plain)])
-        return found
-
-    def _unsafe(self, piece: str, is_first: bool) -> bool:
-        if not piece:
-            return not is_first
-        return piece[-1].isspace() or any(s in piece for s in self.specials)
-
-    def _absorb(self):
-        """Encode the waiting pieces; length -1 marks one after which a text must go whole."""
-        starts, lengths, ids, at = [], [], [], self.used
-        for piece, is_first in self.waiting:
-            starts.append(at)
-            whole = piece if is_first else " " + piece
-            if piece.isalpha():
-                new = self._word(whole)
-            elif self._unsafe(piece, is_first):
-                lengths.append(-1)
-                continue
-            else:
-                new = [i for w in self.split.findall(whole) for i in self._word(w)]
-            ids += new
-            lengths.append(len(new))
-            at += len(new)
-        n = self.filled + len(starts)
-        if n > len(self.start):
-            self.start = np.concatenate([self.start, np.empty(n, np.int64)])
-            self.length = np.concatenate([self.length, np.empty(n, np.int32)])
-            self.hits = np.concatenate([self.hits, np.zeros(n, np.int32)])
-        if at > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(at, np.uint32)])
-        self.start[self.filled : n] = starts
-        self.length[self.filled : n] = lengths
-        self.flat[self.used : at] = ids
-        self.filled, self.used, self.waiting = n, at, []
+        self.words = _Pieces(self._word, max_pieces // 2)
+        self.rest = _Pieces(lambda piece: self._piece(" " + piece, piece), max_pieces)
+        self.first = _Pieces(lambda piece: self._piece(piece, piece) if piece else b"", max_pieces // 8)
+
+    def _word(self, word: str) -> bytes:
+        plain = word if word.isascii() and word[0] > " " else word.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+
+    def _piece(self, whole: str, piece: str) -> bytes:
+        if piece.isalpha():
+            return self.words[whole]
+        if not piece or piece[-1].isspace() or any([s in piece for s in self.specials]):
+            raise _Unsafe
+        split = self.split_ascii if whole.isascii() else self.split
+        return b"".join(map(self.words.__getitem__, split(whole)))
+
+    def encode_one(self, text: str) -> bytes:
+        """The ids of a text as unsigned 32-bit integers."""
+        pieces = text.split(" ")
+        try:
+            head = self.first[pieces[0]]
+            return head + b"".join(map(self.rest.__getitem__, itertools.islice(pieces, 1, None)))
+        except _Unsafe:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (uint32), and the end of each text among them (int64)."""
-        if self.slots > self.max_pieces:
-            self._age()
-        if 2 * len(self.words) > self.max_pieces:
-            self.words.clear()
-        slots, ends = [], np.zeros(len(texts), np.int64)
-        first, rest = self.first, self.rest.__getitem__
-        for i, text in enumerate(texts):
-            pieces = text.split(" ")
-            slots.append(first[pieces[0]])
-            slots.extend(map(rest, itertools.islice(pieces, 1, None)))
-            ends[i] = len(slots)
-        self._absorb()
-        slots = np.array(slots, np.int64)
-        self.hits[: self.filled] += np.bincount(slots, minlength=self.filled)[: self.filled].astype(np.int32)
-        lengths = self.length[slots] if len(slots) else np.zeros(0, np.int32)
-        bad = np.flatnonzero(lengths < 0)
-        whole = np.unique(np.searchsorted(ends, bad, side="right")) if len(bad) else ()
-        lengths = np.maximum(lengths, 0).astype(np.int64)
-        to = np.cumsum(lengths)
-        total = int(to[-1]) if len(to) else 0
-        shift = np.repeat(self.start[slots] - (to - lengths), lengths)
-        ids = self.flat[shift + np.arange(total)] if total else np.zeros(0, np.uint32)
-        id_ends = np.concatenate([[0], to])[ends]
-        if len(whole):
-            parts, begin = [], np.concatenate([[0], id_ends[:-1]])
-            replaced = {int(i): np.array(e.ids, np.uint32) for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False))}
-            for i in range(len(texts)):
-                parts.append(replaced[i] if i in replaced else ids[begin[i] : id_ends[i]])
-            ids = np.concatenate(parts)
-            id_ends = np.cumsum([len(p) for p in parts])
-        return ids, id_ends
+        for cache in (self.words, self.rest, self.first):
+            cache.age()
+        parts = list(map(self.encode_one, texts))
+        return np.frombuffer(b"".join(parts), np.uint32), np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
