@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, langid, line_dedup, packing, repair, toxicity
+from webloom.llm import bpe, html_extract, langid, line_dedup, media, packing, repair, toxicity
 from webloom.session import table
 
 
@@ -19,6 +19,14 @@ def op4_line_dedup(spark, sf_dir):
     return line_dedup.digest_columns(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
 
+def op5_html_text(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op6_media_columns(spark, sf_dir):
+    return media.digest_columns(media.media_columns(table(spark, sf_dir, "documents")))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_line_dedup": op4_line_dedup,
+    "op5_html_text": op5_html_text,
+    "op6_media_columns": op6_media_columns,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_repair_token_store": op8_repair_token_store,
     "op10_language_id": op10_language_id,
