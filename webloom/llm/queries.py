@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, html_extract, langid, line_dedup, media, packing, repair, toxicity
+from webloom.llm import bpe, html_extract, langid, line_dedup, media, packing, repair, toxicity, vectors
 from webloom.session import table
 
 
@@ -35,6 +35,10 @@ def op8_repair_token_store(spark, sf_dir):
     return repair.digest_columns(repair.token_store_roundtrip(table(spark, sf_dir, "documents")))
 
 
+def op9_vector_near_dedup(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark, sf_dir):
     return langid.language_id(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_repair_token_store": op8_repair_token_store,
+    "op9_vector_near_dedup": op9_vector_near_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {
