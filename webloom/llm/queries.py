@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, html_extract, langid, line_dedup, media, packing, repair, toxicity, vectors
+from webloom.llm import bpe, html_extract, jaccard, langid, line_dedup, media, packing, repair, toxicity, vectors
 from webloom.session import table
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.digest_columns(toxicity.toxicity(docs, labels))
@@ -44,6 +48,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_line_dedup": op4_line_dedup,
