@@ -1,10 +1,72 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the
+last return the columns of ``documents``. SQL cannot express the models and the packing, so the
+pipeline has no oracle; tests/llm compares it with a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.llm import jaccard, langid, line_dedup, packing, toxicity
+from webloom.session import materialize, table
+
+#: A text whose best language is hardly likelier than chance is rejected.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects what the models of ``labels.toxic`` predict to be toxic."""
+    labels = table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels.where(~toxicity.held_out())))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and texts of no language that was learned."""
+    net = langid.train(docs.where(~langid.held_out()))
+    found = langid.identify(docs, net)
+    if not net.labels:  # nothing to learn from: only texts without letters are known to be none
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    known = (F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return found.where(known).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that an earlier document holds, and documents of which nothing is left."""
+    kept = line_dedup.line_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    emptied = (F.col("n_dropped") > 0) & (F.length(F.btrim("text", F.lit(line_dedup.STRIP))) == 0)
+    return kept.where(~emptied).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays."""
+    groups = jaccard.jaccard_join(docs, size=5, threshold=(80, 100))
+    gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1,024 tokens."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", drop_near_copies),
+    ("best_fit_packing", pack),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
