@@ -50,13 +50,15 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
+        closing = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), text_list(batch.column(1))
             for begin, end in slices(texts):
-                ids, ends = encode(texts[begin:end])
+                ids, ends = encode(texts[begin:end], closing)
+                ids = ids.astype("<u4", copy=False)
                 rows, at = [], 0
                 for doc_id, to in zip(doc_ids[begin:end], ends.tolist()):
-                    own = np.append(ids[at:to], np.uint32(end_id)).astype("<u4")
+                    own = ids[at:to]
                     at = to
                     for k, (a, n) in enumerate(cut(len(own), capacity)):
                         rows.append((doc_id, k, a, n, zlib.crc32(own[a : a + n].tobytes())))

@@ -10,6 +10,7 @@ token) go through the library whole.
 from __future__ import annotations
 
 import itertools
+import operator
 import os
 import re
 from array import array
@@ -23,6 +24,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same for texts of ASCII characters.
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 
+#: Marks that are a pre-token of their own behind a word.
+MARKS = frozenset(",.;:!?)%$#&*")
+
 _MODELS: dict[str, object] = {}
 
 
@@ -62,6 +66,9 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+_ID = operator.attrgetter("id")
+
+
 class _Unsafe(Exception):
     """A text that must go through the library whole."""
 
@@ -102,11 +109,13 @@ class PieceEncoder:
 
     def _word(self, word: str) -> bytes:
         plain = word if word.isascii() and word[0] > " " else word.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        return array("I", map(_ID, self.model.tokenize(plain))).tobytes()
 
     def _piece(self, whole: str, piece: str) -> bytes:
         if piece.isalpha():
             return self.words[whole]
+        if piece[:-1].isalpha() and piece[-1] in MARKS:
+            return self.words[whole[:-1]] + self.words[piece[-1]]
         if not piece or piece[-1].isspace() or any([s in piece for s in self.specials]):
             raise _Unsafe
         split = self.split_ascii if whole.isascii() else self.split
@@ -121,12 +130,16 @@ class PieceEncoder:
         except _Unsafe:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end (uint32), and the end of each text among them (int64)."""
+    def encode(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end (uint32), and the end of each text among them (int64).
+
+        ``end`` (ids as unsigned 32-bit integers) closes every text.
+        """
         for cache in (self.words, self.rest, self.first):
             cache.age()
         parts = list(map(self.encode_one, texts))
-        return np.frombuffer(b"".join(parts), np.uint32), np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + len(end)
+        return np.frombuffer(end.join([*parts, b""]), np.uint32), np.cumsum(sizes // 4)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
