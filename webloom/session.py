@@ -65,9 +65,19 @@ def shared_dir(spark: SparkSession) -> str:
     return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder of this application's work tables."""
+    return f"{shared_dir(spark)}/webloom/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/webloom/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete this application's work tables; results that read them must have been written before."""
+    drop_path(spark, work_folder(spark))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
