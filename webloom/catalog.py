@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from webloom.operators import browse, export, pairs, stats, tags, texts
+from webloom.operators import browse, export, more, pairs, stats, tags, texts
 from webloom.plans import lifecycle
 from webloom.streaming import timeline
 
-MODULES = (export, browse, stats, tags, texts, pairs, lifecycle, timeline)
+MODULES = (export, browse, stats, tags, texts, more, pairs, lifecycle, timeline)
 
 #: Date columns leave as ISO text, so that every client reads them alike.
 DATES = {

@@ -96,8 +96,12 @@ def markdown_links(text: Column) -> Column:
     return F.zip_with(anchors, urls, lambda a, u: F.struct(named(a).alias("anchor"), u.alias("url")))
 
 
+def _typed(urls: Column, kind: str) -> Column:
+    return F.transform(urls, lambda u: F.struct(u.alias("url"), F.lit(kind).alias("type")))
+
+
 def markdown_media(text: Column) -> Column:
     """(url, type) of images, and of marked video and audio, once each."""
     kinds = [(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)", "img"), (r"\[VIDEO:\s*([^\]\s]+)\]", "video"), (r"\[AUDIO:\s*([^\]\s]+)\]", "audio"), (r'<img[^>]*\bsrc="([^"]+)"', "img")]
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda u, k=k: F.struct(u.alias("url"), F.lit(k).alias("type"))) for p, k in kinds]
+    found = [_typed(F.regexp_extract_all(text, F.lit(p), F.lit(1)), k) for p, k in kinds]
     return F.array_distinct(F.concat(*found))
