@@ -32,9 +32,10 @@ def with_computed(
     sequence for each output.
     """
     ship(df.sparkSession)
-    new = {f.name for f in outputs}
-    names = [f.name for f in df.schema if f.name not in new]
-    schema = T.StructType([*(f for f in df.schema if f.name not in new), *outputs])
+    new = {f.name.lower() for f in outputs}  # Spark's column names ignore case
+    kept = [f for f in df.schema if f.name.lower() not in new]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, *outputs])
     kinds = [to_arrow_type(f.dataType) for f in outputs]
 
     def run(batches):

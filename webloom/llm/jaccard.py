@@ -6,10 +6,10 @@ therefore works at two levels:
 
 1. Single shingles are the first pivots. A document lies equally near to all of its own shingles; ties go to
    the rarest, and the triangle inequality bounds how far down its own order a document has to be copied
-   into further regions so that it meets all documents within the radius (its boundary window: the first
-   ``n - ceil(t * n) + 1`` shingles). How common shingles are comes from a fixed-size table of counts over
-   all documents, which only sets the order, not the result. Regions that share documents are joined to
-   candidate groups.
+   into further regions so that it meets all documents within the radius ``k`` times (its boundary window:
+   the first ``n - ceil(t * n) + k`` shingles). How common shingles are comes from a fixed-size table of
+   counts over all documents, which only sets the order, not the result. Documents that meet often enough
+   are joined to candidate groups.
 2. Groups of up to ``small_group`` documents are compared whole. In larger ones, where distances spread,
    documents of the group are pivots: each member goes to the Voronoi cell of its nearest pivot and to a
    shell around it, cells are cut to tiles, and a tile meets just those tiles whose distance windows to all
@@ -82,10 +82,15 @@ def shingle_order(docs: DataFrame, size: int) -> np.ndarray:
     return order
 
 
+def least_shared(n):
+    """How many shingles of their windows two documents share at least, by the smaller one's size."""
+    return 1 + n // 32
+
+
 def prefix_of(own: np.ndarray, order: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The rarest shingles of a set, one of which it shares with any set within the radius."""
+    """The rarest shingles of a set: any set within the radius shares ``least_shared`` of them at least."""
     n = len(own)
-    p = n + (-num * n) // den + 1  # n - ceil(t * n) + 1
+    p = n + (-num * n) // den + least_shared(n)  # n - ceil(t * n) + k
     if p >= n:
         return own
     key = (order[(own >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(own) >> np.uint64(8))
@@ -132,49 +137,92 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _chains(num: int, den: int):
-    """Links between neighbours in a region, in order of size; the ends of each partition for stitching."""
+def _chains(num: int, den: int, small_region: int):
+    """Candidate pairs from regions in order: all pairs of a small region, neighbours (k = 0) in a larger one.
+
+    A region at either end of a partition may go on in the next one and counts as large; the partition's
+    first and last rows are passed on for stitching.
+    """
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("s", pa.int64()), ("part", pa.int32())])
+
+    def pairs_of(s, n, doc, large):
+        """``large``: whether each row's region counts as large."""
+        found = []
+        for gap in range(1, small_region):
+            same = s[gap:] == s[:-gap]
+            if gap == 1:
+                keep = same
+            else:
+                keep = same & ~large[gap:]
+            at = np.flatnonzero(keep & (den * n[:-gap] >= num * n[gap:]) & (doc[gap:] != doc[:-gap]))
+            if not same.any():
+                break
+            if len(at):
+                k = np.where(large[at], 0, least_shared(n[at]))
+                found.append(np.stack([np.minimum(doc[at], doc[at + gap]), np.maximum(doc[at], doc[at + gap]), k], 1))
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        tail, first = None, None
-        kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("part", pa.int32())])
+        s = n = doc = np.zeros(0, np.int64)
+        first, opening = None, True  # opening: the first kept row continues the partition's first region or a large one
         for batch in batches:
-            s, n, doc = (batch.column(i).to_numpy() for i in range(3))
+            s, n, doc = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((s, n, doc)))
             if not len(s):
                 continue
-            if tail is None:
-                first = (int(s[0]), int(n[0]), int(doc[0]))
+            first = first or (int(s[0]), int(n[0]), int(doc[0]))
+            head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            size = np.diff(np.concatenate([head, [len(s)]]))
+            large = size > small_region
+            large[0] |= opening
+            rows = np.repeat(large, size)
+            cut = int(head[-1])  # the last region waits for its other rows
+            yield _pair_batch(pairs_of(s[:cut], n[:cut], doc[:cut], rows[:cut]), kinds)
+            if large[-1]:
+                yield _pair_batch(pairs_of(s[cut:], n[cut:], doc[cut:], rows[cut:]), kinds)
+                s, n, doc, opening = s[-1:], n[-1:], doc[-1:], True
             else:
-                s, n, doc = np.append(tail[0], s), np.append(tail[1], n), np.append(tail[2], doc)
-            near = np.flatnonzero((s[1:] == s[:-1]) & (den * n[:-1] >= num * n[1:]) & (doc[1:] != doc[:-1]))
-            pairs = np.unique(np.stack([doc[near], doc[near + 1]], 1), axis=0)
-            nothing = [None] * len(pairs)
-            yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1], "s": nothing, "n": nothing, "part": nothing}, schema=kinds)
-            tail = (s[-1:], n[-1:], doc[-1:])
-        if tail is not None:
-            last = (int(tail[0][0]), int(tail[1][0]), int(tail[2][0]))
+                s, n, doc, opening = s[cut:], n[cut:], doc[cut:], False
+        if first:
+            yield _pair_batch(pairs_of(s, n, doc, np.ones(len(s), bool)), kinds)
+            last = (int(s[-1]), int(n[-1]), int(doc[-1]))
             yield pa.RecordBatch.from_pydict(
-                {"a": [first[2], last[2]], "b": [0, 1], "s": [first[0], last[0]], "n": [first[1], last[1]], "part": [part] * 2}, schema=kinds
+                {"a": [first[2], last[2]], "b": [0, 1], "k": [first[1], last[1]], "s": [first[0], last[0]], "part": [part] * 2}, schema=kinds
             )
 
     return run
 
 
-def candidate_groups(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, component): groups of documents that share regions, over ``reps`` (doc_id, n, prefix)."""
+def _pair_batch(pairs: np.ndarray, kinds: pa.Schema) -> pa.RecordBatch:
+    loose = pairs[:, 2] == 0  # neighbours in large regions are often the same pair
+    pairs = np.concatenate([pairs[~loose], np.unique(pairs[loose], axis=0)])
+    nothing = pa.nulls(len(pairs))
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(pairs[:, c]) for c in range(3)), nothing.cast(pa.int64()), nothing.cast(pa.int32())], schema=kinds
+    )
+
+
+def candidate_groups(reps: DataFrame, num: int, den: int, small_region: int = 12) -> DataFrame:
+    """(node, component): groups of documents that share regions, over ``reps`` (doc_id, n, prefix).
+
+    Two documents within the radius share ``least_shared`` regions. If one of these is large they meet in its
+    chain of neighbours; if all are small they are counted as a pair that often. Pairs that are met less often
+    cannot link and are left out before groups are formed.
+    """
     spark = reps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = reps.select("doc_id", "n", "prefix").mapInArrow(_regions, "s long, n long, doc long")
     in_order = rows.repartitionByRange(parts, "s", "n", "doc").sortWithinPartitions("s", "n", "doc")
-    found = materialize(in_order.mapInArrow(_chains(num, den), "a long, b long, s long, n long, part int"), "jaccard-chains")
-    ends = sorted((r["part"], r["b"], r["s"], r["n"], r["a"]) for r in found.where("part IS NOT NULL").collect())  # two rows a partition
+    kind = "a long, b long, k long, s long, part int"
+    found = materialize(in_order.mapInArrow(_chains(num, den, small_region), kind), "jaccard-chains")
+    ends = sorted((r["part"], r["b"], r["s"], r["k"], r["a"]) for r in found.where("part IS NOT NULL").collect())  # two rows a partition
     stitched = [
         (x[4], y[4])
         for x, y in zip(ends[1::2], ends[2::2])
         if x[2] == y[2] and den * x[3] >= num * y[3] and x[4] != y[4]
     ]
-    links = found.where("part IS NULL").select("a", "b").distinct()
+    met = found.where("part IS NULL").groupBy("a", "b").agg(F.count("*").alias("times"), F.min("k").alias("k"))
+    links = met.where("times >= k").select("a", "b")
     if stitched:
         links = links.union(spark.createDataFrame(stitched, "a long, b long"))
     return connected_components(links)

@@ -7,7 +7,8 @@ lines to drop meet their document.
 
 Null handling: a null or empty text is one empty line. A row without ``doc_id`` cannot be told
 apart from others: it neither counts nor loses lines. Rows that repeat a ``doc_id`` count as one
-document. Columns other than the id and the text pass through unchanged.
+document. Columns other than the id and the text pass through unchanged; names that begin with ``__ld_`` are
+taken.
 """
 
 from __future__ import annotations
@@ -76,25 +77,25 @@ def line_dedup(
         lines.join(common, ["_h1", "_h2"])
         .where(F.col("_id") > F.col("_keeper"))
         .groupBy("_id", "_row")
-        .agg(F.collect_set("_pos").alias("_drop"))
+        .agg(F.collect_set("_pos").alias("__ld_drop"))
     )
-    whole = split_lines(F.col("_text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.col("_n_lines") - 1), F.col("_drop"))
-    rebuilt = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("_lines"), i + 1)), "\n")
-    keyed = docs.withColumns({"_jid": doc, "_jrow": row_hash})
+    whole = split_lines(F.col("__ld_text"))
+    kept = F.array_except(F.sequence(F.lit(0), F.col("__ld_n_lines") - 1), F.col("__ld_drop"))
+    rebuilt = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("__ld_lines"), i + 1)), "\n")
+    keyed = docs.withColumns({"__ld_jid": doc, "__ld_jrow": row_hash})
     joined = keyed.join(
-        dropped.withColumnsRenamed({"_id": "_did", "_row": "_drow"}),
-        (F.col("_jid") == F.col("_did")) & (F.col("_jrow") == F.col("_drow")),
+        dropped.withColumnsRenamed({"_id": "__ld_did", "_row": "__ld_drow"}),
+        (F.col("__ld_jid") == F.col("__ld_did")) & (F.col("__ld_jrow") == F.col("__ld_drow")),
         "left",
     )
     return (
-        joined.withColumn("_text", text)
-        .withColumn("_lines", whole)
-        .withColumn("_n_lines", F.size("_lines"))
-        .withColumn(text_col, F.when(F.col("_drop").isNull(), text).otherwise(rebuilt))
-        .withColumn("n_lines", F.col("_n_lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-        .drop("_text", "_lines", "_n_lines", "_drop", "_jid", "_jrow", "_did", "_drow")
+        joined.withColumn("__ld_text", text)
+        .withColumn("__ld_lines", whole)
+        .withColumn("__ld_n_lines", F.size("__ld_lines"))
+        .withColumn(text_col, F.when(F.col("__ld_drop").isNull(), text).otherwise(rebuilt))
+        .withColumn("n_lines", F.col("__ld_n_lines").cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size("__ld_drop"), F.lit(0)).cast("long"))
+        .drop("__ld_text", "__ld_lines", "__ld_n_lines", "__ld_drop", "__ld_jid", "__ld_jrow", "__ld_did", "__ld_drow")
     )
 
 
