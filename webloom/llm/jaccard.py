@@ -39,6 +39,8 @@ from webloom.session import materialize, ship
 
 #: Size of the table of counts: a power of two; its blocks are what tasks exchange.
 TABLE_BITS, BLOCKS = 20, 64
+#: Size of the bitmap of ids whose texts are fetched: 2 MB.
+ID_BITS = 24
 _A, _B = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
@@ -364,6 +366,24 @@ def _large_groups(members: DataFrame, sizes: DataFrame, num: int, den: int, pivo
     return tiled.join(sides, ["component", "tile"]).select("component", "doc_id", "copies", "set", "tile", "p", "q")
 
 
+def _slot(column: str):
+    return F.pmod(F.xxhash64(F.lit(31), column), F.lit(1 << ID_BITS))
+
+
+def id_bits(ids: DataFrame, column: str) -> DataFrame:
+    """(word, bits): a bitmap of hashed ids, of 2 ** (ID_BITS - 6) rows at most, however many ids there are."""
+    at = _slot(column)
+    one = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    return ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+
+
+def _likely(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """Rows whose id the bitmap holds, and a few more; the bitmap is small by its making, so that it can be broadcast."""
+    at = _slot(column)
+    held = F.getbit(F.col("bits"), (at % 64).cast("int")) == 1
+    return rows.join(F.broadcast(bits), (F.shiftright(at, 6) == F.col("word")) & held, "left_semi")
+
+
 def jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -423,16 +443,19 @@ def _link_groups(narrow, groups, copies, size, num, den, pivots, small_group, gr
                 sets = shingle_sets(texts[begin:end], size)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["component", "doc_id", "copies", "n", "set"],
+                     pa.array([s.tobytes() for s in sets], pa.binary()), part.column(4)],
+                    names=["component", "doc_id", "copies", "n", "set", "rep_n"],
                 )
 
     wanted = groups.join(copies.select("rep", "copies", "n"), F.col("node") == F.col("rep")).select("component", "node", "copies", "n")
     wanted = materialize(wanted, "jaccard-wanted")
-    texts = narrow.join(wanted, F.col("doc_id") == F.col("node")).select("component", "doc_id", "copies", "text", F.col("n").alias("_n"))
-    kind = "component long, doc_id long, copies long, n long, set binary"
-    members = texts.select("component", "doc_id", "copies", "text").mapInArrow(sets_of, kind)
-    members = materialize(members.dropDuplicates(["doc_id", "n"]), "jaccard-members")
+    some = _likely(narrow, "doc_id", materialize(id_bits(wanted, "node"), "jaccard-bits"))
+    texts = some.join(wanted, F.col("doc_id") == F.col("node")).select("component", "doc_id", "copies", "text", F.col("n").alias("rep_n"))
+    # repeated rows go before the sets are made: that needs no other partitioning than the join's
+    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h", "rep_n"]).drop("h")
+    kind = "component long, doc_id long, copies long, n long, set binary, rep_n long"
+    members = texts.select("component", "doc_id", "copies", "text", "rep_n").mapInArrow(sets_of, kind)
+    members = materialize(members.where("n = rep_n").drop("rep_n"), "jaccard-members")
     total, large = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.when(F.col("size") > small_group, 1))).first()
     keyed = members.join(sizes, "component")
     buckets = max(1, total // group_rows)
