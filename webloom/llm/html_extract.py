@@ -5,7 +5,10 @@ notices and reader comments, and blocks that are mostly links, are bad; long blo
 good; short ones, headings and blocks poor in stop words are left open. In the second pass an open block
 inherits from its nearest decided neighbours: good where both sides, or the nearer good side, allow it.
 Blocks of a marked article stand by themselves: what is open there looks at neighbours of the same article
-only, and is good where the article decides nothing else.
+only, and is good where the article decides nothing else; an advert or a menu in it decides nothing.
+Where the good text outside is longer than that of the marked articles, as on a page whose articles are
+cards, the marks are no evidence, and the page is labelled without them. Articles within an article are
+subject to the hints of class, id and role; the outermost, and the first of a ``main``, are not.
 
 Null handling: a null or empty page has an empty text. Unclosed and stray tags are tolerated, markup in
 scripts, styles and comments is not markup. Other columns pass through.
@@ -85,6 +88,7 @@ def blocks_of(page: str) -> list[Block]:
     linked_parts: list[str] = []
     state = {"bad": False, "heading": False}
     articles, in_link, at = 0, False, 0
+    entered: set[int] = set()  # numbers of articles that hold an article element
 
     def close():
         if parts:
@@ -136,11 +140,15 @@ def blocks_of(page: str) -> list[Block]:
             close()
             in_link = False
             bad, article = stack[-1][1], stack[-1][2]
-            if name in ("article", "main") and not article:
+            outermost = name in ("article", "main") and not article
+            if outermost:
                 articles += 1
                 article = articles
+            if name == "article":
+                outermost = outermost or article not in entered
+                entered.add(article)
             bad = bad or name in BAD_TAGS or (name == "header" and not article)
-            if name not in ("html", "body", "article", "main"):
+            if name not in ("html", "body") and not outermost:
                 bad = bad or _hinted(attributes)
             if name in NESTING:
                 stack.append((name, bad, article))
@@ -184,14 +192,14 @@ def classify(
     for i, b in enumerate(blocks):
         key = b.article
         before.append(last.get(key, ("", 0)))
-        if b.label != "open":
+        if b.label != "open" and not (b.bad and b.article):  # an advert inside an article says nothing about its neighbours
             last[key] = (b.label, i)
     after: list[tuple[str, int]] = [("", 0)] * n
     last = {}
     for i in range(n - 1, -1, -1):
         b = blocks[i]
         after[i] = last.get(b.article, ("", 0))
-        if b.label != "open":
+        if b.label != "open" and not (b.bad and b.article):
             last[b.article] = (b.label, i)
     decided = []
     for i, b in enumerate(blocks):
@@ -199,8 +207,8 @@ def classify(
             decided.append(b.label)
             continue
         (left, li), (right, ri) = before[i], after[i]
-        if b.article:  # an advert or a list of links inside an article says nothing about its neighbours
-            decided.append("good")
+        if b.article and not (left and right):  # the mark speaks for the side that decides nothing
+            decided.append(right or "good" if b.heading else "good")
         elif left == right:
             decided.append(left or "bad")
         elif b.heading:
@@ -208,8 +216,9 @@ def classify(
         elif not left or not right:
             decided.append("bad" if len(b.text) < short else left or right)
         else:
-            near = left if i - li <= ri - i else right
-            decided.append("good" if near == "good" or len(b.text) >= short else "bad")
+            to_good, to_bad = (i - li, ri - i) if left == "good" else (ri - i, i - li)
+            near = to_good < to_bad or to_good == to_bad and (left == "good" or b.article)
+            decided.append("good" if near or len(b.text) >= short else "bad")
     for b, label in zip(blocks, decided):
         b.label = label
     return blocks
@@ -220,11 +229,16 @@ def main_text(page: str) -> str:
     if not page:
         return ""
     blocks = classify(blocks_of(page))
-    if any(b.article for b in blocks):  # a marked article is the main text; what stands outside is not
-        inside = [b for b in blocks if b.article and b.label == "good"]
-        if inside:
-            return "\n".join(b.text for b in inside)
-    return "\n".join(b.text for b in blocks if b.label == "good")
+    good = [b for b in blocks if b.label == "good"]
+    inside = [b for b in good if b.article]
+    if inside:  # a marked article is the main text, unless what stands outside outweighs it
+        if 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in good):
+            good = inside
+        else:
+            for b in blocks:
+                b.article = 0
+            good = [b for b in classify(blocks) if b.label == "good"]
+    return "\n".join(b.text for b in good)
 
 
 OUTPUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
