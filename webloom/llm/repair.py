@@ -2,14 +2,15 @@
 
 Documents are dealt out by ranges of their id, each range sorted, so that file after file holds them
 in ascending order. A file is a row of blocks; each block has its own grammar: frequent id pairs are
-replaced by nonterminals round after round, and the rules are stored with their expansion lengths. The
+replaced by nonterminals round after round until none is left, and the rules are stored with their expansion lengths. The
 block's index gives where each document begins in the compressed sequence, so that one document, or a
 span of it, can be decoded without what stands before it.
 
-Block layout, all little-endian: magic ``WLRP0001``; uint32 counts (documents, rules, symbols, base);
-per document int64 id, uint32 number of ids, uint32 first symbol, and a byte that says whether the id
-is null; per rule uint32 left, uint32 right, uint32 expansion length; then the symbols, uint16 where
-they fit and uint32 elsewhere (a flag in the count's place says which).
+Block layout, little-endian: magic ``WLRP0002``; uint32 counts (documents, rules, symbols, base), a byte
+each for the bits of a symbol and of a length, and two of zero; per document int64 id, uint32 number of
+ids, uint32 first symbol, and a byte that says whether the id is null; then three rows of numbers of as
+many bits as the largest takes, highest bit first, each filled up to a byte: left and right of every rule,
+the rules' expansion lengths, and the symbols.
 
 Null handling: a null text is empty and holds only the end id; rows without an id come first; repeated
 ids keep all their rows.
@@ -33,8 +34,9 @@ from webloom.llm.columns import text_list
 from webloom.llm.tokens import encoder, slices
 from webloom.session import materialize, ship, work_path
 
-MAGIC = b"WLRP0001"
-HEAD = struct.Struct("<8s5I")
+MAGIC = b"WLRP0002"
+HEAD = struct.Struct("<8s4I2B2x")
+HASH = np.uint64(0x9E3779B97F4A7C15)
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -47,64 +49,88 @@ def _alternate(at: np.ndarray) -> np.ndarray:
     return (place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0
 
 
-def _common_pairs(symbols: np.ndarray, last: np.ndarray, most: int, least: int, count_every: int) -> np.ndarray:
-    """The commonest pairs as codes, in ascending order, counted on every n-th stretch of 2,048 symbols."""
-    width = 2048
-    if len(symbols) > 32 * width:
-        rows = len(symbols) // width
-        picked = symbols[: rows * width].reshape(rows, width)[::count_every]
-        ends = last[: rows * width].reshape(rows, width)[::count_every, :-1]
-        left, right = picked[:, :-1][~ends], picked[:, 1:][~ends]
-        least = max(2, least // 2)
-    else:
-        left, right = symbols[:-1][~last[:-1]], symbols[1:][~last[:-1]]
-    seen, count = np.unique((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64), return_counts=True)
-    often = np.flatnonzero(count >= least)
-    return np.sort(seen[often[np.argsort(-count[often], kind="stable")[:most]]])
-
-
-def build_grammar(
-    ids: np.ndarray,
-    last: np.ndarray,
-    base: int,
-    rounds: int = 4,
-    pairs_a_round: int = 2048,
-    least: int = 6,
-    count_every: int = 16,
-):
-    """(symbols, is-last-of-document, rules); a pair never reaches over the end of a document."""
+def _slots(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each code in ``wanted`` or -1, and whether it may be wanted at all.
+
+    Of wanted codes with the same hash the first one is found, and the others only may be wanted.
+    """
+    bits = max(10, len(wanted).bit_length() + 2)
+    place = lambda c: ((c * HASH) >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.full(1 << bits, -1, np.int32)
+    hashed, first = np.unique(place(wanted), return_index=True)
+    table[hashed] = first
+    slot = table[place(codes)]
+    may = slot >= 0
+    return np.where(may & (wanted[slot] == codes), slot, -1), may
+
+
+def build_grammar(ids: np.ndarray, last: np.ndarray, base: int, least: int = 6):
+    """(symbols, is-last-of-document, rules); a pair never reaches over the end of a document.
+
+    Rounds go on until no pair occurs ``least`` times. A round counts all pairs and replaces the frequent ones
+    where no more frequent pair overlaps; those that this leaves with fewer places wait for the next count. The
+    commonest pair gives way to none, so each round makes a rule. Pairs of old symbols never become more
+    frequent, so those found to be rare are not counted again; of overlapping pairs of one symbol, every second
+    one counts.
+    """
     rules: list[np.ndarray] = []
     symbols, next_id = ids.astype(np.int64), base
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    last = last.copy()
+    live = ~last  # does a pair begin here that may be frequent?
+    live[-1:] = False
+    while True:
+        at = np.flatnonzero(live)
+        left, right = symbols.take(at), symbols.take(at + 1)
+        same = np.flatnonzero(left == right)
+        if len(same):
+            kept = np.ones(len(at), bool)
+            kept[same[~_alternate(at[same])]] = False
+            at, left, right = at[kept], left[kept], right[kept]
+        codes = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        seen, count = np.unique(codes, return_counts=True)
+        often = np.flatnonzero(count >= least)
+        if not len(often):
             break
-        best = _common_pairs(symbols, last, pairs_a_round, least, count_every)
-        if not len(best):
-            break
-        a, b = (best >> np.uint64(32)).astype(np.int64), (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        may_left, may_right = np.zeros(next_id, bool), np.zeros(next_id, bool)
-        may_left[a], may_right[b] = True, True
-        may = may_left.take(symbols[:-1])
-        may &= may_right.take(symbols[1:])
-        may &= ~last[:-1]
-        at = np.flatnonzero(may)
-        codes = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1].astype(np.uint64)
-        slot = np.minimum(np.searchsorted(best, codes), len(best) - 1)
-        hit = best[slot] == codes
+        # pairs of one count in the order of a hash: in the order of ids, a long passage could give one rule a round
+        best = seen[often[np.lexsort((seen[often] * HASH, -count[often]))]]
+        slot, may = _slots(codes, best)
+        live[at[~may]] = False
+        hit = slot >= 0
         at, slot = at[hit], slot[hit]
-        chosen = _alternate(at)
-        at, slot = at[chosen], slot[chosen]
+        touch = np.diff(at) == 1
+        free = np.ones(len(at), bool)
+        free[1:] &= ~touch | (slot[1:] < slot[:-1])
+        free[:-1] &= ~touch | (slot[:-1] < slot[1:])
+        at, slot = at[free], slot[free]
+        used = np.bincount(slot, minlength=len(best)) >= least
+        stays = used[slot]
+        at, slot, best = at[stays], (np.cumsum(used) - 1)[slot[stays]], best[used]
         symbols[at] = next_id + slot
+        last[at] = last[at + 1]
+        live[at] = ~last[at]
+        before = at[at > 0] - 1
+        live[before] = ~last[before]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        last = last.copy()
-        last[at] = last[at + 1]
-        symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([a, b], 1).astype(np.uint32))
+        # where two replaced pairs follow each other, the place before the second one is gone; the first is live
+        symbols, last, live = symbols[keep], last[keep], live[keep]
+        rules.append(np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         next_id += len(best)
     return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
+def pack(values: np.ndarray, bits: int) -> bytes:
+    """Numbers below 2**bits in so many bits each."""
+    each = np.ascontiguousarray(values, ">u4").view(np.uint8).reshape(-1, 4)
+    return np.packbits(np.unpackbits(each, axis=1)[:, 32 - bits :]).tobytes()
+
+
+def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
+    each = np.zeros((n, 32), np.uint8)
+    each[:, 32 - bits :] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
+    return np.packbits(each, axis=1).view(">u4").ravel().astype(np.uint32)
+
+
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat expansions of all symbols that have rules, and where each begins (one more than rules).
 
@@ -140,24 +166,25 @@ def expand(symbols: np.ndarray, flat: np.ndarray, starts: np.ndarray, base: int)
     return out
 
 
-def encode_block(doc_ids: list, counts: np.ndarray, ids: np.ndarray, base: int, **grammar) -> bytes:
+def encode_block(doc_ids: list, counts: np.ndarray, ids: np.ndarray, base: int) -> bytes:
     last = np.zeros(len(ids), bool)
     last[np.cumsum(counts) - 1] = True
-    symbols, last, rules = build_grammar(ids, last, base, **grammar)
+    symbols, last, rules = build_grammar(ids, last, base)
     first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]) if len(doc_ids) else np.zeros(0)
     _, starts = expansions(rules, base)
-    wide = base + len(rules) > 0xFFFF
+    lengths = np.diff(starts)
+    bits, length_bits = (base + len(rules)).bit_length(), int(lengths.max(initial=0)).bit_length()
     null = np.array([i is None for i in doc_ids], np.uint8)
     return b"".join(
         [
-            HEAD.pack(MAGIC, len(doc_ids), len(rules), len(symbols), base, int(wide)),
+            HEAD.pack(MAGIC, len(doc_ids), len(rules), len(symbols), base, bits, length_bits),
             np.array([0 if i is None else i for i in doc_ids], "<i8").tobytes(),
             counts.astype("<u4").tobytes(),
             first.astype("<u4").tobytes(),
             null.tobytes(),
-            rules.astype("<u4").tobytes(),
-            np.diff(starts).astype("<u4").tobytes(),
-            symbols.astype("<u4" if wide else "<u2").tobytes(),
+            pack(rules.ravel(), bits),
+            pack(lengths, length_bits),
+            pack(symbols, bits),
         ]
     )
 
@@ -167,15 +194,16 @@ class Block:
 
     def __init__(self, source):
         head = source.read(HEAD.size)
-        magic, docs, rules, symbols, self.base, wide = HEAD.unpack(head)
+        magic, docs, rules, symbols, self.base, bits, length_bits = HEAD.unpack(head)
         if magic != MAGIC:
             raise ValueError("not a token block")
         take = lambda kind, n: np.frombuffer(source.read(np.dtype(kind).itemsize * n), kind)
         self.doc_ids, self.counts, self.first = take("<i8", docs), take("<u4", docs), take("<u4", docs)
         self.null = take("u1", docs)
-        self.rules = take("<u4", 2 * rules).reshape(rules, 2)
-        self.lengths = take("<u4", rules)
-        self.symbols = take("<u4" if wide else "<u2", symbols)
+        packed = lambda n, width: unpack(source.read(-(-n * width // 8)), n, width)
+        self.rules = packed(2 * rules, bits).reshape(rules, 2)
+        self.lengths = packed(rules, length_bits)
+        self.symbols = packed(symbols, bits)
         self.flat, self.starts = expansions(self.rules, self.base)
 
     def document(self, k: int, start: int = 0, count: int | None = None) -> np.ndarray:
