@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,6 +11,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
+_work: dict[str, str] = {}
 
 
 def build_session(app_name: str = "webloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -51,23 +54,35 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder takes its place.
+    Only a local session, as in tests or on a laptop, may leave it unset; a temporary folder takes its place there.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or _own.get(context.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="webloom-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    jvm = spark.sparkContext._jvm
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="webloom-shared-")
+    jvm = context._jvm
     target = jvm.org.apache.hadoop.fs.Path(found)
-    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store = target.getFileSystem(context._jsc.hadoopConfiguration())
     whole = store.makeQualified(target).toString().rstrip("/")
     return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder of this application's work tables."""
-    return f"{shared_dir(spark)}/webloom/{spark.sparkContext.applicationId}"
+    """The folder of this application's work tables; it goes when the driver's Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _work:
+        _work[app] = f"{shared_dir(spark)}/webloom/{app}"
+        atexit.register(_forget, spark, app)
+    return _work[app]
+
+
+def _forget(spark: SparkSession, app: str) -> None:
+    try:
+        drop_path(spark, _work[app])
+    except Exception:  # the JVM may be gone already
+        pass
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -89,7 +104,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.work_path = path
+    return written
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
+    for df in tables:
+        if df is not None and getattr(df, "work_path", None):
+            drop_path(df.sparkSession, df.work_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
