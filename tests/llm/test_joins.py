@@ -65,6 +65,49 @@ def test_jaccard_join(spark, seed, families, copies, edits):
     assert got == brute_jaccard(rows, 4, 85, 100)
 
 
+def test_jaccard_join_keeps_texts_of_one_id_apart(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    near = " ".join([*base[:30], "other", *base[31:]])
+    rows = [(5, " ".join(base)), (5, "quite another text of its own words"), (5, " ".join(base)), (7, near), (8, "  ".join(base)), (9, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h int")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.jaccard_join(docs).collect())
+    assert got == [(5, 4, 5, 0), (5, 57, 5, 3), (5, 57, 5, 3), (7, 57, 5, 3), (8, 57, 5, 3), (9, 0, 9, 0)]
+
+
+@pytest.mark.parametrize("common", [0, 60])
+def test_large_groups_are_split_again(spark, common):
+    """Clusters that share a passage are one group at first; with small groups of 8, all steps take part."""
+    rng = random.Random(common)
+    passage = [f"p{rng.randrange(400)}" for _ in range(common)]
+    rows, i = [], 0
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(40)] + passage
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(5000)}"
+            rows.append((i, " ".join(own)))
+            i += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.jaccard_join(docs, small_group=8, tile_bytes=4000).collect()}
+    assert got == brute_jaccard(rows, 4, 85, 100)
+
+
+def test_cells_meet_every_pair_once():
+    rng = np.random.default_rng(3)
+    points = rng.random((150, 2)) * 2
+    distance = lambda x, y: np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    d = distance(points, points[:6])
+    places = {}
+    for i, cell, bit in jaccard.cells_of(d, 0.15, 0.5, 1):
+        places.setdefault(cell, []).append((i, bit))
+    met = [tuple(sorted((a, b))) for cell in places.values() for (a, x), (b, y) in itertools.combinations(cell, 2) if not x & y]
+    near = distance(points, points) <= 0.15
+    assert len(set(met)) == len(met) < 150 * 149 / 2 * 0.7
+    assert {(a, b) for a, b in itertools.combinations(range(150), 2) if near[a, b]} <= set(met)
+
+
 def test_jaccard_join_without_rows_or_ids(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_join(none).count() == 0

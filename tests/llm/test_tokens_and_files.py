@@ -4,6 +4,7 @@ import hashlib
 import io
 import math
 import random
+import statistics
 import zlib
 
 import numpy as np
@@ -44,6 +45,22 @@ def test_byte_vocabulary_as_the_library():
     assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == wanted
 
 
+def random_texts(n):
+    rng = random.Random(20)
+    bits = [*"aZ1.,-'(\"", " ", "  ", "\n", "\t", "\x00", "\x07", "\x1b[0m", "\x7f", "\x85", "\xa0", "é", "ß", "ñ", "日本", "🙂", "\u200d", "'s", "'ll", "12", "...", "word", "The", "²", "́", "<|endoftext|>", "<", "|>"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+def test_random_texts_as_the_library():
+    texts = random_texts(20_000)
+    ids, ends = tokens.PieceEncoder("byte_bpe_50k.json").encode(texts)
+    wanted = [e.ids for e in library("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == wanted
+    ids, ends = bpe.word_encoder("word_bpe_49k.json").encode(texts)
+    wanted = [e.ids for e in library("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == wanted
+
+
 def test_word_vocabulary_as_the_library(spark, docs):
     t = library("word_bpe_49k.json")
     encoded = bpe.encode_decode(docs)
@@ -138,6 +155,27 @@ def test_token_files_round_trip(spark, docs):
         at += n
 
 
+def test_single_documents_from_token_files(spark, docs, tmp_path):
+    t = library("byte_bpe_50k.json")
+    manifest = repair.write_token_files(docs, f"file://{tmp_path}", block_ids=3000)
+    whole = {(r["doc_id"], r["start"]): bytes(r["ids"]) for r in repair.read_token_files(manifest, f"file://{tmp_path}").collect()}
+    assert manifest.count() > 8 and len(whole) == docs.count()
+    wanted = [100, 103, 7, 999]
+    got = repair.read_documents(manifest, f"file://{tmp_path}", wanted).collect()
+    assert sorted((r["doc_id"], r["start"]) for r in got) == sorted(k for k in whole if k[0] in wanted)
+    assert all(bytes(r["ids"]) == whole[r["doc_id"], r["start"]] for r in got)
+    text = dict(pairs(docs))[103]
+    part = repair.read_documents(manifest, f"file://{tmp_path}", [103], 2, 5).collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in part] == [t.encode(text, add_special_tokens=False).ids[2:7]]
+    for r in manifest.groupBy("path").agg({"block": "count"}).collect():
+        with open(r["path"], "rb") as f:
+            index = repair.read_index(f, f.seek(0, 2))
+            assert len(index) == r["count(block)"]
+            for offset, size, _ in index:
+                f.seek(offset)
+                assert len(repair.Block(io.BytesIO(f.read(size))).doc_ids)
+
+
 def test_grammar_decodes_at_random():
     rng = np.random.default_rng(1)
     counts = rng.integers(1, 300, 80)
@@ -150,6 +188,14 @@ def test_grammar_decodes_at_random():
         assert np.array_equal(block.document(k), own) and np.array_equal(block.document(k, 5, 9), own[5:14])
 
 
+def png(payload):
+    """One row of grey samples, written out from the format's definition."""
+    out = bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    for kind, data in ((b"IHDR", len(payload).to_bytes(4, "big") + bytes([0, 0, 0, 1, 8, 0, 0, 0, 0])), (b"IDAT", zlib.compress(b"\0" + payload, 4)), (b"IEND", b"")):
+        out += len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    return out
+
+
 def test_media_round_trip(spark, docs):
     got = media.digest_columns(media.media_columns(docs)).collect()
     assert len(got) == docs.count()
@@ -165,6 +211,16 @@ def test_media_round_trip(spark, docs):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) in options
         assert (r["width"] * r["height"], r["bits"]) == (r["payload_bytes"], 8)
         by_payload.setdefault(r["payload_sha256"], set()).add((r["media_bytes"], r["media_sha256"], r["feature"]))
+        data = next(d for d, o in zip(texts[r["doc_id"]], options) if o[2] == r["payload_sha256"])
+        payload = data.ljust(r["payload_bytes"], b"\0")
+        stored = png(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        level = statistics.fmean(payload), statistics.pstdev(payload)
+        share = [payload.count(b) / len(payload) for b in set(payload)]
+        entropy = -sum(p * math.log2(p) for p in share)
+        figures = [float(x) for x in r["feature"].split(";")[:3]]
+        assert all(abs(a - b) < 2e-6 for a, b in zip(figures, [*level, entropy]))
+        assert r["feature"].split(";")[3] == ",".join(str(sum(b // 32 == k for b in payload)) for k in range(8))
     assert all(len(v) == 1 for v in by_payload.values())
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.session import materialize, ship
+from webloom.session import discard, materialize, ship
 
 
 def local_forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -43,30 +43,36 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
 
-def _smallest(links: DataFrame) -> DataFrame:
-    """``u``, ``v`` plus ``m``, the smallest ``v`` of each ``u``."""
+def _smallest(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``u``, ``v`` plus ``m``, the smallest ``v`` of each ``u``; and the table that it reads besides."""
     least = materialize(links.groupBy("u").agg(F.min("v").alias("m")), "star-least")
-    return links.join(least, "u")
+    return links.join(least, "u"), least
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the links ``a``, ``b`` (long); component is the smallest node."""
+def connected_components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of the links ``a``, ``b`` (long); component is the smallest node.
+
+    Rounds go on until one changes nothing.
+    """
     ship(links.sparkSession)
     apart = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     stars = materialize(apart.mapInArrow(_contract, "a long, b long").distinct(), "star")
     before = None
-    for _ in range(most_rounds):
+    while True:
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
         # large stars: every larger neighbour of u hangs on the smallest of u and its neighbours
         both = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).union(stars.select("b", "a"))
-        hung = _smallest(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        near, least = _smallest(both)
+        hung = near.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = materialize(hung.where("u <> v").distinct(), "star-large")
+        discard(stars, least)
         # small stars: u and its smaller neighbours hang on the smallest of them
-        near = _smallest(large)
+        near, least = _smallest(large)
         hung = near.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(near.select("u", "m"))
         stars = materialize(hung.where("a <> b").distinct(), "star")
+        discard(large, least)
     roots = stars.groupBy(F.col("b").alias("node")).agg(F.min("b").alias("component"))
     return stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(roots)

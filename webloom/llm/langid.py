@@ -3,23 +3,24 @@
 Filters of several widths slide over the UTF-8 bytes of fixed-length windows; each keeps its maximum, and
 a softmax over these maxima gives the language of a window. A text's probabilities are those of all its
 windows, weighted by their bytes. The network is trained on the driver from a bounded sample: at most
-about ``per_label`` rows of each label, chosen by a hash of the id, and ``windows_a_row`` windows spread
-over each whole text. Every text is scored whole, inside the scan.
+about ``per_label`` windows of each label, drawn in the scan from all windows of all labelled texts. Every text
+is scored whole, inside the scan.
 
 Null handling: a text that is null or has no letter is ``und`` with score 0. Rows without a label or
-an id are not learned from. With no labelled row at all, every text is ``und``. Other columns pass through.
+an id are not learned from. With no labelled row at all, every text is ``und``. Other columns pass through; those
+named as the results give way. A very long text is scored in blocks of windows. Equal texts get equal results; of
+languages with equal probability the first in order wins. Rows of one id and text are drawn together.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.columns import text_list, with_computed
-from webloom.session import ship
+from webloom.session import materialize, ship
 
 UNDECIDED = "und"
 
@@ -142,52 +143,43 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "lang",
-    per_label: int = 500,
-    windows_a_row: int = 6,
-    max_labels: int = 200,
+    per_label: int = 2_500,
     size: int = 192,
 ) -> ByteNet:
-    """Fit a network on at most about ``per_label`` rows of each of the ``max_labels`` commonest labels."""
+    """Fit a network on at most about ``per_label`` windows of each label, drawn from all windows of its texts.
+
+    A window is drawn by a hash of its row's id and its place, so that every part of every labelled text may be
+    drawn. A label with fewer windows gives all of them, so no label is left out.
+    """
     ship(labelled.sparkSession)
     rows = labelled.select(
         F.col(f"`{id_col}`").cast("string").alias("id"),
-        F.col(f"`{text_col}`").alias("text"),
+        F.encode(F.col(f"`{text_col}`"), "UTF-8").alias("bytes"),
         F.col(f"`{label_col}`").cast("string").alias("label"),
-    ).where("id IS NOT NULL AND label IS NOT NULL AND length(text) > 0")
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
-    labels = sorted(r["label"] for r in counts)
-    if not labels:
-        return ByteNet([], size).compile()
-    share: Column = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("label") == r["label"], F.lit(min(1.0, per_label / r["count"]))).otherwise(share)
-    chance = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-
-    def cut(batches):
-        for batch in batches:
-            ids, labels_, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-            for i, label, text in zip(ids, labels_, text_list(batch.column(1))):
-                if any(map(str.isalpha, text)):
-                    parts = windows_of(text.encode(), size)
-                    for k in np.unique(np.linspace(0, len(parts) - 1, windows_a_row).astype(int)):
-                        out.append((i, int(k), label, parts[k].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["id", "at", "label", "bytes"])
-
-    kept = rows.where(chance < share).mapInArrow(cut, "id string, at long, label string, bytes binary")
-    sample = sorted(tuple(r) for r in kept.collect())  # bounded by the parameters above
+    ).where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
+    windows = F.ceil(F.octet_length("bytes") / size)
+    counts = materialize(rows.groupBy("label").agg(F.sum(windows).alias("windows")), "label-windows")
+    share = F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("windows"))
+    drawn = F.filter(
+        F.sequence(F.lit(0), (windows - 1).cast("int")),
+        lambda k: F.pmod(F.xxhash64(F.lit(3), "id", k), F.lit(1_000_003)) < F.col("share") * 1_000_003,
+    )
+    kept = (
+        rows.join(counts.select("label", share.alias("share")), "label")  # one small row a label
+        .select("id", "label", "bytes", F.explode(drawn).alias("at"))
+        .select("id", "at", "label", F.substring("bytes", F.col("at") * size + 1, F.lit(size)).alias("bytes"))
+    )
+    sample = sorted(tuple(r) for r in kept.collect())  # bounded by the parameter
+    labels = sorted({r[2] for r in sample})
     if not sample:
         return ByteNet([], size).compile()
-    x = np.stack([np.frombuffer(r[3], np.uint8) for r in sample])
+    x = np.stack([windows_of(bytes(r[3]), size)[0] for r in sample])
     y = np.array([labels.index(r[2]) for r in sample])
     return ByteNet(labels, size).fit(x, y).compile()
 
 
-OUTPUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
-
-def identify(docs: DataFrame, net: ByteNet, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, net: ByteNet, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` plus ``names``: the likeliest language and its probability."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few MB, whatever the data
 
     def make():
@@ -198,7 +190,8 @@ def identify(docs: DataFrame, net: ByteNet, text_col: str = "text") -> DataFrame
 
         return compute
 
-    return with_computed(docs, [text_col], OUTPUT, make, max_chars=1_000_000)
+    output = T.StructType([T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return with_computed(docs, [text_col], output, make, max_chars=1_000_000)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

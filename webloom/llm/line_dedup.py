@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.skew import free, join_hot, often, quoted
 from webloom.session import materialize
 
 #: The characters stripped at both ends of a line, and the letters that are folded.
@@ -45,12 +46,13 @@ def line_dedup(
     text_col: str = "text",
     min_chars: int = 10,
     min_docs: int = 2,
+    names: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """``docs`` with ``text_col`` rebuilt, plus ``n_lines`` (before) and ``n_dropped`` (long).
+    """``docs`` with ``text_col`` rebuilt, plus ``names``: the lines before and those dropped (long).
 
     A document without dropped lines keeps its text as it is, null included.
     """
-    text, doc = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    text, doc = quoted([text_col, id_col])
     row_hash = F.xxhash64(F.lit(11), text)
     lines = (
         docs.where(doc.isNotNull() & (F.char_length(text) >= min_chars))
@@ -61,41 +63,42 @@ def line_dedup(
     )
     lines = materialize(lines, "line-hashes")
     if min_docs <= 2:
-        common = lines.groupBy("_h1", "_h2").agg(F.min("_id").alias("_keeper"), F.max("_id").alias("_last"))
+        common = lines.groupBy("_h1", "_h2").agg(F.min("_id").alias("_keeper"), F.max("_id").alias("_last"), F.count("*").alias("_lines"))
         if min_docs == 2:
             common = common.where(F.col("_keeper") < F.col("_last"))
     else:
         common = (
             lines.groupBy("_h1", "_h2", "_id")
-            .agg(F.lit(1).alias("_one"))
+            .agg(F.count("*").alias("_one"))
             .groupBy("_h1", "_h2")
-            .agg(F.min("_id").alias("_keeper"), F.sum("_one").alias("_n"))
+            .agg(F.min("_id").alias("_keeper"), F.count("*").alias("_n"), F.sum("_one").alias("_lines"))
             .where(F.col("_n") >= min_docs)
         )
-    common = materialize(common.select("_h1", "_h2", "_keeper"), "line-common")
+    common = common.select(F.col("_h1").alias("_a"), F.col("_h2").alias("_b"), "_keeper", "_lines")
+    common = materialize(common, "line-common")
+    same = (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b"))
+    did, drow, gone = free(docs, "_did", "_drow", "_gone")
     dropped = (
-        lines.join(common, ["_h1", "_h2"])
+        join_hot(lines, common, same, often("_lines", lines.count()), "inner")
         .where(F.col("_id") > F.col("_keeper"))
-        .groupBy("_id", "_row")
-        .agg(F.collect_set("_pos").alias("__ld_drop"))
-    )
-    whole = split_lines(F.col("__ld_text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.col("__ld_n_lines") - 1), F.col("__ld_drop"))
-    rebuilt = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("__ld_lines"), i + 1)), "\n")
-    keyed = docs.withColumns({"__ld_jid": doc, "__ld_jrow": row_hash})
-    joined = keyed.join(
-        dropped.withColumnsRenamed({"_id": "__ld_did", "_row": "__ld_drow"}),
-        (F.col("__ld_jid") == F.col("__ld_did")) & (F.col("__ld_jrow") == F.col("__ld_drow")),
-        "left",
+        .groupBy(F.col("_id").alias(did), F.col("_row").alias(drow))
+        .agg(F.collect_set("_pos").alias(gone))
     )
+    old, split, count = free(docs, "_old", "_split", "_count")
+    kept = F.array_except(F.sequence(F.lit(0), F.col(count) - 1), F.col(gone))
+    rebuilt = F.array_join(F.transform(kept, lambda i: F.element_at(F.col(split), i + 1)), "\n")
+    joined = docs.join(dropped, (doc == F.col(did)) & (row_hash == F.col(drow)), "left")
+    new = {n.lower() for n in names}
     return (
-        joined.withColumn("__ld_text", text)
-        .withColumn("__ld_lines", whole)
-        .withColumn("__ld_n_lines", F.size("__ld_lines"))
-        .withColumn(text_col, F.when(F.col("__ld_drop").isNull(), text).otherwise(rebuilt))
-        .withColumn("n_lines", F.col("__ld_n_lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("__ld_drop"), F.lit(0)).cast("long"))
-        .drop("__ld_text", "__ld_lines", "__ld_n_lines", "__ld_drop", "__ld_jid", "__ld_jrow", "__ld_did", "__ld_drow")
+        joined.withColumn(old, text)
+        .withColumn(split, split_lines(F.col(old)))
+        .withColumn(count, F.size(split))
+        .withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(rebuilt))
+        .select(
+            *quoted([c for c in docs.columns if c.lower() not in new]),
+            F.col(count).cast("long").alias(names[0]),
+            F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(names[1]),
+        )
     )
 
 

@@ -9,7 +9,9 @@ the metadata columns, and the whole file gives the samples back.
 Copies are dropped within a shard as it is written; copies in different shards stay until
 compaction, since dropping them first would shuffle every payload.
 
-Null handling: a null text is empty, and its payload is one unit of zeros. Repeated ids keep all rows.
+Null handling: a null text is empty, and its payload is one unit of zeros. Repeated ids keep all rows, equal texts
+have equal values. A very long text is one payload; shards close behind the file that fills them. An empty table
+gives no shards. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.columns import text_list
-from webloom.llm.repair import open_store
+from webloom.llm.skew import join_hot, often
+from webloom.llm.stores import open_store
 from webloom.session import materialize, ship, work_path
 
 #: Fixed values of the PNG format.
@@ -141,7 +144,7 @@ FACTS = (
 )
 
 
-def read_media(entries: DataFrame, path: str) -> DataFrame:
+def read_media(entries: DataFrame, path: str, range_bytes: int = 1 << 28) -> DataFrame:
     """Facts of each stored payload (digest, shard, offset, length), from ranges of the shards."""
     ship(entries.sparkSession)
 
@@ -172,7 +175,8 @@ def read_media(entries: DataFrame, path: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = entries.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
     in_order = entries.select("digest", "shard", "offset", "length").repartitionByRange(n, "shard", "offset")
     return in_order.sortWithinPartitions("shard", "offset").mapInArrow(run, FACTS)
 
@@ -182,9 +186,12 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     path = work_path(docs.sparkSession, "media")
     rows = write_media(docs, path, id_col, text_col)
     place = F.min(F.struct("shard", "offset", "length")).alias("at")
-    stored = materialize(rows.groupBy("digest").agg(place).select("digest", "at.*"), "media-index")
-    facts = materialize(read_media(stored, path), "media-facts")
-    return rows.select("doc_id", "n_bytes", "digest").join(facts, "digest").join(stored, "digest")
+    stored = materialize(rows.groupBy("digest").agg(place, F.count("*").alias("rows")).select("digest", "at.*", "rows"), "media-index")
+    facts = read_media(stored, path).withColumnRenamed("digest", "_digest")
+    places = stored.withColumnRenamed("digest", "_of")
+    facts = materialize(facts.join(places, F.col("_digest") == F.col("_of")).drop("_of"), "media-facts")
+    found = join_hot(rows.select("doc_id", "n_bytes", "digest"), facts, F.col("digest") == F.col("_digest"), often("rows", rows.count()))
+    return found.drop("_digest", "rows")
 
 
 def digest_columns(media: DataFrame) -> DataFrame:

@@ -2,42 +2,45 @@
 
 Documents are dealt out by ranges of their id, each range sorted, so that file after file holds them
 in ascending order. A file is a row of blocks; each block has its own grammar: frequent id pairs are
-replaced by nonterminals round after round until none is left, and the rules are stored with their expansion lengths. The
-block's index gives where each document begins in the compressed sequence, so that one document, or a
-span of it, can be decoded without what stands before it.
+replaced by nonterminals round after round until none is left, and the rules are stored with their expansion
+lengths. Where each block lies in its file, and which ids it holds, is in the manifest, and again behind the
+blocks of the file; the block's index gives where each document begins in the compressed sequence. So one
+document, or a span of it, is decoded from its own block alone, without what stands before it.
 
 Block layout, little-endian: magic ``WLRP0002``; uint32 counts (documents, rules, symbols, base), a byte
 each for the bits of a symbol and of a length, and two of zero; per document int64 id, uint32 number of
 ids, uint32 first symbol, and a byte that says whether the id is null; then three rows of numbers of as
 many bits as the largest takes, highest bit first, each filled up to a byte: left and right of every rule,
-the rules' expansion lengths, and the symbols.
+the rules' expansion lengths, and the symbols. A file ends with int64 offset, length and ids before it of every
+block, and int64 number of blocks.
 
 Null handling: a null text is empty and holds only the end id; rows without an id come first; repeated
-ids keep all their rows.
+ids keep all their rows, in any order among themselves. A very long text is one document of its block, which
+then exceeds ``block_ids``. An empty table gives no files. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.columns import text_list
+from webloom.llm.stores import open_store, parts_for
 from webloom.llm.tokens import encoder, slices
 from webloom.session import materialize, ship, work_path
 
 MAGIC = b"WLRP0002"
 HEAD = struct.Struct("<8s4I2B2x")
 HASH = np.uint64(0x9E3779B97F4A7C15)
-MANIFEST = "part int, path string, n_docs long, n_tokens long, n_bytes long"
+MANIFEST = "part int, path string, block int, offset long, n_bytes long, start long, n_docs long, n_tokens long, first_id long, last_id long"
 
 
 def _alternate(at: np.ndarray) -> np.ndarray:
@@ -221,9 +224,17 @@ class Block:
         return expand(self.symbols.astype(np.int64), self.flat, self.starts, self.base)
 
 
-def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path that driver and executors share, and the path in it."""
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+def file_index(blocks: list[tuple[int, int, int]]) -> bytes:
+    """What closes a file, from (offset, length, ids before it) of its blocks."""
+    return np.array(blocks, "<i8").tobytes() + struct.pack("<q", len(blocks))
+
+
+def read_index(source, size: int) -> list[tuple[int, int, int]]:
+    """The blocks of an open file of ``size`` bytes, from its end."""
+    source.seek(size - 8)
+    (n,) = struct.unpack("<q", source.read(8))
+    source.seek(size - 8 - 24 * n)
+    return [tuple(row) for row in np.frombuffer(source.read(24 * n), "<i8").reshape(n, 3).tolist()]
 
 
 def write_token_files(
@@ -234,17 +245,18 @@ def write_token_files(
     vocabulary: str = "byte_bpe_50k.json",
     end_id: int = 2,
     block_ids: int = 2_000_000,
-    files: int | None = None,
+    file_bytes: int = 1 << 28,
 ) -> DataFrame:
-    """Write the files and return their manifest, in order: part, path, n_docs, n_tokens, n_bytes.
+    """Write the files and return their manifest, a row for each block; ``start`` counts ids within the file.
 
-    A task that runs again writes a file of another name; the manifest lists the ones that count.
+    A task that runs again writes a file of another name; the manifest lists the ones that count. There are as many
+    files as ``file_bytes`` of text ask for.
     """
     spark = docs.sparkSession
     ship(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     store, where = open_store(path)
     store.create_dir(where, recursive=True)
+    names = [c.strip().split(" ")[0] for c in MANIFEST.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -253,20 +265,23 @@ def write_token_files(
         base = encoder(vocabulary).tokenizer.get_vocab_size(with_added_tokens=True)
         fs, folder = open_store(path)
         target = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.wlrp"
-        sink, totals = None, [0, 0, 0]
+        sink, offset, before, rows = None, 0, 0, []
         doc_ids, counts, held, size = [], [], [], 0
 
         def flush():
-            nonlocal sink, doc_ids, counts, held, size
+            nonlocal sink, offset, before, doc_ids, counts, held, size
             block = encode_block(doc_ids, np.array(counts), np.concatenate(held), base)
             sink = sink or fs.open_output_stream(target)
             sink.write(block)
-            totals[:] = [totals[0] + len(doc_ids), totals[1] + size, totals[2] + len(block)]
+            known = [i for i in doc_ids if i is not None]
+            ends = (known[0], known[-1]) if known else (None, None)
+            rows.append((part, target, len(rows), offset, len(block), before, len(doc_ids), size, *ends))
+            offset, before = offset + len(block), before + size
             doc_ids, counts, held, size = [], [], [], 0
 
         for batch in batches:
             batch_ids, texts = batch.column(0).to_pylist(), text_list(batch.column(1))
-            for begin, end in slices(texts, 2_000_000):
+            for begin, end in slices(texts, min(block_ids, 2_000_000)):
                 own, ends = encode(texts[begin:end], closing)
                 n = np.diff(np.concatenate([[0], ends]))
                 doc_ids += batch_ids[begin:end]
@@ -278,54 +293,89 @@ def write_token_files(
         if doc_ids:
             flush()
         if sink:
+            sink.write(file_index([r[3:6] for r in rows]))
             sink.close()
-            yield pa.RecordBatch.from_pydict(
-                {"part": [part], "path": [target], "n_docs": [totals[0]], "n_tokens": [totals[1]], "n_bytes": [totals[2]]},
-                schema=pa.schema([("part", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("n_docs", "n_tokens", "n_bytes"))]),
-            )
+            kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.int64()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    files = parts_for(narrow, "text", file_bytes)
     sorted_ = narrow.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
     return materialize(sorted_.mapInArrow(run, MANIFEST), "token-manifest")
 
 
+def _open_block(fs, path: str, offset: int, size: int) -> Block:
+    with fs.open_input_file(path) as source:
+        return Block(io.BytesIO(source.read_at(size, offset)))
+
+
+STORED = "doc_id long, start long, n_tokens long, ids binary"
+
+
+def _stored(block: Block, rows: list[int], starts: list[int], ids: list[bytes]) -> pa.RecordBatch:
+    null = block.null[rows].astype(bool)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(block.doc_ids[rows], pa.int64(), mask=null),
+            pa.array(starts, pa.int64()),
+            pa.array([len(i) // 4 for i in ids], pa.int64()),
+            pa.array(ids, pa.binary()),
+        ],
+        names=["doc_id", "start", "n_tokens", "ids"],
+    )
+
+
+def _placed(manifest: DataFrame) -> DataFrame:
+    """The manifest with ``start`` counted over all files: a row for each file goes through the driver."""
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+    at, before = 0, []
+    for r in parts:
+        before.append((r["part"], at))
+        at += r["n"]
+    offsets = manifest.sparkSession.createDataFrame(before, "part int, ids_before long")
+    return manifest.join(offsets, "part").withColumn("start", F.col("start") + F.col("ids_before")).drop("ids_before")
+
+
 def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens and ids (little-endian unsigned 32-bit)."""
-    spark = manifest.sparkSession
-    listed = manifest.orderBy("part").collect()  # one row per file
-    rows, at = [], 0
-    for r in listed:
-        rows.append((r["path"], at))
-        at += r["n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_store(path)
         for batch in batches:
-            for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with fs.open_input_stream(file) as source:
-                    while True:
-                        try:
-                            block = Block(source)
-                        except struct.error:
-                            break
-                        ids = block.all_ids().astype("<u4")
-                        ends = np.cumsum(block.counts.astype(np.int64))
-                        begins = ends - block.counts
-                        for a in range(0, len(ends), 512):
-                            z = min(a + 512, len(ends))
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array(block.doc_ids[a:z], pa.int64(), mask=block.null[a:z].astype(bool)),
-                                    pa.array(begins[a:z] + start, pa.int64()),
-                                    pa.array(block.counts[a:z].astype(np.int64)),
-                                    pa.array([ids[b:e].tobytes() for b, e in zip(begins[a:z], ends[a:z])], pa.binary()),
-                                ],
-                                names=["doc_id", "start", "n_tokens", "ids"],
-                            )
-                        start += int(ends[-1]) if len(ends) else 0
-
-    files = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)), "path")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+            for file, offset, size, start in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                block = _open_block(fs, file, offset, size)
+                ids = block.all_ids().astype("<u4")
+                ends = np.cumsum(block.counts.astype(np.int64))
+                begins = ends - block.counts
+                for a in range(0, len(ends), 512):
+                    z = min(a + 512, len(ends))
+                    own = [ids[b:e].tobytes() for b, e in zip(begins[a:z], ends[a:z])]
+                    yield _stored(block, list(range(a, z)), (begins[a:z] + start).tolist(), own)
+
+    blocks = _placed(manifest).select("path", "offset", "n_bytes", "start")
+    tasks = max(1, blocks.count())
+    return blocks.repartition(min(tasks, 10_000), "path", "offset").mapInArrow(run, STORED)
+
+
+def read_documents(manifest: DataFrame, path: str, doc_ids: list[int], first: int = 0, count: int | None = None) -> DataFrame:
+    """Ids ``first`` to ``first + count`` of some documents, decoded from their own blocks only; columns as above.
+
+    ``start`` is where the span begins among all ids. Each id's documents, if it is repeated, give a row each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_store(path)
+        for batch in batches:
+            for file, offset, size, start in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                block = _open_block(fs, file, offset, size)
+                rows = np.flatnonzero(np.isin(block.doc_ids, doc_ids) & (block.null == 0)).tolist()
+                if rows:
+                    begins = np.cumsum(block.counts.astype(np.int64)) - block.counts
+                    ids = [block.document(k, first, count).astype("<u4").tobytes() for k in rows]
+                    yield _stored(block, rows, (begins[rows] + start + first).tolist(), ids)
+
+    inside = F.exists(F.lit(list(doc_ids)).cast("array<long>"), lambda i: i.between(F.col("first_id"), F.col("last_id")))
+    return _placed(manifest).where(inside).select("path", "offset", "n_bytes", "start").mapInArrow(run, STORED)
 
 
 def digest_columns(stored: DataFrame) -> DataFrame:

@@ -103,12 +103,16 @@ class PieceEncoder:
         self.split = regex.compile(PATTERN).findall
         self.split_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
+        self.space = self.alphabet[ord(" ")]
         self.words = _Pieces(self._word, max_pieces // 2)
         self.rest = _Pieces(lambda piece: self._piece(" " + piece, piece), max_pieces)
         self.first = _Pieces(lambda piece: self._piece(piece, piece) if piece else b"", max_pieces // 8)
 
     def _word(self, word: str) -> bytes:
-        plain = word if word.isascii() and word[0] > " " else word.encode().decode("latin-1").translate(self.alphabet)
+        if word.isascii() and word.isprintable():  # these bytes stand for themselves, but for the space
+            plain = word.replace(" ", self.space)
+        else:
+            plain = word.encode().decode("latin-1").translate(self.alphabet)
         return array("I", map(_ID, self.model.tokenize(plain))).tobytes()
 
     def _piece(self, whole: str, piece: str) -> bytes:
