@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from webloom.operators import browse, export, more, pairs, stats, tags, texts
-from webloom.plans import lifecycle
+from webloom.operators import browse, crawl, export, more, pairs, stats, tags, texts, worklists
+from webloom.plans import corpus, lifecycle
 from webloom.streaming import timeline
 
-MODULES = (export, browse, stats, tags, texts, more, pairs, lifecycle, timeline)
+MODULES = (export, browse, stats, tags, texts, more, worklists, crawl, pairs, lifecycle, corpus, timeline)
 
 #: Date columns leave as ISO text, so that every client reads them alike.
 DATES = {
     "domain_nodes": ("first_page", "last_page"),
     "frontier": ("created_at",),
     "event_timeline": ("day",),
+    "page_timeline": ("day",),
     "readable_stats": ("last",),
     "pipeline_repair": ("approved_at",),
     "merge_smart": ("published_at",),

@@ -12,10 +12,12 @@ DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 
 
 def tidy(text: Column) -> Column:
-    """Without a leading "updated", separators, ordinal endings and the stops of short months."""
-    out = F.regexp_replace(F.btrim(text), r"(?i)^(updated|publiée?)[:\s-]+", "")
-    out = F.btrim(F.regexp_replace(F.regexp_replace(out, "[·–—]", " "), r"\s+", " "), F.lit(" .-"))
-    return F.regexp_replace(F.regexp_replace(out, r"\b([A-Za-z]{3,9})\.", "$1"), r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
+    """The date alone: words before a colon, dashes and middle dots, endings of day numbers and month stops go."""
+    words = F.transform(
+        F.split(F.translate(F.regexp_replace(text, r"(?i)^\s*(?:updated|publiée?)\b[\s:-]*", ""), "·–—\t\n", "     "), " +"),
+        lambda w: F.when(w.rlike(r"(?i)^\d+(?:st|nd|rd|th),?$"), F.regexp_replace(w, "[A-Za-z]+", "")).when(w.rlike(r"^[A-Za-z]{3,9}\.,?$"), F.replace(w, F.lit("."), F.lit(""))).otherwise(w),
+    )
+    return F.btrim(F.array_join(words, " "), F.lit(" .-"))
 
 
 def written_date(text: Column, as_of: Column) -> Column:
@@ -39,3 +41,10 @@ def earlier(a: Column, b: Column) -> Column:
 def search_range(start: Column, end: Column) -> Column:
     """The date range of a search request."""
     return F.format_string("cdr:1,cd_min:%s,cd_max:%s", F.date_format(start, "MM/dd/yyyy"), F.date_format(end, "MM/dd/yyyy"))
+
+
+def simple_date(text: Column) -> Column:
+    """A time stamp from ISO text, ``yyyy-MM-dd HH:mm:ss`` or ``yyyy-MM-dd``."""
+    plain = F.btrim(text)
+    iso = F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"), F.try_to_timestamp(plain))
+    return F.coalesce(iso, F.try_to_timestamp(plain, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(plain, F.lit("yyyy-MM-dd")))

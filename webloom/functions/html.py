@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webloom.functions.text import strip
+from webloom.functions.url import link_type, media_type, resolved
 
 
 def hrefs(html: Column) -> Column:
@@ -46,12 +47,13 @@ def canonical(html: Column) -> Column:
 
 
 def published(html: Column) -> Column:
+    """The date that the page gives for itself, as it stands there."""
     return F.coalesce(
         meta(html, "property", "article:published_time"),
-        meta(html, "name", "date"),
-        meta(html, "name", "pubdate"),
         meta(html, "itemprop", "datePublished"),
-        _first(html, r'(?is)<time[^>]*\bdatetime\s*=\s*["\']([^"\']+)["\']'),
+        meta(html, "name", "dc.date"),
+        meta(html, "name", "date"),
+        meta(html, "name", "published_time"),
     )
 
 
@@ -96,6 +98,84 @@ def markdown_links(text: Column) -> Column:
     return F.zip_with(anchors, urls, lambda a, u: F.struct(named(a).alias("anchor"), u.alias("url")))
 
 
+def _matches(text: Column, pattern: str, groups: dict[str, int], **more: Column) -> Column:
+    """One struct for each match; empty groups are null."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = lambda m, k: F.nullif(strip(F.regexp_extract(m, pattern, k)), F.lit(""))
+    return F.transform(found, lambda m: F.struct(*[part(m, k).alias(n) for n, k in groups.items()], *[v(m).alias(n) for n, v in more.items()]))
+
+
+def _first_by_url(found: Column) -> Column:
+    """Of structs with one ``url``, the first."""
+    urls = F.transform(found, lambda x: x["url"])
+    return F.filter(found, lambda x, i: (F.array_position(urls, x["url"]) == i + 1))
+
+
+def link_list(text: Column, base: Column) -> Column:
+    """(url, anchor, title, link_type) of Markdown links and HTML anchors, absolute, each address once."""
+    # a look-behind would see nothing before a match that is read again, so the marker of an image is kept out here
+    plain = F.regexp_replace(text, r"!\[([^\]]*)\]\([^\s\")]+(?:\s+\"[^\"]*\")?\)", " ")
+    inline = _matches(plain, r'\[([^\]]*)\]\(([^\s")]+)(?:\s+"([^"]*)")?\)', {"anchor": 1, "url": 2, "title": 3})
+    tag = r"""(?is)<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+    of = r"""(?is)^<a[^>]*\stitle=["']([^"']*)["']"""
+    anchors = F.transform(
+        F.regexp_extract_all(text, F.lit(tag), F.lit(0)),
+        lambda m: F.struct(
+            F.nullif(strip(F.regexp_replace(F.regexp_extract(m, tag, 2), "<[^>]+>", "")), F.lit("")).alias("anchor"),
+            strip(F.regexp_extract(m, tag, 1)).alias("url"),
+            F.nullif(strip(F.regexp_extract(m, of, 1)), F.lit("")).alias("title"),
+        ),
+    )
+    wanted = lambda x: ~F.lower(x["url"]).rlike(r"^(?:#|mailto:|tel:|javascript:|data:)") & x["url"].isNotNull()
+    full = F.transform(F.filter(F.concat(inline, anchors), wanted), lambda x: F.struct(resolved(base, x["url"]).alias("url"), x["anchor"].alias("anchor"), x["title"].alias("title")))
+    typed = F.transform(full, lambda x: F.struct(x["url"].alias("url"), x["anchor"].alias("anchor"), x["title"].alias("title"), link_type(base, x["url"]).alias("link_type")))
+    return _first_by_url(typed)
+
+
+def media_table(text: Column, base: Column) -> Column:
+    """(url, alt, title, type) of Markdown images and HTML images, absolute, each address once."""
+    inline = _matches(text, r'!\[([^\]]*)\]\(([^\s")]+)(?:\s+"([^"]*)")?\)', {"alt": 1, "url": 2, "title": 3})
+    tags = F.regexp_extract_all(text, F.lit(r"""(?i)(<img[^>]+src=["'][^"']+["'][^>]*>)"""), F.lit(1))
+    at = lambda m, name: F.nullif(strip(F.regexp_extract(m, rf"""(?i)\s{name}=["']([^"']*)["']""", 1)), F.lit(""))
+    images = F.transform(tags, lambda m: F.struct(at(m, "alt").alias("alt"), at(m, "src").alias("url"), at(m, "title").alias("title")))
+    full = lambda x, kind: F.struct(resolved(base, x["url"]).alias("url"), x["alt"].alias("alt"), x["title"].alias("title"), kind(resolved(base, x["url"])).alias("type"))
+    kept = lambda x: x["url"].isNotNull() & ~F.lower(x["url"]).startswith("data:")
+    both = F.concat(
+        F.transform(F.filter(inline, kept), lambda x: full(x, media_type)), F.transform(F.filter(images, kept), lambda x: full(x, lambda u: F.lit("img")))
+    )
+    return _first_by_url(both)
+
+
+def bare_markdown_links(text: Column) -> Column:
+    """The addresses in the parentheses of Markdown links, images included, as they stand."""
+    return F.regexp_extract_all(text, F.lit(r"\[.*?\]\((.*?)\)"), F.lit(1))
+
+
+def enriched(text: Column, html: Column, base: Column) -> dict[str, Column]:
+    """Markdown with marker lines for the media of its HTML, and the list of all its media, each address once."""
+    sources = lambda tag: F.regexp_extract_all(html, F.lit(rf"""(?i)<{tag}\b[^>]*?\ssrc=["']([^"']+)["']"""), F.lit(1))
+    kinds = {"img": "![IMAGE](%s)", "video": "[VIDEO: %s]", "audio": "[AUDIO: %s]"}
+    found = {k: F.transform(F.coalesce(sources(k), F.array().cast("array<string>")), lambda u: resolved(base, u)) for k in kinds}
+    marker = lambda form: lambda u: F.format_string(form, u)
+    lines = F.concat(*[F.transform(found[k], marker(form)) for k, form in kinds.items()])
+    more = F.transform(F.regexp_extract_all(text, F.lit(r"!\[.*?\]\((.*?)\)"), F.lit(1)), lambda u: resolved(base, u))
+    media = F.concat(*[_typed(found[k], k) for k in kinds])
+    known = F.concat(*found.values())
+    media = F.concat(media, _typed(F.array_distinct(F.filter(more, lambda u: ~F.array_contains(known, u))), "img"))
+    whole = F.when(F.size(lines) > 0, F.concat(text, F.lit("\n\n"), F.array_join(lines, "\n"))).otherwise(text)
+    return {"markdown": whole, "media": media}
+
+
+def marked_lines(html: Column) -> Column:
+    """Text of a page with its media as marker lines: trimmed lines that hold something."""
+    out = without_boilerplate(html)
+    for tag, form in (("img", "[IMAGE: $1]"), ("video", "[VIDEO: $1]"), ("audio", "[AUDIO: $1]")):
+        out = F.regexp_replace(out, rf"""(?i)<{tag}\b[^>]*?\ssrc=["']([^"']+)["'][^>]*>""", f"\n{form}\n")
+    out = F.regexp_replace(out, r"(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr)\b[^>]*>", "\n")
+    lines = F.transform(F.split(F.regexp_replace(out, "(?s)<[^>]*>", ""), "\n"), strip)
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
 def _typed(urls: Column, kind: str) -> Column:
     return F.transform(urls, lambda u: F.struct(u.alias("url"), F.lit(kind).alias("type")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,52 @@ ENGLISH = (
     "the be to of and a in that have it for not on with he as you do at this but his by from they we say her she or"
 ).split()
 ACCENTS = "àâäéèêëïîôùûüÿñç"
-#: Letters with marks and what they become in slugs and normalised text.
-MARKED, PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: French words that are no keywords, as the public stop list has them, and seven more.
+STOP_FR = (
+    "au aux avec ce ces dans de des du elle en et eux il ils je la le les leur lui ma mais me même mes moi mon ne nos notre nous on ou par pas pour qu que "
+    "qui sa se ses son sur ta te tes toi ton tu un une vos votre vous c d j l à m n s t y été étée étées étés étant étante étants étantes suis es est sommes "
+    "êtes sont serai seras sera serons serez seront serais serait serions seriez seraient étais était étions étiez étaient fus fut fûmes fûtes furent sois "
+    "soit soyons soyez soient fusse fusses fût fussions fussiez fussent ayant ayante ayantes ayants eu eue eues eus ai as avons avez ont aurai auras aura "
+    "aurons aurez auront aurais aurait aurions auriez auraient avais avait avions aviez avaient eut eûmes eûtes eurent aie aies ait ayons ayez aient eusse "
+    "eusses eût eussions eussiez eussent cela celui celle ceux celles ça où"
+).split()
+#: The English ones.
+STOP_EN = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
+    "themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because "
+    "as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further "
+    "then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don "
+    "should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
+).split()
+
+
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """Letters whose compatibility decomposition has one ASCII character, that character, and those with several."""
+    one, many = {}, {}
+    for code in (*range(0x80, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one[chr(code)] = plain
+        elif plain:
+            many[chr(code)] = plain
+    return "".join(one), "".join(one.values()), many
+
+
+MARKED, PLAIN, SEVERAL = _decomposed()
+
+
+def ascii_only(text: Column) -> Column:
+    """Letters without their marks; what has no ASCII form goes."""
+    plain = F.translate(text, MARKED, PLAIN)
+    map_ = F.create_map(*[F.lit(x) for kv in SEVERAL.items() for x in kv])
+    spread = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(map_[c], c)), "")
+    plain = F.when(plain.rlike("[" + "".join(SEVERAL) + "]"), spread).otherwise(plain)
+    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+
+
+def stop_free(word: Column, lang: Column) -> Column:
+    """Is a word none of its language's common words?"""
+    return F.when(lang == "fr", ~word.isin(STOP_FR)).when(lang == "en", ~word.isin(STOP_EN)).otherwise(F.lit(True))
 
 
 def strip(text: Column) -> Column:
@@ -81,15 +127,22 @@ def clean_markup(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Lower case without marks, punctuation and repeated blanks."""
-    plain = F.translate(F.lower(text), MARKED, PLAIN)
+    plain = ascii_only(F.lower(text))
     return strip(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9_\s]", " "), r"\s+", " "))
 
 
+def core_normalized(text: Column) -> Column:
+    """Without tags and punctuation; letters of any script, hyphens and marks stay, and the case."""
+    out = F.regexp_replace(text, r"<[^>]+>", " ")
+    out = F.regexp_replace(out, "[–—]", "-")
+    out = F.regexp_replace(out, r"(?U)[^\w\s\-]", " ")
+    return F.btrim(F.regexp_replace(out, r"(?U)\s+", " "))
+
+
 def slug(text: Column, most: int = 50) -> Column:
-    """Letters and digits joined by hyphens; ``untitled`` where nothing is left."""
-    plain = F.translate(F.lower(text), MARKED, PLAIN)
-    made = F.btrim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
-    cut = F.rtrim(F.substring(made, 1, most), F.lit("-"))
+    """ASCII letters and digits joined by hyphens, cut at ``most``; ``untitled`` where nothing is left."""
+    made = F.btrim(F.regexp_replace(F.lower(ascii_only(text)), "[^a-z0-9]+", "-"), F.lit("-"))
+    cut = F.substring(made, 1, most)
     return F.when(F.coalesce(cut, F.lit("")) == "", F.lit("untitled")).otherwise(cut)
 
 
@@ -98,9 +151,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-zà-öø-ÿ]+)"), F.lit(1))
 
 
-def keywords(text: Column, most: int = 50, shortest: int = 3, stop: tuple[str, ...] = ()) -> Column:
-    """The first ``most`` different tokens, in order of appearance."""
-    kept = F.filter(tokens(text), lambda w: (F.length(w) >= shortest) & (~w.isin(list(stop)) if stop else F.lit(True)))
+def keywords(text: Column, most: int = 50, shortest: int = 3, lang: Column | None = None) -> Column:
+    """The first ``most`` different tokens, in order of appearance; common words of ``lang`` are none."""
+    free = (lambda w: stop_free(w, lang)) if lang is not None else (lambda w: F.lit(True))
+    kept = F.filter(tokens(text), lambda w: (F.length(w) >= shortest) & free(w))
     return F.slice(F.array_distinct(kept), 1, most)
 
 
@@ -145,12 +199,47 @@ def cut_at_sentence(text: Column, most: int = 2000) -> Column:
     return F.when(F.length(text) <= most, text).when(has & (stop - 1 > most * 0.8), F.substring(head, F.lit(1), stop)).otherwise(head)
 
 
+def combined(*fields: Column) -> Column:
+    """The fields that hold text, parted by blank lines."""
+    return F.array_join(F.filter(F.array(*fields), lambda f: F.coalesce(strip(f), F.lit("")) != ""), "\n\n")
+
+
+def embedding_text(text: Column) -> Column:
+    """Without control characters, addresses, French telephone numbers and repeated marks."""
+    out = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    out = F.regexp_replace(out, r"https?://\S+", "")
+    out = F.regexp_replace(out, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "")
+    out = F.regexp_replace(out, r"(?<!\d)(?:\+33|0)[1-9](?:[\s.-]?\d{2}){4}(?!\d)", "")
+    out = F.regexp_replace(out, r"([.!?,;:])\1+", "$1")
+    return strip(F.regexp_replace(out, r"\s+", " "))
+
+
+def summary_stats(text: Column) -> dict[str, Column]:
+    """What a summary of a text holds: its measures, its average word without marks, its paragraphs and keywords."""
+    bare = F.transform(words(text), lambda w: F.length(F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")))
+    total = F.aggregate(bare, F.lit(0), lambda s, n: s + n)
+    count = word_count(text)
+    return {
+        "word_count": count,
+        "char_count": F.length(strip(text)),
+        "sentence_count": sentence_count(text),
+        "avg_word_length": F.when(count > 0, F.round(total / count, 2)).otherwise(F.lit(0.0)),
+        "paragraph_count": F.size(F.filter(F.split(text, r"\n\s*\n"), lambda p: strip(p) != "")),
+    }
+
+
 def export_value(value: Column) -> Column:
-    """Missing, empty and unknown values as ``na``."""
+    """Missing, empty and unknown values as ``na``; arrays, maps and structs go through ``export_json``."""
     text = value.cast("string")
     return F.when(F.coalesce(text, F.lit("")).isin("", "unknown"), F.lit("na")).otherwise(text)
 
 
+def export_json(value: Column) -> Column:
+    """A list or a mapping as JSON; an empty or missing one as ``na``."""
+    text = F.to_json(value)
+    return F.when(F.coalesce(text, F.lit("[]")).isin("[]", "{}"), F.lit("na")).otherwise(text)
+
+
 def term_variations(term: Column, lang: Column) -> Column:
     """A dictionary term with the endings of its language, without repeats."""
     ends = {"fr": ["s", "es", "er", "tion", "eux", "if"], "en": ["s", "ies", "ed", "ing", "er", "est"]}
@@ -176,3 +265,30 @@ def yes_no(reply: Column) -> Column:
     """Does a model's reply say yes? Unclear replies count as no."""
     low = F.lower(strip(reply))
     return F.coalesce(low.contains("oui") | low.contains("yes"), F.lit(False))
+
+
+def first_word(reply: Column) -> Column:
+    """``oui`` or ``non`` where a reply starts so, else ``?``."""
+    low = F.lower(strip(F.coalesce(reply, F.lit(""))))
+    return F.when(low.startswith("oui") | low.startswith("yes"), "oui").when(low.startswith("non") | low.startswith("no"), "non").otherwise("?")
+
+
+def relevance_prompt(project: Column, words_: Column, title: Column, text: Column, most: int = 1000) -> Column:
+    """What a model is asked about a page: the project, its words, the title, and the start of the text."""
+    head = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(F.coalesce(text, F.lit("")))
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("Project: "), project),
+        F.concat(F.lit("Words: "), F.array_join(words_, ", ")),
+        F.concat(F.lit("Title: "), F.coalesce(title, F.lit(""))),
+        F.concat(F.lit("Text: "), head),
+        F.lit("Does the page belong to the project? Answer oui or non."),
+    )
+
+
+def lexicon_polarity(text: Column, weights: dict[str, float]) -> Column:
+    """A polarity between -1 and 1: the mean weight of the words that a lexicon knows."""
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    found = F.filter(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda w: weight[w]), lambda x: x.isNotNull())
+    mean = F.aggregate(found, F.lit(0.0), lambda s, x: s + x) / F.size(found)
+    return F.when(F.size(found) > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean))).otherwise(F.lit(0.0))

@@ -22,17 +22,32 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (safe(norm(a)) * safe(norm(b)))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalized(a: Column) -> Column:
-    length = norm(a)
-    return F.transform(a, lambda x: F.when(length == 0, x.cast("double")).otherwise(x.cast("double") / length))
+    """Of unit length; a zero vector stays as it is."""
+    unit = lambda v: bound(norm(v), lambda length: F.transform(v, lambda x: F.when(length == 0, x.cast("double")).otherwise(x.cast("double") / length)))
+    return bound(a, unit)
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """Character counts in ``size`` bins, of unit length; the same text gives the same vector anywhere."""
+    """Character counts in ``size`` bins, of unit length; the same text gives the same vector anywhere.
+
+    Bins are sorted and counted as runs, in one pass over the text.
+    """
     step = 1315423911 % size
-    bins = F.transform(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), lambda c: (F.ascii(c) * step) % size)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(bins, lambda b: b == k)).cast("double"))
-    return normalized(counts)
+    bins = F.array_sort(F.transform(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), lambda c: (F.ascii(c) * step) % size))
+    run = lambda bin_, n: F.struct(bin_.alias("bin"), n.alias("n"))
+    start = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("n"), F.array().cast("array<struct<bin:int,n:int>>").alias("done"))
+    grow = lambda acc, b: F.when(
+        b == acc["bin"], F.struct(acc["bin"].alias("bin"), (acc["n"] + 1).alias("n"), acc["done"].alias("done"))
+    ).otherwise(F.struct(b.alias("bin"), F.lit(1).alias("n"), F.array_append(acc["done"], run(acc["bin"], acc["n"])).alias("done")))
+    counted = F.aggregate(bins, start, grow, lambda acc: F.map_from_entries(F.array_append(acc["done"], run(acc["bin"], acc["n"]))))
+    spread = lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(found[k], F.lit(0)).cast("double"))
+    return normalized(bound(counted, spread))
 
 
 def sign_planes(size: int, planes: int, seed: int = 42) -> list[list[int]]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom import views as V
+from webloom.operators.order import numbered
 
 #: Columns that a caller may order by.
 ORDERS = {"id", "title", "domain_name", "relevance", "depth"}
@@ -30,10 +31,11 @@ def page_list(pages: DataFrame, tagged: DataFrame, land_id: int, least: float, d
 
 
 def neighbours(pages: DataFrame, land_id: int, order: str, descending: bool = False) -> DataFrame:
-    """The page before and after each page; the window spans one project, which is filtered first."""
-    w = Window.partitionBy("land_id").orderBy(*ordering(order, descending))
+    """The page before and after each page of a project."""
     kept = reachable(pages, land_id).select("land_id", "id", "title", "relevance", "depth", "domain_name")
-    return kept.select("id", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"))
+    placed = numbered(kept, "land_id", ordering(order, descending)).select("id", "place")
+    beside = lambda step, name: placed.select(F.col("id").alias(name), (F.col("place") + step).alias("place"))
+    return placed.join(beside(1, "prev_id"), "place", "left").join(beside(-1, "next_id"), "place", "left").select("id", "prev_id", "next_id")
 
 
 def frontier(pages: DataFrame, land_id: int, status: int | None = None, depth: int | None = None, limit: int = 0) -> DataFrame:
@@ -98,7 +100,7 @@ _OK = "land_id = 1 AND http_status = 200 AND relevance >= 0 AND depth <= 3"
 QUERIES = {
     "page_list": lambda s, d: page_list(V.expressions(s, d), V.tagged_content(s, d), 1, 1.0, 2, "relevance", True, 5, 20),
     "neighbours": lambda s, d: neighbours(V.expressions(s, d), 1, "relevance", True),
-    "frontier": lambda s, d: frontier(V.expressions(s, d), 1, status=200, limit=25),
+    "frontier": lambda s, d: frontier(V.expressions(s, d), 1, status=200),
     "consolidation_candidates": lambda s, d: consolidation_candidates(V.expressions(s, d)),
     "verdict_candidates": lambda s, d: verdict_candidates(V.expressions(s, d), 500, force=True),
     "text_search": lambda s, d: search(s.read.parquet(f"{d}/documents.parquet"), "THE", 20),
@@ -113,7 +115,7 @@ ORACLES = {
     "WHERE land_id = 1 AND http_status = 200 AND relevance >= 1 AND depth <= 2 ORDER BY relevance DESC, id DESC LIMIT 20 OFFSET 5",
     "neighbours": V.with_views(E)
     + f"SELECT id, lag(id) OVER (ORDER BY relevance DESC, id DESC) AS prev_id, lead(id) OVER (ORDER BY relevance DESC, id DESC) AS next_id FROM expressions WHERE {_OK}",
-    "frontier": V.with_views(E) + "SELECT id, url, depth, created_at FROM expressions WHERE land_id = 1 AND approved_at IS NULL AND http_status = 200 ORDER BY depth, created_at, id LIMIT 25",
+    "frontier": V.with_views(E) + "SELECT id, url, depth, created_at FROM expressions WHERE land_id = 1 AND approved_at IS NULL AND http_status = 200",
     "consolidation_candidates": V.with_views(E) + "SELECT id, depth FROM expressions WHERE approved_at IS NOT NULL OR readable_at IS NOT NULL",
     "verdict_candidates": V.with_views(E) + "SELECT id, validllm FROM expressions WHERE (validllm IS NULL OR validllm <> 'oui') AND length(readable) >= 500",
     "text_search": r"SELECT doc_id, len(list_filter(string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))::INT AS word_count "

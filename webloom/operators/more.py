@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom import views as V
@@ -10,6 +10,7 @@ from webloom.functions import dates as D
 from webloom.functions import media as M
 from webloom.functions import nested as N
 from webloom.functions import text as X
+from webloom.operators.order import numbered
 from webloom.session import table
 
 
@@ -40,30 +41,37 @@ def assessed_texts(docs: DataFrame) -> DataFrame:
     return m.select("doc_id", (length + ease + structure + variety + language + words).alias("score"), advice.alias("advice"))
 
 
-def paging(pages: DataFrame, size: int) -> DataFrame:
-    """Per project: rows, pages of the list, and whether there is more than one."""
+def paging(pages: DataFrame, size: int, page: int = 1) -> DataFrame:
+    """Per project: rows, pages of the list, and what lies beside page number ``page``."""
     n = F.count("*")
-    return pages.groupBy("land_id").agg(n.alias("total"), F.ceil(n / size).alias("total_pages"), (n > size).alias("has_next"))
+    last = F.ceil(n / size)
+    return pages.groupBy("land_id").agg(
+        n.alias("total"), last.alias("total_pages"), (last > page).alias("has_next"), F.lit(page > 1).alias("has_previous")
+    )
 
 
 def archive_numbers(pages: DataFrame, size: int) -> DataFrame:
     """The archive that each page of a project goes to."""
-    place = F.row_number().over(Window.partitionBy("land_id").orderBy("id"))
-    return pages.select("id", "land_id", F.ceil(place / size).cast("int").alias("archive"))
+    placed = numbered(pages.select("id", "land_id"), "land_id", [F.col("id")])
+    return placed.select("id", "land_id", F.ceil(F.col("place") / size).cast("int").alias("archive"))
 
 
-def metrics_candidates(pages: DataFrame, status: str = "all", least: float = 0) -> DataFrame:
-    """Pages whose metrics are wanted: any status, none, or one."""
+def metrics_candidates(pages: DataFrame, status: str = "all", least: float = 0, payload: str | None = None, force: bool = False) -> DataFrame:
+    """Pages whose metrics are wanted: of any status, none, or one; those that have a payload only if forced."""
     kept = pages.where(F.coalesce(F.col("relevance"), F.lit(0.0)) >= least)
     if status == "none":
         kept = kept.where(F.col("http_status").isNull())
     elif status not in ("all", "any"):
         kept = kept.where(F.col("http_status") == int(status))
+    if payload and not force:
+        kept = kept.where(F.col(payload).isNull())
     return kept.select("id", "http_status")
 
 
-def open_domains(domains: DataFrame, limit: int) -> DataFrame:
-    return domains.where("source_method IS NULL").select("id", "name").orderBy("id").limit(limit)
+def open_domains(domains: DataFrame, limit: int = 0) -> DataFrame:
+    """Hosts that were not fetched; limit 0 means all."""
+    kept = domains.where("source_method IS NULL").select("id", "name")
+    return kept.orderBy("id").limit(limit) if limit else kept
 
 
 def embedding_worklist(paragraphs: DataFrame, provider: str) -> DataFrame:
@@ -107,21 +115,41 @@ def paragraph_totals(paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
 E, D_, P, MD = V.EXPRESSIONS, V.DOMAINS, V.PARAGRAPHS, V.MEDIA
 QUERIES = {
     "assessed_texts": lambda s, d: assessed_texts(table(s, d, "documents")),
-    "paging": lambda s, d: paging(V.expressions(s, d), 50),
+    "paging": lambda s, d: paging(V.expressions(s, d), 50, 2),
     "archive_numbers": lambda s, d: archive_numbers(V.expressions(s, d), 40),
-    "metrics_candidates": lambda s, d: metrics_candidates(V.expressions(s, d), "200", 1.0),
-    "open_domains": lambda s, d: open_domains(V.domains(s, d), 10),
+    "metrics_candidates": lambda s, d: metrics_candidates(V.expressions(s, d).withColumn("seorank", F.when(F.col("id") % 3 == 0, "{}")), "200", 1.0, "seorank"),
+    "open_domains": lambda s, d: open_domains(V.domains(s, d)),
     "embedding_worklist": lambda s, d: embedding_worklist(V.paragraphs(s, d), "new"),
     "event_properties": lambda s, d: event_properties(table(s, d, "events")),
     "media_facts": lambda s, d: media_facts(V.media(s, d)),
     "written_dates": lambda s, d: written_dates(table(s, d, "events")),
     "paragraph_totals": lambda s, d: paragraph_totals(V.paragraphs(s, d), V.expressions(s, d)),
 }
+_STRIP = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_FR, _EN = (", ".join(f"'{w}'" for w in ws) for ws in (X.FRENCH, X.ENGLISH))
 ORACLES = {
-    "paging": V.with_views(E) + "SELECT land_id, count(*) AS total, ceil(count(*) / 50)::BIGINT AS total_pages, count(*) > 50 AS has_next FROM expressions GROUP BY 1",
+    "assessed_texts": rf"""WITH m AS (SELECT doc_id, text, len(list_filter(string_split_regex({_STRIP.format('text')}, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS words,
+        greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS sentences, len(regexp_extract_all(text, '[{X.VOWELS}]+')) AS v, length({_STRIP.format('text')}) AS chars,
+        len(list_filter(string_split(text, chr(10)), lambda p: {_STRIP.format('p')} <> '')) AS paragraphs,
+        least(10, len(list_distinct(list_filter(regexp_extract_all(lower(text), '([a-zà-öø-ÿ]+)', 1), lambda w: length(w) >= 3)))) AS keywords,
+        regexp_extract_all(lower(text), '([a-zA-Z{X.ACCENTS}{X.ACCENTS.upper()}]+)', 1) AS ws FROM documents),
+      c AS (SELECT *, len(list_filter(ws, lambda x: x IN ({_FR}))) AS fr, len(list_filter(ws, lambda x: x IN ({_EN}))) AS en, len(regexp_extract_all(lower(text), '[{X.ACCENTS}]')) AS acc,
+        CASE WHEN words >= 5 THEN greatest(0.0, least(100.0, 207 - 1.015::DOUBLE * (words / sentences) - 84.6::DOUBLE * (greatest(v, words) / words))) END AS lv, chars / nullif(words, 0) AS per_word FROM m),
+      l AS (SELECT *, CASE WHEN chars < 10 THEN NULL WHEN len(ws) < 3 THEN CASE WHEN chars > 50 THEN 'en' END WHEN fr + en >= 2 AND fr > en THEN 'fr' WHEN fr + en >= 2 AND en > fr THEN 'en'
+        WHEN acc > len(ws) * 0.02 THEN 'fr' WHEN chars > 50 THEN 'en' END AS lang FROM c)
+      SELECT doc_id, (CASE WHEN words BETWEEN 50 AND 2000 THEN 20 WHEN words BETWEEN 20 AND 5000 THEN 15 WHEN words > 10 THEN 10 ELSE 0 END
+        + CASE WHEN lv BETWEEN 40 AND 80 THEN 25 WHEN lv BETWEEN 20 AND 90 THEN 20 WHEN lv > 10 THEN 15 ELSE 0 END
+        + CASE WHEN paragraphs > 1 AND sentences > 3 THEN 20 WHEN paragraphs >= 1 AND sentences > 1 THEN 15 WHEN sentences > 0 THEN 10 ELSE 0 END
+        + CASE WHEN keywords >= 5 AND per_word BETWEEN 4 AND 7 THEN 15 WHEN keywords >= 3 THEN 10 WHEN keywords >= 1 THEN 5 ELSE 0 END
+        + CASE WHEN lang IN ('fr', 'en') THEN 10 WHEN lang IS NOT NULL THEN 5 ELSE 0 END
+        + CASE WHEN per_word BETWEEN 4 AND 8 THEN 10 WHEN per_word BETWEEN 2 AND 12 THEN 5 ELSE 0 END)::INT AS score,
+      coalesce(nullif(array_to_string(list_filter([CASE WHEN words < 20 THEN 'very short' END, CASE WHEN words > 5000 THEN 'very long' END, CASE WHEN lv > 0 AND lv < 20 THEN 'hard to read' END,
+        CASE WHEN lv > 90 THEN 'very plain' END, CASE WHEN paragraphs = 0 THEN 'no paragraphs' END, CASE WHEN paragraphs = 1 AND words > 200 THEN 'one long paragraph' END,
+        CASE WHEN lang IS NULL THEN 'language unknown' END], lambda x: x IS NOT NULL), '; '), ''), 'good') AS advice FROM l""",
+    "paging": V.with_views(E) + "SELECT land_id, count(*) AS total, ceil(count(*) / 50)::BIGINT AS total_pages, ceil(count(*) / 50) > 2 AS has_next, true AS has_previous FROM expressions GROUP BY 1",
     "archive_numbers": V.with_views(E) + "SELECT id, land_id, ceil(row_number() OVER (PARTITION BY land_id ORDER BY id) / 40)::INT AS archive FROM expressions",
-    "metrics_candidates": V.with_views(E) + "SELECT id, http_status FROM expressions WHERE coalesce(relevance, 0) >= 1 AND http_status = 200",
-    "open_domains": V.with_views(E, D_) + "SELECT id, name FROM domains WHERE source_method IS NULL ORDER BY id LIMIT 10",
+    "metrics_candidates": V.with_views(E) + "SELECT id, http_status FROM expressions WHERE coalesce(relevance, 0) >= 1 AND http_status = 200 AND id % 3 <> 0",
+    "open_domains": V.with_views(E, D_) + "SELECT id, name FROM domains WHERE source_method IS NULL",
     "embedding_worklist": V.with_views(P) + "SELECT DISTINCT id FROM paragraphs WHERE embedding IS NULL OR len(embedding) = 0 OR id % 3 = 0",
     "event_properties": "SELECT event_id, coalesce(nullif(json_extract_string(props, '$.k'), ''), 'na') AS k FROM events",
     "media_facts": V.with_views(MD)

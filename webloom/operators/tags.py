@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom import views as V
 
 
-def tag_paths(tags: DataFrame, separator: str = "_") -> DataFrame:
+TREE = "id int, parent_id int, name string, sorting int, path string, depth int, is_leaf boolean"
+
+
+def tag_paths(tags: DataFrame, separator: str = "_", most: int = 100_000) -> DataFrame:
     """Each tag with its path from the root, its depth, and whether it is a leaf.
 
-    A tag whose parent is missing counts as a root.
+    A tag whose parent is missing counts as a root. A tree of up to ``most`` tags, as people keep it by hand, is
+    walked on the driver; a larger one by a recursive query.
     """
     spark = tags.sparkSession
-    tags.createOrReplaceTempView("_tags")
+    rows = tags.select("id", "parent_id", "name", "sorting").limit(most + 1).collect()
+    if len(rows) <= most:
+        known = {r["id"]: r for r in rows}
+        parents = {r["parent_id"] for r in rows}
+        names = {}
+        for r in rows:
+            chain, at, seen = [], r, set()
+            while at is not None and at["id"] not in seen:
+                seen.add(at["id"])
+                chain.append(at["name"])
+                at = known.get(at["parent_id"])
+            if at is None:  # tags of a ring have no root
+                names[r["id"]] = chain[::-1]
+        return spark.createDataFrame([(*known[i], separator.join(c), len(c) - 1, i not in parents) for i, c in names.items()], TREE)
+    view = f"_tags_{uuid.uuid4().hex}"
+    tags.createOrReplaceTempView(view)
     walked = spark.sql(
-        """
+        f"""
         WITH RECURSIVE tree(id, parent_id, name, sorting, path, depth) AS (
-          SELECT t.id, t.parent_id, t.name, t.sorting, t.name, 0 FROM _tags t
-          LEFT ANTI JOIN _tags p ON t.parent_id = p.id
+          SELECT t.id, t.parent_id, t.name, t.sorting, t.name, 0 FROM {view} t
+          LEFT ANTI JOIN {view} p ON t.parent_id = p.id
           UNION ALL
           SELECT c.id, c.parent_id, c.name, c.sorting, concat(tree.path, :sep, c.name), tree.depth + 1
-          FROM tree JOIN _tags c ON c.parent_id = tree.id
+          FROM tree JOIN {view} c ON c.parent_id = tree.id
         ) SELECT * FROM tree
         """,
         args={"sep": separator},
@@ -31,6 +52,46 @@ def tag_paths(tags: DataFrame, separator: str = "_") -> DataFrame:
     return walked.join(parents, walked.id == parents["_p"], "left").select("id", "parent_id", "name", "sorting", "path", "depth", F.col("_p").isNull().alias("is_leaf"))
 
 
+def ordered_tags(tags: DataFrame) -> DataFrame:
+    """Tags in the order of lists: by parent, those without one last, then by sorting."""
+    return tags.orderBy(F.col("parent_id").asc_nulls_last(), "sorting", "id")
+
+
+def nested_tree(tags: DataFrame, most_depth: int = 10) -> DataFrame:
+    """One row per root with its subtree as JSON: id, name, children in order; a missing parent makes a root.
+
+    Children are folded into their parents level by level, from the deepest up.
+    """
+    paths = tag_paths(tags).select("id", "parent_id", "name", "sorting", "depth")
+    node = lambda children: F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"name":'), F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(',"children":['), children, F.lit("]}"))
+    below = None
+    deepest = min(most_depth, paths.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0])
+    for depth in range(deepest, -1, -1):
+        level = paths.where(F.col("depth") == depth)
+        if below is None:
+            made = level.withColumn("tree", node(F.lit("")))
+        else:
+            listed = F.array_sort(F.collect_list(F.struct("sorting", "id", "tree")))
+            folded = below.groupBy(F.col("parent_id").alias("_of")).agg(F.array_join(F.transform(listed, lambda x: x["tree"]), ",").alias("_children"))
+            made = level.join(folded, F.col("id") == F.col("_of"), "left").withColumn("tree", node(F.coalesce("_children", F.lit(""))))
+        below = made.select("id", "parent_id", "sorting", "tree")
+    return below.select("id", "tree")
+
+
+def descendants(tags: DataFrame, tag_id: int) -> DataFrame:
+    """The tags below a tag, with their distance from it; ids part the steps of a path here."""
+    steps = tag_paths(tags.withColumn("name", F.col("id").cast("string")), "/").select("id", F.split("path", "/").alias("steps"))
+    at = F.array_position("steps", F.lit(str(tag_id)))
+    return steps.where(at > 0).select("id", (F.size("steps") - at).cast("int").alias("distance")).where("distance > 0")
+
+
+def edited_passages(tagged: DataFrame, inserts: DataFrame, updates: DataFrame, deletes: DataFrame) -> DataFrame:
+    """Tagged passages after an edit: by id, deleted ones go, updated ones change tag, new ones come."""
+    new_tag = updates.select("id", F.col("tag_id").alias("_tag"))
+    kept = tagged.join(deletes.select("id"), "id", "left_anti").join(new_tag, "id", "left")
+    return kept.withColumn("tag_id", F.coalesce("_tag", "tag_id")).drop("_tag").unionByName(inserts.select(*tagged.columns))
+
+
 def tag_counts(tagged: DataFrame, tags: DataFrame) -> DataFrame:
     """How often each page carries each tag path."""
     paths = tag_paths(tags).select(F.col("id").alias("tag_id"), "path")
@@ -64,7 +125,14 @@ def _edited(tags: DataFrame) -> DataFrame:
     return kept.union(tags.limit(0)).union(tags.sparkSession.sql("SELECT 900, 1, 'NEW', 0"))
 
 
+def _example_edit(tagged: DataFrame) -> DataFrame:
+    new = tagged.where("id % 17 = 0").withColumn("id", F.col("id") + 1_000_000_000)
+    return edited_passages(tagged, new, tagged.where("id % 11 = 0").withColumn("tag_id", F.lit(103)), tagged.where("id % 13 = 0"))
+
+
 T, G = V.TAGS, V.TAGGED
+#: The tag paths of the generated tables, nations dealt to regions in turn.
+NATION_PATHS = [f"{region}_NATION_{n}" for k, region in enumerate(["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]) for n in range(k, 25, 5)]
 PATHS = """tree AS (
   SELECT id, parent_id, name, sorting, name AS path, 0 AS depth FROM tags WHERE parent_id IS NULL
   UNION ALL SELECT c.id, c.parent_id, c.name, c.sorting, p.path || '_' || c.name, p.depth + 1 FROM tree p JOIN tags c ON c.parent_id = p.id)"""
@@ -73,17 +141,26 @@ QUERIES = {
     "tag_paths": lambda s, d: tag_paths(V.tags(s, d)),
     "tag_counts": lambda s, d: tag_counts(V.tagged_content(s, d), V.tags(s, d)),
     "tag_matrix": lambda s, d: tag_matrix(V.tagged_content(s, d), V.tags(s, d)),
+    "ordered_tags": lambda s, d: ordered_tags(V.tags(s, d)),
+    "nested_tags": lambda s, d: nested_tree(V.tags(s, d)),
+    "tag_descendants": lambda s, d: descendants(V.tags(s, d), 2),
+    "edited_passages": lambda s, d: _example_edit(V.tagged_content(s, d)).select("id", "tag_id"),
     "tag_names": lambda s, d: tag_names(V.tagged_content(s, d), V.tags(s, d)),
     "tag_tree_changes": lambda s, d: tree_changes(V.tags(s, d), _edited(V.tags(s, d))),
 }
 ORACLES = {
     "tag_paths": _REC + "SELECT t.*, NOT EXISTS (SELECT 1 FROM tags c WHERE c.parent_id = t.id) AS is_leaf FROM tree t",
     "tag_counts": _REC + "SELECT g.expression_id, t.path, count(*) AS n FROM tagged g JOIN tree t ON t.id = g.tag_id GROUP BY 1, 2",
-    "tag_matrix": _REC + "SELECT * FROM (SELECT g.expression_id, t.path FROM tagged g JOIN tree t ON t.id = g.tag_id) PIVOT (count(*) FOR path IN (SELECT path FROM tree WHERE depth > 0) GROUP BY expression_id)",
+    "tag_matrix": _REC.rstrip() + ", used AS (SELECT g.expression_id, t.path FROM tagged g JOIN tree t ON t.id = g.tag_id) SELECT expression_id, " + ", ".join(f'count(*) FILTER (WHERE path = \'{p}\') AS "{p}"' for p in NATION_PATHS) + " FROM used GROUP BY 1",
+    "ordered_tags": V.with_views(T) + "SELECT id, parent_id, name, sorting FROM tags ORDER BY parent_id ASC NULLS LAST, sorting, id",
+    "nested_tags": V.with_views(T)
+    + """, leaf AS (SELECT parent_id, sorting, id, '{"id":' || id || ',"name":"' || name || '","children":[]}' AS tree FROM tags WHERE parent_id IS NOT NULL)
+    SELECT t.id, '{"id":' || t.id || ',"name":"' || t.name || '","children":[' || coalesce((SELECT string_agg(l.tree, ',' ORDER BY l.sorting, l.id) FROM leaf l WHERE l.parent_id = t.id), '') || ']}' AS tree FROM tags t WHERE parent_id IS NULL""",
+    "tag_descendants": V.with_views(T) + "SELECT id, 1 AS distance FROM tags WHERE parent_id = 2",
+    "edited_passages": V.with_views(G) + "SELECT id, CASE WHEN id % 11 = 0 THEN 103 ELSE tag_id END AS tag_id FROM tagged WHERE id % 13 <> 0 UNION ALL SELECT id + 1000000000, tag_id FROM tagged WHERE id % 17 = 0",
     "tag_names": V.with_views(T, G) + "SELECT g.expression_id, string_agg(DISTINCT t.name, ',' ORDER BY t.name) AS tags FROM tagged g JOIN tags t ON t.id = g.tag_id GROUP BY 1",
     "tag_tree_changes": V.with_views(T)
     + ", edited AS (SELECT id, parent_id, CASE WHEN id % 10 = 5 THEN name || '2' ELSE name END AS name, sorting FROM tags WHERE id % 10 <> 3 UNION ALL SELECT 900, 1, 'NEW', 0) "
     "SELECT * FROM (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' WHEN o.name <> n.name OR o.sorting <> n.sorting THEN 'update' END AS change, "
     "n.name, n.sorting FROM tags o FULL JOIN edited n ON o.id = n.id) WHERE change IS NOT NULL",
 }
-del ORACLES["tag_matrix"]  # its columns follow the data; the counts above have the same figures as rows

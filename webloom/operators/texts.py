@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom import views as V
@@ -13,8 +13,6 @@ from webloom.functions.quality import relevance, relevance_counted
 from webloom.session import table
 
 
-
-
 def text_metrics(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",
@@ -32,14 +30,21 @@ def detected_languages(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, top: int = 10, shortest: int = 3) -> DataFrame:
-    """Per document its commonest words; ties go to the word that comes first.
+    """Per document its commonest words; ties go to the word that comes first. All counting stays in the row.
 
-    Words are counted before they are ranked, so a document's window holds its vocabulary, not its text.
+    Tokens are sorted with their places, so that a word's places stand together and are counted as one run.
     """
-    each = docs.select("doc_id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "word")).where(F.length("word") >= shortest)
-    counts = each.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= top).select("doc_id", "rank", "word", "n")
+    word = lambda w, i: F.struct(w.alias("word"), i.alias("first"))
+    tokens = F.array_sort(F.filter(F.transform(X.tokens(F.col("text")), word), lambda t: F.length(t["word"]) >= shortest))
+    each = docs.select("doc_id", tokens.alias("_t"))
+    # where a run of equal words begins; the way to the next beginning is its count
+    heads = F.filter(F.transform(F.col("_t"), lambda t, i: F.struct(i.alias("at"), t["word"].alias("word"), t["first"].alias("first"))), lambda t: (t["at"] == 0) | (F.get(F.col("_t"), t["at"] - 1)["word"] != t["word"]))
+    each = each.select("doc_id", F.size("_t").alias("_n"), heads.alias("_h"))
+    runs = F.transform(
+        F.col("_h"), lambda h, i: F.struct((h["at"] - F.coalesce(F.get(F.col("_h"), i + 1)["at"], F.col("_n"))).alias("minus"), h["first"].alias("first"), h["word"].alias("word"))
+    )
+    best = each.select("doc_id", F.posexplode(F.slice(F.array_sort(runs), 1, top)).alias("rank", "_r"))
+    return best.select("doc_id", (F.col("rank") + 1).alias("rank"), "_r.word", (-F.col("_r.minus")).cast("long").alias("n"))
 
 
 def first_keywords(docs: DataFrame) -> DataFrame:
@@ -47,16 +52,18 @@ def first_keywords(docs: DataFrame) -> DataFrame:
 
 
 def slugs(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", X.slug(F.substring(F.col("text"), 1, 80)).alias("slug"))
+    return docs.select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 def line_paragraphs(docs: DataFrame, shortest: int = 50) -> DataFrame:
-    """Lines as paragraphs with their position; a text repeated within a document stays once."""
-    each = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line", "_t"))
-    kept = each.select("doc_id", "line", X.strip(F.regexp_replace("_t", r"[ \t\n\r\f\x0B]+", " ")).alias("paragraph")).where(F.length("paragraph") >= shortest)
-    once = kept.groupBy("doc_id", F.sha2("paragraph", 256).alias("text_hash")).agg(F.min("line").alias("line"), F.min("paragraph").alias("_p"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line")) - 1
-    return once.select("doc_id", place.alias("position"), "text_hash", F.length("_p").alias("n_chars"))
+    """Lines as paragraphs with their position among the long ones; a text repeated within a document stays once.
+
+    Positions keep the gaps that repeats leave.
+    """
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda t: X.strip(F.regexp_replace(t, r"[ \t\n\r\f\x0B]+", " ")))
+    kept = docs.select("doc_id", F.posexplode(F.filter(lines, lambda p: F.length(p) >= shortest)).alias("position", "_p"))
+    hashed = kept.select("doc_id", "position", F.sha2("_p", 256).alias("text_hash"), F.length("_p").alias("n_chars"))
+    return hashed.groupBy("doc_id", "text_hash").agg(F.min("position").alias("position"), F.min("n_chars").alias("n_chars"))
 
 
 def title_similarity(pages: DataFrame) -> DataFrame:
@@ -65,7 +72,7 @@ def title_similarity(pages: DataFrame) -> DataFrame:
 
 
 def page_relevance(pages: DataFrame) -> DataFrame:
-    return pages.select("id", relevance(F.col("title"), F.col("readable"), V.DICTIONARY).alias("relevance"))
+    return pages.select("id", relevance(F.col("title"), F.col("readable"), V.DICTIONARY, F.col("lang")).alias("relevance"))
 
 
 def page_relevance_counted(pages: DataFrame) -> DataFrame:
@@ -108,8 +115,9 @@ _WORDS = r"list_filter(string_split_regex(" + _STRIP.format("text") + r", '[ \t\
 _VOWELS = f"[{X.VOWELS}]+"
 _TOKENS = "regexp_extract_all(lower({0}), '([a-zà-öø-ÿ]+)', 1)"
 _first = lambda col, n: f"list_slice(list_filter({_TOKENS.format(col)}, lambda w, i: length(w) >= 3 AND list_position({_TOKENS.format(col)}, w) = i), 1, {n})"
+_sql_list = lambda words: ", ".join(f"'{w}'" for w in words)
 _WEIGHTS = "(VALUES " + ", ".join(f"('{t}', {w}::DOUBLE)" for t, w in V.DICTIONARY) + ") d(term, w)"
-_MARKS = f"translate(lower({{0}}), '{X.MARKED}', '{X.PLAIN}')"
+_slug = lambda c: f"substring(trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), 1, 50)"
 QUERIES = {
     "text_metrics": lambda s, d: text_metrics(table(s, d, "documents")),
     "detected_languages": lambda s, d: detected_languages(table(s, d, "documents")),
@@ -145,22 +153,22 @@ ORACLES = {
       f AS (SELECT doc_id, word, min(pos) AS first FROM t WHERE length(word) >= 3 GROUP BY 1, 2),
       r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS k FROM f)
       SELECT d.doc_id, coalesce(string_agg(r.word, ' ' ORDER BY r.k), '') AS keywords FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.k <= 15 GROUP BY 1""",
-    "slugs": f"""SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, rtrim(substring(trim(regexp_replace({_MARKS.format('substring(text, 1, 80)')}, '[^a-z0-9]+', '-', 'g'), '-'), 1, 50), '-') AS s FROM documents)""",
-    "line_paragraphs": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-      p AS (SELECT doc_id, line, trim(regexp_replace(t, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS p FROM l),
-      o AS (SELECT doc_id, sha256(p) AS text_hash, min(line) AS line, length(min(p)) AS n_chars FROM p WHERE length(p) >= 50 GROUP BY 1, 2)
-      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS position, text_hash, n_chars FROM o""",
+    "slugs": f"""SELECT doc_id, CASE WHEN coalesce(s, '') = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, {_slug('text')} AS s FROM documents)""",
+    "line_paragraphs": r"""WITH k AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda t: trim(regexp_replace(t, '[ \t\n\r\f\x0B]+', ' ', 'g'),
+        ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda p: length(p) >= 50) AS ps FROM documents), u AS (SELECT doc_id, ps, unnest(range(0, len(ps))) AS position FROM k)
+      SELECT doc_id, sha256(ps[position + 1]) AS text_hash, min(position) AS position, min(length(ps[position + 1])) AS n_chars FROM u GROUP BY doc_id, ps[position + 1]""",
     "title_similarity": V.with_views(E) + f""", k AS (SELECT id, {_first('title', 50)} AS a, list_slice(list_distinct([1]), 1, 0) AS z FROM expressions),
       t AS (SELECT id, unnest({_TOKENS.format('readable')}) AS word, generate_subscripts({_TOKENS.format('readable')}, 1) AS pos FROM expressions),
       f AS (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY min(pos)) AS n FROM t WHERE length(word) >= 3 GROUP BY 1, 2),
       b AS (SELECT id, list(word) AS b FROM f WHERE n <= 50 GROUP BY 1)
       SELECT k.id, round(CASE WHEN len(a) = 0 OR b IS NULL THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM k LEFT JOIN b ON b.id = k.id""",
-    "page_relevance": V.with_views(E) + f""", src AS (SELECT id, 't' AS part, title AS x, 20 AS most FROM expressions UNION ALL SELECT id, 'b', readable, 50 FROM expressions),
-      t AS (SELECT id, part, most, unnest({_TOKENS.format('x')}) AS word, generate_subscripts({_TOKENS.format('x')}, 1) AS pos FROM src),
-      f AS (SELECT id, part, most, word, row_number() OVER (PARTITION BY id, part ORDER BY min(pos)) AS n FROM t WHERE length(word) >= 3 GROUP BY 1, 2, 3, 4),
-      h AS (SELECT f.id, f.part, f.word, d.w FROM f JOIN {_WEIGHTS} ON d.term = f.word WHERE f.n <= f.most),
-      s AS (SELECT id, sum(CASE WHEN part = 't' THEN 10 * w ELSE w END) AS total, count(DISTINCT word) AS hits FROM h GROUP BY 1)
-      SELECT e.id, coalesce(round(total + CASE WHEN hits > 1 THEN 0.5 * hits ELSE 0 END, 2), 0) AS relevance FROM expressions e LEFT JOIN s ON s.id = e.id""",
+    "page_relevance": V.with_views(E) + f""", src AS (SELECT id, lang, 0 AS part, title AS x, 20 AS most FROM expressions UNION ALL SELECT id, lang, 1, readable, 50 FROM expressions),
+      t AS (SELECT id, lang, part, most, unnest({_TOKENS.format('x')}) AS word, generate_subscripts({_TOKENS.format('x')}, 1) AS pos FROM src),
+      f AS (SELECT id, lang, part, most, word, row_number() OVER (PARTITION BY id, part ORDER BY min(pos)) AS n FROM t
+        WHERE length(word) >= 3 AND NOT (lang = 'fr' AND word IN ({_sql_list(X.STOP_FR)})) AND NOT (lang = 'en' AND word IN ({_sql_list(X.STOP_EN)})) GROUP BY 1, 2, 3, 4, 5),
+      h AS (SELECT id, lang, word, min(part) AS part, any_value(w) AS w FROM f JOIN {_WEIGHTS} ON d.term = f.word WHERE n <= most GROUP BY 1, 2, 3),
+      s AS (SELECT id, (sum(CASE WHEN part = 0 THEN 10 * w ELSE w END) + CASE WHEN count(*) > 1 THEN 0.5 * count(*) ELSE 0 END) * CASE WHEN any_value(lang) = 'fr' THEN 1.1 ELSE 1.0 END::DOUBLE AS score FROM h GROUP BY id)
+      SELECT e.id, coalesce(round(s.score, 2), 0) AS relevance FROM expressions e LEFT JOIN s ON s.id = e.id""",
     "page_relevance_counted": V.with_views(E)
     + "SELECT id, ("
     + " + ".join(
@@ -178,5 +186,5 @@ ORACLES = {
       generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), 1) - 1 AS position FROM expressions) SELECT id, position, anchor, url FROM h""",
     "corpus_files": V.with_views(E) + f"""SELECT id, id || '-' || CASE WHEN s = '' THEN 'untitled' ELSE s END || '.txt' AS file_name,
       '---' || chr(10) || 'Title: "' || title || '"' || chr(10) || 'Identifier: "' || id || '"' || chr(10) || 'Source: "' || url || '"' || chr(10) || 'Language: "' || coalesce(nullif(lang, ''), 'na') || '"' || chr(10) || '---' || chr(10) AS header
-      FROM (SELECT *, rtrim(substring(trim(regexp_replace({_MARKS.format('title')}, '[^a-z0-9]+', '-', 'g'), '-'), 1, 50), '-') AS s FROM expressions)""",
+      FROM (SELECT *, {_slug('title')} AS s FROM expressions)""",
 }

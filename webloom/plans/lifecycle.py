@@ -135,12 +135,12 @@ HEURISTICS = {"example.com": r"^https?://(?:www\.|m\.)?([^/?#]+)", "example.org"
 
 def _old(s, d):
     p = V.expressions(s, d)
-    return p.select("id", F.when(F.col("id") % 3 != 0, F.col("title")).alias("title"), F.substring("readable", 1, 200).alias("readable"), F.when(F.col("id") % 2 == 0, F.col("lang")).alias("lang"), F.col("created_at").alias("published_at"))
+    return p.select("id", F.when(F.col("id") % 3 != 0, F.col("title")).alias("title"), F.when(F.col("id") % 7 != 0, F.col("readable")).alias("readable"), F.when(F.col("id") % 2 == 0, F.col("lang")).alias("lang"), F.col("created_at").alias("published_at"))
 
 
 def _new(s, d):
     p = V.expressions(s, d).where("id % 5 <> 0")
-    return p.select("id", F.substring("title", 1, 30).alias("title"), F.substring("readable", 1, 300).alias("readable"), F.lit("xx").alias("lang"), F.date_sub("created_at", 3).alias("published_at"))
+    return p.select("id", F.regexp_replace("title", " [^ ]*$", "").alias("title"), F.when(F.col("id") % 2 == 0, F.concat("title", F.lit(" "), "readable")).otherwise(F.regexp_replace("readable", "the ", "")).alias("readable"), F.lit("xx").alias("lang"), F.date_sub("created_at", 3).alias("published_at"))
 
 
 def _results(s, d):
@@ -154,8 +154,8 @@ def _known(s, d):
     return p.where("id % 6 <> 5").groupBy("url").agg(F.min(F.when(F.col("id") % 3 != 0, F.col("title")).otherwise("")).alias("title"), F.min("created_at").alias("published_at"))
 
 
-_OLD = "o AS (SELECT id, CASE WHEN id % 3 <> 0 THEN nullif(title, '') END AS title, nullif(substring(readable, 1, 200), '') AS readable, CASE WHEN id % 2 = 0 THEN nullif(lang, '') END AS lang, created_at AS published_at FROM expressions)"
-_NEW = "n AS (SELECT id, nullif(substring(title, 1, 30), '') AS title, nullif(substring(readable, 1, 300), '') AS readable, 'xx' AS lang, created_at - 3 AS published_at FROM expressions WHERE id % 5 <> 0)"
+_OLD = "o AS (SELECT id, CASE WHEN id % 3 <> 0 THEN nullif(title, '') END AS title, CASE WHEN id % 7 <> 0 THEN nullif(readable, '') END AS readable, CASE WHEN id % 2 = 0 THEN nullif(lang, '') END AS lang, created_at AS published_at FROM expressions)"
+_NEW = "n AS (SELECT id, nullif(regexp_replace(title, ' [^ ]*$', ''), '') AS title, nullif(CASE WHEN id % 2 = 0 THEN title || ' ' || readable ELSE regexp_replace(readable, 'the ', '', 'g') END, '') AS readable, 'xx' AS lang, created_at - 3 AS published_at FROM expressions WHERE id % 5 <> 0)"
 _FIELDS = ("title", "readable", "lang", "published_at")
 _APPROVED = "CASE WHEN relevance = 0 THEN NULL WHEN relevance > 0 AND crawled_at IS NOT NULL THEN coalesce(approved_at, crawled_at) ELSE approved_at END"
 

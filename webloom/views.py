@@ -79,19 +79,25 @@ DOMAINS = """domains AS (
   FROM expressions GROUP BY domain_name)"""
 
 
+def page_count(spark: SparkSession, sf_dir: str) -> int:
+    """Pages are numbered from 0; other tables point at them by remainders, so that graphs grow with the data."""
+    return max(1, table(spark, sf_dir, "pages").count())
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-to-page links: pages linked by order lines, at most once, never to themselves."""
-    li = table(spark, sf_dir, "lineitem")
+    li, n = table(spark, sf_dir, "lineitem"), page_count(spark, sf_dir)
     return (
-        li.select((F.col("l_orderkey") % 251).alias("source_id"), (F.col("l_partkey") % 241).alias("target_id"))
+        li.select((F.col("l_orderkey") % n).alias("source_id"), (F.col("l_partkey") * 7 % n).alias("target_id"))
         .where(F.col("source_id") != F.col("target_id"))
         .distinct()
     )
 
 
-LINKS = """links AS (
-  SELECT DISTINCT l_orderkey % 251 AS source_id, l_partkey % 241 AS target_id FROM lineitem
-  WHERE l_orderkey % 251 <> l_partkey % 241)"""
+_PAGES = "(SELECT greatest(count(*), 1) FROM pages)"
+LINKS = f"""links AS (
+  SELECT DISTINCT l_orderkey % {_PAGES} AS source_id, l_partkey * 7 % {_PAGES} AS target_id FROM lineitem
+  WHERE l_orderkey % {_PAGES} <> l_partkey * 7 % {_PAGES})"""
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +106,7 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey")
     return p.select(
         n.alias("id"),
-        (n % 250).alias("expression_id"),
+        (n % page_count(spark, sf_dir)).alias("expression_id"),
         F.concat(F.lit("https://cdn.example.org/m/"), n.cast("string"), F.when(n % 5 == 0, ".mp4").when(n % 5 == 1, ".mp3").otherwise(".jpg")).alias("url"),
         F.when(n % 5 == 0, "video").when(n % 5 == 1, "audio").otherwise("img").alias("type"),
         F.when(n % 3 != 0, F.col("p_size") * 20).alias("width"),
@@ -109,8 +115,8 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MEDIA = """media AS (
-  SELECT p_partkey AS id, p_partkey % 250 AS expression_id,
+MEDIA = f"""media AS (
+  SELECT p_partkey AS id, p_partkey % {_PAGES} AS expression_id,
          'https://cdn.example.org/m/' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN '.mp4' WHEN p_partkey % 5 = 1 THEN '.mp3' ELSE '.jpg' END AS url,
          CASE WHEN p_partkey % 5 = 0 THEN 'video' WHEN p_partkey % 5 = 1 THEN 'audio' ELSE 'img' END AS type,
          CASE WHEN p_partkey % 3 <> 0 THEN p_size * 20 END AS width,
@@ -137,15 +143,15 @@ def tagged_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderkey").alias("id"),
-        (F.col("o_orderkey") % 250).alias("expression_id"),
+        (F.col("o_orderkey") % page_count(spark, sf_dir)).alias("expression_id"),
         (100 + F.col("o_custkey") % 25).cast("int").alias("tag_id"),
         (F.col("o_orderkey") % 40).cast("int").alias("from_char"),
         (F.col("o_orderkey") % 40 + 60).cast("int").alias("to_char"),
     )
 
 
-TAGGED = """tagged AS (
-  SELECT o_orderkey AS id, o_orderkey % 250 AS expression_id, CAST(100 + o_custkey % 25 AS INT) AS tag_id,
+TAGGED = f"""tagged AS (
+  SELECT o_orderkey AS id, o_orderkey % {_PAGES} AS expression_id, CAST(100 + o_custkey % 25 AS INT) AS tag_id,
          CAST(o_orderkey % 40 AS INT) AS from_char, CAST(o_orderkey % 40 + 60 AS INT) AS to_char FROM orders)"""
 
 
@@ -158,7 +164,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARAGRAPHS = "paragraphs AS (SELECT vec_id AS id, CAST(label * 5 + vec_id % 5 AS BIGINT) AS expression_id, embedding FROM embeddings)"
 
 #: Terms of the example dictionary with their weights.
-DICTIONARY = [("the", 1.0), ("and", 0.5), ("of", 2.0), ("les", 1.5), ("und", 1.0)]
+DICTIONARY = [("the", 1.0), ("und", 1.0), ("anthe", 2.0), ("thea", 0.5), ("eur", 1.5), ("ment", 1.0), ("que", 2.5), ("los", 1.0), ("der", 0.5), ("tion", 3.0)]
 
 
 def with_views(*parts: str) -> str:
