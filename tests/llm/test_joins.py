@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from webloom.llm import components, jaccard, line_dedup, shingles, vectors
 
@@ -169,6 +170,33 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_in_double_precision(spark):
+    t = 0.9
+    edge = [t, float(np.sqrt(1 - t * t))]
+    rows = [(1, [1e39, 0.0]), (2, [2e39, 0.0]), (3, [1e-50, 0.0]), (4, [0.0, 1e300]), (5, [0.0, 2e-300]), (6, edge), (7, [-1.0, 0.0]), (8, [0.0, 1e300]), (1, [-2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect())
+    near = lambda x: int(np.dot(edge, x) / np.linalg.norm(edge) >= t)
+    own = near([1.0, 0.0])
+    assert got == sorted(
+        [(1, 2 + own, 1), (2, 2 + own, 1), (3, 2 + own, 1), (4, 2, 4), (5, 2, 4), (6, 3 * own, 1 if own else 6), (7, 1, 1), (8, 2, 4), (1, 1, 1)]
+    )
+
+
+def test_boxes_part_clusters_and_lose_no_pair(spark):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(40, 12))
+    x = centers[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 12)) * 0.12
+    unit = x / np.sqrt((x**2).sum(1, keepdims=True))
+    boxes = vectors.Boxes(x, vectors.principal_axes(unit), 5, 8)
+    placed = boxes.place(x)
+    box = boxes.box(placed)
+    low, high = (np.array([f(placed[box == b], 0) for b in range(32)]) for f in (np.min, np.max))
+    meet = vectors.meeting_boxes(low, high, 0.9)
+    i, j = np.nonzero(unit @ unit.T >= 0.9)
+    assert meet[box[i], box[j]].all() and meet.mean() < 0.7
+
+
 def test_line_dedup(spark):
     rng = random.Random(8)
     lines = [f"Common line number {k}" for k in range(30)] + ["short", "", "  Padded COMMON line\t", "padded common line", "Ünïcode Line Éé", "ünïcode line Éé"]
@@ -191,6 +219,11 @@ def test_line_dedup(spark):
     order = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted((tuple(r) for r in line_dedup.digest_columns(deduped).collect()), key=order) == sorted(wanted, key=order)
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
+    clash = docs.withColumnsRenamed({"_lines": "__ld_text"}).withColumns({"_gone": F.lit(1), "_old": F.lit(2), "_did": F.lit(3), "N_LINES": F.lit(4), "a.b": F.lit(5)})
+    kept = line_dedup.line_dedup(clash)
+    assert {"__ld_text", "_gone", "_old", "_did", "a.b", "n_lines"} <= set(kept.columns) and {(r["__ld_text"], r["_gone"], r["_did"]) for r in kept.collect()} == {("x", 1, 3)}
+    long = spark.createDataFrame([(1, "\n".join(f"line of number {k % 70000}" for k in range(140_000))), (2, "line of number 3\nmine alone, mine")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.line_dedup(long).collect()) == [(1, 140_000, 0), (2, 2, 1)]
     three = {k for k, v in holders.items() if len(v) >= 3}
     for r in line_dedup.line_dedup(docs, min_docs=3).where("doc_id < 80").collect():
         assert all(min(holders[key(x)]) == r["doc_id"] for x in (r["text"] or "").split("\n") if key(x) in three)

@@ -7,17 +7,23 @@ inherits from its nearest decided neighbours: good where both sides, or the near
 Blocks of a marked article stand by themselves: what is open there looks at neighbours of the same article
 only, and is good where the article decides nothing else; an advert or a menu in it decides nothing.
 Where the good text outside is longer than that of the marked articles, as on a page whose articles are
-cards, the marks are no evidence, and the page is labelled without them. Articles within an article are
-subject to the hints of class, id and role; the outermost, and the first of a ``main``, are not.
+cards, the marks are no evidence, and the page is labelled without them.
+
+Class, id and role are hints where a whole name says what an element is: ``comment``, ``nav-menu`` or
+``related-posts`` do, ``social-history`` and ``has-sidebar`` do not. Articles are subject to them, ``main`` is not.
+Short blocks that open like a notice or an advert are bad wherever they stand.
 
 Null handling: a null or empty page has an empty text. Unclosed and stray tags are tolerated, markup in
-scripts, styles and comments is not markup. Other columns pass through.
+scripts, styles and comments is not markup; behind a quote that never closes, quotes mean nothing any more. The
+time grows with the length of a page and no faster, whatever it holds. Equal pages get equal texts, repeated rows
+stay. Other columns pass through; ``text`` and ``n_chars`` give way to the new ones. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -37,21 +43,47 @@ STOP_WORDS = frozenset(
     mi muy no nos o para pero por que qué se ser si sin sobre su sus también un una uno y ya
     """.split()
 )
-RAW_TEXT = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "object", "title", "math"}
+#: Elements whose content is no text of the page; the first four hold no markup either.
+RAW_TEXT = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "select")
 BAD_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "head"}
 NESTING = BAD_TAGS | {
     "article", "main", "section", "div", "header", "ul", "ol", "dl", "table", "tbody", "thead", "tr", "td", "th",
     "blockquote", "figure", "details", "body", "html", "center",
 }
 BLOCKS = NESTING | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "address", "figcaption", "option", "caption", "summary", "legend", "label"}
-HINT = re.compile(
-    r"(?<![a-z])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|"
-    r"login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo\w*|related|"
-    r"replies|respond|share|sharing|sidebar|signup|sitemap|social|sponsor\w*|subscribe|toolbar|widget|alert|topbar)(?![a-z])"
+#: Names of what is not the article, and words that may stand beside them in a class or an id.
+HINTS = frozenset(
+    """
+    ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies
+    consent disqus disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification
+    pagination popup promo promos promotion promoted related replies reply respond share sharing sidebar signup sitemap social
+    sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar widget widgets alert alerts
+    """.split()
+)
+BESIDE = frozenset(
+    """
+    a area articles bar block body bottom box button buttons card center column container content div entry feed form global group
+    header icon icons inner item items left link links list main message module outer page panel popular post posts primary right
+    row secondary section site slot small space stories strip text thread top unit user view wrap wrapper
+    """.split()
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar", "alertdialog"}
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+#: How notices and adverts open.
+NOTICE = re.compile(
+    r"(?:advertisement|sponsored(?: by| content| post|$)|paid (?:post|content|partnership)|promoted(?: by| content|$)|disclaimer\b|all rights reserved"
+    r"|(?:we|this (?:web)?site) uses? cookies|share this (?:article|post|story|page)|follow us\b|sign up (?:for|to) (?:our|the)|subscribe to (?:our|the)"
+    r"|anzeige$|werbung$|gesponsert(?: von|$)|haftungsausschluss\b|alle rechte vorbehalten|wir verwenden cookies"
+    r"|publicité$|sponsorisé(?: par|$)|tous droits réservés|nous utilisons des cookies"
+    r"|publicidad$|patrocinado(?: por|$)|todos los derechos reservados|utilizamos cookies)",
+    re.I,
+)
+HINTING = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+QUOTED = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
+HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w=-])", re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile(r""">|=[ \t\n\f\r]*["']""")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW_TEXT}
+PART = re.compile(r"[a-z]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -63,32 +95,99 @@ class Block:
         self.label = ""
 
 
+def _names(value: str) -> bool:
+    """Does one of these names say that the element is not the article?"""
+    for name in value.split():
+        parts = PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+        if any(p in HINTS for p in parts) and all(p in HINTS or p in BESIDE for p in parts):
+            return True
+    return False
+
+
 def _hinted(attributes: str) -> bool:
-    """Do class, id or role name something that is not the article?"""
-    if "=" not in attributes:
-        return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
+    """Do class, id, role or hidden speak against an element?"""
+    for name, a, b, c in HINTING.findall(attributes):
         name, value = name.lower(), (a or b or c)
         if name in ("class", "id"):
-            value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()
-            if HINT.search(value):
+            if _names(value):
                 return True
-        elif name == "role" and value.lower() in ROLES:
-            return True
-        elif name in ("hidden", "aria-hidden") and value.lower() != "false":
+        elif value.lower() in ROLES if name == "role" else value.lower() != "false":
             return True
-    return False
+    return "hidden" in attributes.lower() and bool(HIDDEN.search(QUOTED.sub("", attributes)))
+
+
+class Scanner:
+    """A page from left to right: texts and tags. Nothing is read again, so the time is in proportion to the length."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.quotes = page, 0, True
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.endless: set[str] = set()
+
+    def _tag_end(self, at: int) -> int:
+        page, begin = self.page, at
+        while self.quotes:
+            stop = STOP.search(page, at)
+            if not stop:
+                break
+            mark = page[stop.end() - 1]
+            if mark == ">":
+                return stop.start()
+            if stop.end() > self.last[mark]:
+                break
+            at = page.find(mark, stop.end()) + 1
+        self.quotes = False
+        return page.find(">", begin)
+
+    def skip(self, name: str) -> None:
+        """Go behind the end of an element whose content is no text; one that never ends holds nothing, or all the rest."""
+        if name in self.endless:
+            return
+        end = RAW_END[name].search(self.page, self.at)
+        close = self.page.find(">", end.end()) if end else -1
+        if close >= 0:
+            self.at = close + 1
+        elif name in RAW_TEXT[:4]:
+            self.at = len(self.page)
+        else:
+            self.endless.add(name)
+
+    def __iter__(self):
+        """("", text, "") or (name, "/" or "", attributes)."""
+        page, size = self.page, len(self.page)
+        while self.at < size:
+            begin = page.find("<", self.at)
+            if begin < 0:
+                begin = size
+            if begin > self.at:
+                text, self.at = page[self.at : begin], begin
+                yield "", text, ""
+                continue
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 2)
+                self.at = size if end < 0 else end + 3
+                continue
+            name = NAME.match(page, begin + 1)
+            if begin > self.last[">"] or not name and page[begin + 1 : begin + 2] not in ("!", "?"):
+                self.at = begin + 1
+                yield "", "<", ""
+            elif not name:
+                self.at = page.find(">", begin) + 1
+            else:
+                end = self._tag_end(name.end())
+                self.at = end + 1
+                yield name[2].lower(), name[1], page[name.end() : end]
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, bad, number of the article it belongs to
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked_parts: list[str] = []
     state = {"bad": False, "heading": False}
-    articles, in_link, at = 0, False, 0
-    entered: set[int] = set()  # numbers of articles that hold an article element
+    articles, in_link = 0, False
 
     def close():
         if parts:
@@ -100,39 +199,27 @@ def blocks_of(page: str) -> list[Block]:
         linked_parts.clear()
         state["bad"] = state["heading"] = False
 
-    size = len(page)
-    while at < size:
-        found = TAG.search(page, at)
-        text = page[at : found.start()] if found else page[at:]
-        if text:
+    scanner = Scanner(page)
+    for name, text, attributes in scanner:
+        if not name:
             parts.append(text)
             if in_link:
                 linked_parts.append(text)
-        if not found:
-            break
-        at = found.end()
-        name = found[2] or found[5]
-        if not name:
-            continue
-        name = name.lower()
-        closing, attributes = (found[1] or found[4]) == "/", found[3] or found[6] or ""
-        if closing:
+        elif text == "/":
             if name == "a":
                 in_link = False
             elif name in BLOCKS:
                 close()
-                if name in NESTING:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == name:
-                            del stack[i:]
+                if open_tags[name]:
+                    while True:
+                        top = stack.pop()[0]
+                        open_tags[top] -= 1
+                        if top == name:
                             break
-            continue
-        if name in RAW_TEXT:
+        elif name in RAW_END:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
-            continue
-        if name == "a":
+                scanner.skip(name)
+        elif name == "a":
             in_link = True
         elif name in ("br", "wbr", "img"):
             parts.append(" ")
@@ -140,18 +227,15 @@ def blocks_of(page: str) -> list[Block]:
             close()
             in_link = False
             bad, article = stack[-1][1], stack[-1][2]
-            outermost = name in ("article", "main") and not article
-            if outermost:
+            if name in ("article", "main") and not article:
                 articles += 1
                 article = articles
-            if name == "article":
-                outermost = outermost or article not in entered
-                entered.add(article)
             bad = bad or name in BAD_TAGS or (name == "header" and not article)
-            if name not in ("html", "body") and not outermost:
+            if name not in ("html", "body", "main"):
                 bad = bad or _hinted(attributes)
             if name in NESTING:
                 stack.append((name, bad, article))
+                open_tags[name] += 1
             else:
                 state["bad"], state["heading"] = bad, len(name) == 2 and name[0] == "h"
     close()
@@ -170,11 +254,12 @@ def classify(
     most_linked: float = 0.33,
     few_stop_words: float = 0.15,
     many_stop_words: float = 0.3,
+    second_pass: bool = True,
 ) -> list[Block]:
-    """Label every block ``good`` or ``bad``."""
+    """Label every block ``good`` or ``bad``; the first pass alone leaves some ``open``."""
     for b in blocks:
         density = b.linked / len(b.text)
-        if b.bad or density > most_linked:
+        if b.bad or density > most_linked or len(b.text) < long and NOTICE.match(b.text):
             b.label = "bad"
         elif b.heading or len(b.text) < short:
             b.label = "bad" if b.linked and not b.article and not b.heading else "open"
@@ -186,6 +271,8 @@ def classify(
                 b.label = "open"
             else:
                 b.label = "open" if density == 0 and len(b.text) < long else "bad"
+    if not second_pass:
+        return blocks
     n = len(blocks)
     before: list[tuple[str, int]] = []
     last = {}

@@ -41,14 +41,12 @@ from pyspark.sql import functions as F
 
 from webloom.llm.components import connected_components, local_forest
 from webloom.llm.shingles import mix, shingle_hashes, shingle_sets
-from webloom.llm.skew import join_hot, often
+from webloom.llm.skew import id_bits, join_hot, likely, often
 from webloom.llm.tokens import slices
 from webloom.session import discard, materialize, ship
 
 #: Size of the table of counts: a power of two; its blocks are what tasks exchange.
 TABLE_BITS, BLOCKS = 20, 64
-#: Size of the bitmap of ids whose texts are fetched: 2 MB.
-ID_BITS = 24
 _A, _B = np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
 
 
@@ -492,24 +490,6 @@ def _tile_pairs(placed: DataFrame, num: int, den: int, pivots: int, small_group:
     return tiled.join(sides, ["component", "tile"]).select("component", "node", "copies", "set", "mask", "tile", "p", "q")
 
 
-def _slot(column: str):
-    return F.pmod(F.xxhash64(F.lit(31), column), F.lit(1 << ID_BITS))
-
-
-def id_bits(ids: DataFrame, column: str) -> DataFrame:
-    """(word, bits): a bitmap of hashed ids, of 2 ** (ID_BITS - 6) rows at most, however many ids there are."""
-    at = _slot(column)
-    one = F.expr("shiftleft(1L, cast(at % 64 as int))")
-    return ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
-
-
-def likely(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
-    """Rows whose id the bitmap holds, and a few more; the bitmap is small by its making, so that it can be broadcast."""
-    at = _slot(column)
-    held = F.getbit(F.col("bits"), (at % 64).cast("int")) == 1
-    return rows.join(F.broadcast(bits), (F.shiftright(at, 6) == F.col("word")) & held, "left_semi")
-
-
 def _split_regions(open_: DataFrame, num: int, den: int, small_group: int) -> tuple[list[DataFrame], DataFrame | None]:
     """Step 2: groups by regions of their own shingles. Regions that are small now, and what is left."""
     spark, ready = open_.sparkSession, []

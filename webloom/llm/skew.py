@@ -1,4 +1,4 @@
-"""Joins where one key may belong to a large part of all rows, and names that a table leaves free."""
+"""Joins where one key may belong to a large part of all rows, bitmaps of ids, and names that a table leaves free."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from webloom.session import materialize
 
+#: Size of the bitmap of ids whose texts are fetched: 2 MB.
+ID_BITS = 24
+
 
 def join_hot(rows: DataFrame, facts: DataFrame, on: Column, hot: Column, how: str = "left") -> DataFrame:
     """``rows`` joined to ``facts`` (left or inner), where one fact may belong to a large part of all rows.
@@ -39,3 +42,21 @@ def free(df: DataFrame, *wanted: str) -> list[str]:
 def quoted(columns: list[str]) -> list[Column]:
     """Columns by their names, whatever these hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def _slot(column: str):
+    return F.pmod(F.xxhash64(F.lit(31), column), F.lit(1 << ID_BITS))
+
+
+def id_bits(ids: DataFrame, column: str) -> DataFrame:
+    """(word, bits): a bitmap of hashed ids, of 2 ** (ID_BITS - 6) rows at most, however many ids there are."""
+    at = _slot(column)
+    one = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    return ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+
+
+def likely(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """Rows whose id the bitmap holds, and a few more; the bitmap is small by its making, so that it can be broadcast."""
+    at = _slot(column)
+    held = F.getbit(F.col("bits"), (at % 64).cast("int")) == 1
+    return rows.join(F.broadcast(bits), (F.shiftright(at, 6) == F.col("word")) & held, "left_semi")
