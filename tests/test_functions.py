@@ -1,5 +1,8 @@
 """Row-wise rules against small literal tables."""
 
+import datetime
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +156,113 @@ def test_web_safe_colours(spark):
 
     df = spark.createDataFrame([([0, 25, 26],), ([76, 77, 255],)], "c array<int>")
     assert [r[0] for r in df.select(M.web_safe_colour(F.col("c"))).collect()] == [[0, 0, 51], [51, 102, 255]]
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+
+
+def test_relevance_counts_each_term_once(spark):
+    from webloom.functions.quality import relevance
+
+    terms = [("climat", 2.0), ("mer", 1.0), ("glace", 4.0)]
+    case = lambda title, body, lang: relevance(F.lit(title), F.lit(body), terms, F.lit(lang))
+    got = one(spark, case("Climat", "climat mer climat", "fr"), case("Climat", "climat", "fr"), case("", "mer glace", "de"), case("rien", "rien", "fr"), case(None, "la mer", "en"), relevance(F.lit("mer"), F.lit("mer"), [], F.lit("fr")))
+    assert list(got) == [round((20 + 1 + 1) * 1.1, 2), 22.0, 6.0, 0.0, 1.0, 0.0]
+
+
+def test_stems(spark):
+    from webloom.functions.stem import english, french, lemma_keywords
+
+    pairs = "continuation continu continuellement continuel majestueusement majestu maladies malad maïs maï contractions contract maintenant mainten mairie mair".split()
+    assert [french(w) for w in pairs[::2]] == pairs[1::2]
+    pairs = "consistency consist conspirators conspir knitted knit knackeries knackeri generate generat hoping hope cried cri skies sky consolingly consol".split()
+    assert [english(w) for w in pairs[::2]] == pairs[1::2]
+    got = one(spark, lemma_keywords(F.lit("Les maladies des malades et la mairie"), F.lit("fr")), lemma_keywords(F.lit("The knights were knitting, a knight knitted"), F.lit("en")), lemma_keywords(F.lit("Die Häuser die"), F.lit("de")))
+    assert list(got) == [["malad", "mair"], ["knight", "knit"], ["die", "häuser"]]
+
+
+def test_resolved_addresses(spark):
+    from webloom.functions.url import resolved
+
+    base = "https://h.org/a/b/c/x.html?p=1#f"
+    cases = {
+        "../../d": "https://h.org/a/d", "../../../../../d": "https://h.org/d", "./d": "https://h.org/a/b/c/d", "d/./e/../f": "https://h.org/a/b/c/d/f", "/./k?x=/./y": "https://h.org/k?x=/./y",
+        "..": "https://h.org/a/b/", "?q": "https://h.org/a/b/c/x.html?q", "//o.net/z": "https://o.net/z", "data:image/png;base64,AA": "data:image/png;base64,AA", "mailto:a@b": "mailto:a@b",
+    }
+    got = one(spark, *[resolved(F.lit(base), F.lit(u)) for u in cases])
+    assert list(got) == list(cases.values())
+
+
+def test_slugs_and_ascii(spark):
+    from webloom.functions.text import slug
+
+    cases = {"Łódź ŒUVRE straße naïve": "odz-uvre-strae-naive", "ﬁn de ½ jour №5": "fin-de-12-jour-no5", "日本": "untitled", "": "untitled", "a" * 49 + " b": "a" * 49 + "-", "  --Élan--  ": "elan"}
+    assert list(one(spark, *[slug(F.lit(t)) for t in cases])) == list(cases.values())
+
+
+def test_dates_of_a_page(spark):
+    from webloom.functions import html as H
+
+    tags = [f'<meta {k}="{n}" content="d{i}">' for i, (k, n) in enumerate([("property", "article:published_time"), ("itemprop", "datePublished"), ("name", "dc.date"), ("name", "date"), ("name", "published_time")])]
+    got = one(spark, *[H.published(F.lit("<head>" + "".join(tags[i:][::-1]))) for i in range(5)], H.published(F.lit('<time datetime="2024">')))
+    assert list(got) == ["d0", "d1", "d2", "d3", "d4", None]
+
+
+def test_links_and_media_of_markdown(spark):
+    from webloom.functions import html as H
+
+    md = '[One](/a "T") ![no](/i.png) [Two](b?x=1) <a href="../c" title="U"><b>Three</b></a> [again](/a) [m](mailto:x@y) [](#top) [](/empty)'
+    base = F.lit("https://h.org/d/e/p.html")
+    links, media = one(spark, H.link_list(F.lit(md), base), H.media_table(F.lit('![alt](/i.png "T") ![](v.mp4) <img src="/i.png" alt="x"> <img class="k" src="j.gif" alt="J">  ![](data:image/png;base64,A)'), base))
+    assert [tuple(x) for x in links] == [
+        ("https://h.org/a", "One", "T", "internal"), ("https://h.org/d/e/b?x=1", "Two", None, "internal"), ("https://h.org/empty", None, None, "internal"), ("https://h.org/d/c", "Three", "U", "internal"),
+    ]
+    assert [tuple(x) for x in media] == [("https://h.org/i.png", "alt", "T", "img"), ("https://h.org/d/e/v.mp4", None, None, "video"), ("https://h.org/d/e/j.gif", "J", None, "img")]
+
+
+def test_media_addresses(spark):
+    from webloom.functions import url as U
+
+    got = one(spark, U.unproxied(F.lit("https://i0.wp.com/h.org/a/b.jpg?w=3&ssl=1")), U.unproxied(F.lit("ftp://x/y")), U.unproxied(F.lit("https://h.org/b.jpg")), U.media_cleaned(F.lit("https://i1.wp.com/x?url=https%3A%2F%2Fh.org%2Fz.png&w=1")), U.has_extension(F.lit("https://h.org/a.MP4?x=.png"), (".mp4",)), U.has_extension(F.lit("data:video/x"), (".mp4",)), U.has_extension(F.lit("https://h.mp4/a"), (".mp4",)), U.has_extension(F.lit(None).cast("string"), (".mp4",)))
+    assert list(got) == ["https://h.org/a/b.jpg?w=3", None, "https://h.org/b.jpg", "https://h.org/z.png", True, True, False, False]
+
+
+def test_quality_flags_and_reason(spark):
+    from webloom.functions.quality import with_quality
+
+    schema = "id int, http_status string, content_type string, crawled_at date, title string, description string, keywords string, canonical_url string, word_count int, content_length int, reading_time double, lang string, relevance double, published_at date, validllm string, readable string, readable_at date, approved_at date"
+    day = datetime.date(2025, 5, 1)
+    perfect = (1, "200", "text/html; charset=utf-8", day, "Title", "A description of more than twenty letters", "k", "https://h.org", 1500, 8000, 7.0, "fr", 6.0, day, "oui", "x" * 200, day, day)
+    poor = (2, "301", None, day, "", None, "", None, 50, 5000, 0.1, "de", 0.2, datetime.date(2010, 1, 1), "non", "short", day, None)
+    rows = [perfect, poor, (3, "404", *perfect[2:]), (4, "x", *perfect[2:]), (5, None, *perfect[2:]), (6, "200", "application/pdf", *perfect[3:]), (7, "200", "text/html", None, *perfect[4:])]
+    got = {r["id"]: r for r in with_quality(spark.createDataFrame(rows, schema), F.array(F.lit("fr")), F.lit(datetime.date(2025, 6, 1))).collect()}
+    assert got[1]["quality"] == 1.0 and got[1]["quality_flags"] == [] and got[1]["quality_reason"] == "Haute qualité (1.00): contenu riche et complet"
+    assert got[2]["quality_flags"] == [
+        "redirect", "no_title", "no_description", "no_keywords", "no_canonical", "very_short_content", "poor_text_ratio", "very_short_reading", "wrong_language", "low_relevance", "old_content",
+        "llm_rejected", "short_readable", "not_approved",
+    ]
+    assert got[2]["quality_reason"].endswith("contenu trop court, langue incorrecte, faible pertinence")
+    assert [got[i]["quality_flags"] for i in (3, 4, 5, 6, 7)] == [["http_error"], ["invalid_http_status"], ["no_http_status"], ["non_html_pdf"], ["not_crawled"]]
+    assert all(got[i]["quality"] == 0 and got[i]["quality_reason"].startswith("Accès impossible: ") for i in (3, 4, 5, 6, 7))
+
+
+def test_numbers_over_parts(spark):
+    from webloom.operators.order import numbered
+
+    rows = [(i % 3, (i * 37) % 101) for i in range(100)]
+    got = numbered(spark.createDataFrame(rows, "g int, v int").repartition(5), "g", [F.col("v").desc()]).collect()
+    for g in range(3):
+        assert [r["v"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["place"])] == sorted((v for k, v in rows if k == g), reverse=True)
+        assert sorted(r["place"] for r in got if r["g"] == g) == list(range(1, sum(k == g for k, _ in rows) + 1))
+
+
+def test_deep_trees_and_rings(spark):
+    from webloom.operators.tags import descendants, nested_tree, tag_paths
+
+    tree = spark.createDataFrame([(1, None, "a", 0), (2, 1, 'b"', 1), (3, 2, "c", 0), (4, 1, "d", 0), (5, 99, "e", 0), (6, 7, "f", 0), (7, 6, "g", 0)], "id int, parent_id int, name string, sorting int")
+    paths = {r["id"]: (r["path"], r["depth"], r["is_leaf"]) for r in tag_paths(tree, "/").collect()}
+    assert paths == {1: ("a", 0, False), 2: ('a/b"', 1, False), 3: ('a/b"/c', 2, True), 4: ("a/d", 1, True), 5: ("e", 0, True)}
+    nested = {r["id"]: json.loads(r["tree"]) for r in nested_tree(tree).collect()}
+    assert [c["id"] for c in nested[1]["children"]] == [4, 2] and nested[1]["children"][1]["children"][0]["name"] == "c" and nested[5]["children"] == []
+    assert {(r["id"], r["distance"]) for r in descendants(tree, 1).collect()} == {(2, 1), (3, 2), (4, 1)}

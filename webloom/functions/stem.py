@@ -44,26 +44,26 @@ _FR_STANDARD = tuple([*_FR_PLAIN, *_FR_ATION, "logie", "logies", "usion", "ution
                       "ité", "ités", "if", "ive", "ifs", "ives", "eaux", "aux", "euse", "euses", "issement", "issements", "amment", "emment", "ment", "ments"])
 
 
-def _french_standard(w: str, rv: int, r1: int, r2: int) -> tuple[str, bool, bool]:
-    """(word, whether an ending was taken, whether verb endings are looked at all the same)."""
+def _french_standard(w: str, rv: int, r1: int, r2: int) -> tuple[str, bool]:
+    """The word without a noun's ending, and whether verb endings are looked at as well."""
     e = _longest(w, _FR_STANDARD)
     at = len(w) - len(e)
     stem, in1, in2, inv = w[:at], at >= r1, at >= r2, at >= rv
     ends = lambda s, x, region: s.endswith(x) and len(s) - len(x) >= region
     if not e:
-        return w, False, True
+        return w, True
     if e in _FR_PLAIN and in2:
-        return stem, True, False
+        return stem, False
     if e in _FR_ATION and in2:
         if stem.endswith("ic"):
             stem = stem[:-2] if len(stem) - 2 >= r2 else stem[:-2] + "iqU"
-        return stem, True, False
+        return stem, False
     if e in ("logie", "logies") and in2:
-        return stem + "log", True, False
+        return stem + "log", False
     if e in ("usion", "ution", "usions", "utions") and in2:
-        return stem + "u", True, False
+        return stem + "u", False
     if e in ("ence", "ences") and in2:
-        return stem + "ent", True, False
+        return stem + "ent", False
     if e in ("ement", "ements") and inv:
         if ends(stem, "iv", r2):
             stem = stem[:-2]
@@ -75,7 +75,7 @@ def _french_standard(w: str, rv: int, r1: int, r2: int) -> tuple[str, bool, bool
             stem = stem[:-3]
         elif ends(stem, "ièr", rv) or ends(stem, "Ièr", rv):
             stem = stem[:-3] + "i"
-        return stem, True, False
+        return stem, False
     if e in ("ité", "ités") and in2:
         if stem.endswith("abil"):
             stem = stem[:-4] if len(stem) - 4 >= r2 else stem[:-4] + "abl"
@@ -83,31 +83,31 @@ def _french_standard(w: str, rv: int, r1: int, r2: int) -> tuple[str, bool, bool
             stem = stem[:-2] if len(stem) - 2 >= r2 else stem[:-2] + "iqU"
         elif ends(stem, "iv", r2):
             stem = stem[:-2]
-        return stem, True, False
+        return stem, False
     if e in ("if", "ive", "ifs", "ives") and in2:
         if ends(stem, "at", r2):
             stem = stem[:-2]
             if stem.endswith("ic"):
                 stem = stem[:-2] if len(stem) - 2 >= r2 else stem[:-2] + "iqU"
-        return stem, True, False
+        return stem, False
     if e == "eaux":
-        return stem + "eau", True, False
+        return stem + "eau", False
     if e == "aux" and in1:
-        return stem + "al", True, False
+        return stem + "al", False
     if e in ("euse", "euses"):
         if in2:
-            return stem, True, False
+            return stem, False
         if in1:
-            return stem + "eux", True, False
+            return stem + "eux", False
     if e in ("issement", "issements") and in1 and stem and stem[-1] not in _FR:
-        return stem, True, False
+        return stem, False
     if e == "amment" and inv:
-        return stem + "ant", True, True
+        return stem + "ant", True
     if e == "emment" and inv:
-        return stem + "ent", True, True
+        return stem + "ent", True
     if e in ("ment", "ments") and stem and stem[-1] in _FR and at - 1 >= rv:
-        return stem, True, True
-    return w, False, True
+        return stem, True
+    return w, True
 
 
 def _french_verb(w: str, rv: int, r2: int) -> str:
@@ -115,9 +115,6 @@ def _french_verb(w: str, rv: int, r2: int) -> str:
     e = _longest(region, tuple(_FR_I))
     if e and len(region) > len(e) and region[-len(e) - 1] not in _FR:
         return w[: -len(e)]
-    if e:
-        if _longest(region, tuple(_FR_E + _FR_A + ["ions"])) in ("", e) or len(_longest(region, tuple(_FR_E + _FR_A + ["ions"]))) < len(e):
-            return w
     e = _longest(region, tuple(_FR_E + _FR_A + ["ions"]))
     if e == "ions":
         return w[:-4] if len(w) - 4 >= r2 else w
@@ -142,11 +139,9 @@ def french(word: str) -> str:
     r1 = _after(w, _FR)
     r2 = _after(w, _FR, r1) if r1 < len(w) else len(w)
     before = w
-    w, taken, verbs = _french_standard(w, rv, r1, r2)
+    w, verbs = _french_standard(w, rv, r1, r2)
     if verbs:
-        kept = w
-        w = _french_verb(w, rv, r2) if not taken or before != w else w
-        taken = taken and not verbs or w != kept or (taken and verbs and w != before)
+        w = _french_verb(w, rv, r2)
     if w != before:
         if w.endswith("Y"):
             w = w[:-1] + "i"

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.text import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -22,11 +24,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (safe(norm(a)) * safe(norm(b)))
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def normalized(a: Column) -> Column:
     """Of unit length; a zero vector stays as it is."""
     unit = lambda v: bound(norm(v), lambda length: F.transform(v, lambda x: F.when(length == 0, x.cast("double")).otherwise(x.cast("double") / length)))

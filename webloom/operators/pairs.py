@@ -16,14 +16,15 @@ from webloom.session import ship
 PAIRS = "source_id long, target_id long, source_page long, target_page long, score double"
 
 
-def _tile_pairs(paragraphs: DataFrame, tile_rows: int) -> DataFrame:
+def _tile_pairs(paragraphs: DataFrame, tile_bytes: int) -> DataFrame:
     """Each vector copied to the tile pairs that it takes part in; tiles are dealt by a hash of the id.
 
-    The number of rows sets the number of tiles, so a tile always fits a task and every pair of tiles
-    meets in one.
+    The size of the vectors sets the number of tiles, so a tile always fits a task and every pair of tiles
+    meets in one. An exact comparison is quadratic: a vector is copied as often as there are tiles.
     """
     ship(paragraphs.sparkSession)
-    tiles = max(1, math.ceil(paragraphs.count() / tile_rows))
+    total = paragraphs.agg(F.coalesce(F.sum(8 * F.size("embedding").cast("long")), F.lit(0))).first()[0]
+    tiles = max(1, math.ceil(total / tile_bytes))
     v = paragraphs.where(F.size("embedding") > 0).withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)))
     met = v.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     return met.withColumns({"p": F.least("tile", "_w"), "q": F.greatest("tile", "_w")}).drop("_w").groupBy("p", "q")
@@ -49,7 +50,7 @@ def _found(ids, pages, i, j, score) -> pa.Table:
     return pa.table({"source_id": ids[i], "target_id": ids[j], "source_page": pages[i], "target_page": pages[j], "score": score.astype(float)})
 
 
-def cosine_pairs(paragraphs: DataFrame, threshold: float, tile_rows: int = 1024) -> DataFrame:
+def cosine_pairs(paragraphs: DataFrame, threshold: float, tile_bytes: int = 1 << 22) -> DataFrame:
     """All pairs of paragraphs of different pages whose cosine reaches the threshold."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -65,10 +66,10 @@ def cosine_pairs(paragraphs: DataFrame, threshold: float, tile_rows: int = 1024)
         keep = (pages[i] != pages[j]) & ((i < j) if same else True)
         return _found(ids, pages, i[keep], j[keep], score[keep])
 
-    return _tile_pairs(paragraphs, tile_rows).applyInArrow(run, PAIRS)
+    return _tile_pairs(paragraphs, tile_bytes).applyInArrow(run, PAIRS)
 
 
-def nearest(paragraphs: DataFrame, k: int, tile_rows: int = 1024) -> DataFrame:
+def nearest(paragraphs: DataFrame, k: int, tile_bytes: int = 1 << 22) -> DataFrame:
     """The ``k`` nearest paragraphs of other pages of each paragraph; a tile pair passes on ``k`` at most."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -88,18 +89,24 @@ def nearest(paragraphs: DataFrame, k: int, tile_rows: int = 1024) -> DataFrame:
                         rows["score"].append(float(score[r, c]))
         return pa.table({"id": pa.array(rows["id"], pa.int64()), "neighbour": pa.array(rows["neighbour"], pa.int64()), "score": pa.array(rows["score"], pa.float64())})
 
-    found = _tile_pairs(paragraphs, tile_rows).applyInArrow(run, "id long, neighbour long, score double")
+    found = _tile_pairs(paragraphs, tile_bytes).applyInArrow(run, "id long, neighbour long, score double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def signature_pairs(paragraphs: DataFrame, threshold: float, planes: int = 6, seed: int = 42) -> DataFrame:
-    """Pairs that share a sign signature and whose cosine reaches the threshold."""
-    size = paragraphs.select(F.size("embedding").alias("n")).where("n > 0").limit(1).collect()
-    side = paragraphs.withColumn("sig", signature(F.col("embedding"), sign_planes(size[0]["n"] if size else 1, planes, seed)))
-    a = side.select("sig", F.col("id").alias("source_id"), F.col("expression_id").alias("source_page"), F.col("embedding").alias("_a"))
-    b = side.select("sig", F.col("id").alias("target_id"), F.col("expression_id").alias("target_page"), F.col("embedding").alias("_b"))
-    near = a.join(b, "sig").where("source_id < target_id AND source_page <> target_page").withColumn("score", cosine(F.col("_a"), F.col("_b")))
+def signature_pairs(paragraphs: DataFrame, threshold: float, planes: int = 6, seed: int = 42, bucket_rows: int = 4096) -> DataFrame:
+    """Pairs that share a sign signature and whose cosine reaches the threshold.
+
+    A signature with many vectors is dealt to parts of about ``bucket_rows``; each part of it meets each other one.
+    """
+    some = paragraphs.where(F.size("embedding") > 0)
+    size = some.select(F.size("embedding").alias("n")).limit(1).collect()
+    side = some.withColumn("sig", signature(F.col("embedding"), sign_planes(size[0]["n"] if size else 1, planes, seed)))
+    cuts = side.groupBy("sig").agg(F.ceil(F.count("*") / bucket_rows).alias("cuts"))  # 2 ** planes rows at most
+    side = side.join(F.broadcast(cuts), "sig").withColumn("part", F.pmod(F.xxhash64("id"), F.col("cuts")))
+    left = side.select("sig", F.col("part").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("q"), F.col("id").alias("source_id"), F.col("expression_id").alias("source_page"), F.col("embedding").alias("_a"))
+    right = side.select("sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("p"), F.col("part").alias("q"), F.col("id").alias("target_id"), F.col("expression_id").alias("target_page"), F.col("embedding").alias("_b"))
+    near = left.join(right, ["sig", "p", "q"]).where("source_id < target_id AND source_page <> target_page").withColumn("score", cosine(F.col("_a"), F.col("_b")))
     return near.where(F.col("score") >= threshold).select("source_id", "target_id", "source_page", "target_page", "score")
 
 

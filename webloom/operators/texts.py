@@ -14,15 +14,19 @@ from webloom.session import table
 
 
 def text_metrics(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id",
-        X.word_count(F.col("text")).alias("word_count"),
-        F.length(X.strip(F.col("text"))).alias("char_count"),
-        X.sentence_count(F.col("text")).alias("sentence_count"),
-        X.syllables(F.col("text")).alias("syllables"),
-        F.round(X.reading_level(F.col("text")), 6).alias("reading_level"),
-        X.reading_minutes(F.col("text")).alias("reading_minutes"),
-    )
+    """Words, characters, sentences, syllables and reading ease of each text; what they share is counted once."""
+    t = F.col("text")
+    counted = docs.select(
+        "doc_id", X.word_count(t).alias("word_count"), F.length(X.strip(t)).alias("char_count"), X.sentence_count(t).alias("sentence_count"),
+        F.regexp_count(t, F.lit(f"[{X.VOWELS}]+")).alias("_v"),
+    )
+    n, syllables = F.col("word_count"), F.greatest("_v", "word_count")
+    score = 207 - 1.015 * (n / F.col("sentence_count")) - 84.6 * (syllables / n)
+    return counted.select(
+        "doc_id", "word_count", "char_count", "sentence_count", syllables.alias("syllables"),
+        F.round(F.when(n >= 5, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))), 6).alias("reading_level"),
+        F.when(n > 0, F.greatest(F.lit(1), F.floor(n / 200).cast("int"))).alias("reading_minutes"),
+    )
 
 
 def detected_languages(docs: DataFrame) -> DataFrame:

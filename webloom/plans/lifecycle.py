@@ -11,20 +11,23 @@ from webloom.functions import url as U
 from webloom.session import materialize
 
 
-def expand_frontier(links: DataFrame, seeds: DataFrame, most_depth: int) -> DataFrame:
+def expand_frontier(links: DataFrame, seeds: DataFrame, most_depth: int, every: int = 2) -> DataFrame:
     """(id, depth): pages that can be reached from the seeds, at their smallest depth.
 
-    One join per depth; what is known is written out after each, so plans stay short and a lost executor
-    costs one step.
+    One join per depth; what is known is written out after ``every`` second one, so plans stay short and a lost
+    executor costs few steps.
     """
-    known = materialize(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
+    known = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     newest = known
     for depth in range(1, most_depth + 1):
         step = links.join(newest.select(F.col("id").alias("source_id")), "source_id").select(F.col("target_id").alias("id")).distinct()
-        newest = materialize(step.join(known, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if newest.isEmpty():
-            break
+        newest = step.join(known, "id", "left_anti").withColumn("depth", F.lit(depth))
         known = known.union(newest)
+        if depth % every == 0 and depth < most_depth:
+            known = materialize(known, "frontier")
+            newest = known.where(F.col("depth") == depth)
+            if newest.isEmpty():
+                break
     return known
 
 
