@@ -219,7 +219,7 @@ def embedding_text(text: Column) -> Column:
     return strip(F.regexp_replace(out, r"\s+", " "))
 
 
-def summary_stats(text: Column) -> dict[str, Column]:
+def summary_stats(text: Column, digits: int = 2) -> dict[str, Column]:
     """What a summary of a text holds: its measures, its average word without marks, its paragraphs and keywords."""
     bare = F.transform(words(text), lambda w: F.length(F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")))
     total = F.aggregate(bare, F.lit(0), lambda s, n: s + n)
@@ -228,7 +228,7 @@ def summary_stats(text: Column) -> dict[str, Column]:
         "word_count": count,
         "char_count": F.length(strip(text)),
         "sentence_count": sentence_count(text),
-        "avg_word_length": F.when(count > 0, F.round(total / count, 2)).otherwise(F.lit(0.0)),
+        "avg_word_length": F.when(count > 0, F.round(total / count, digits)).otherwise(F.lit(0.0)),
         "paragraph_count": F.size(F.filter(F.split(text, r"\n\s*\n"), lambda p: strip(p) != "")),
     }
 

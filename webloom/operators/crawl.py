@@ -209,5 +209,9 @@ ORACLES = {
       SELECT e.id, CASE WHEN validllm = 'non' THEN 0.0 ELSE coalesce(score, 0) END::DOUBLE AS relevance FROM expressions e LEFT JOIN rel ON rel.id = e.id""",
     "page_dates": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '2024-01-03' WHEN page_id % 3 = 0 THEN '2024-02-03' WHEN page_id % 4 = 0 THEN '2024-03-03' WHEN page_id % 5 = 0 THEN '2024-04-03' WHEN page_id % 6 = 0 THEN '2024-05-03' END AS published, 'a, b' AS keywords FROM pages",
     "content_sources": V.with_views(STEP) + f"SELECT s.id AS page_id, CASE WHEN s.id % 3 = 0 THEN 'extractor' WHEN s.id % 4 = 0 THEN 'archive' WHEN length(readable) >= 100 THEN 'smart' WHEN length({_PLAIN('html')}) >= 100 THEN 'plain' ELSE 'none' END AS source FROM step s JOIN pages p ON p.page_id = s.id",
+    "marked_lines": "SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace("
+    + _bare("(html || '<img src=\"/a.png\">')")
+    + """, '(?i)<img\\b[^>]*?\\ssrc=["'']([^"'']+)["''][^>]*>', chr(10) || '[IMAGE: \\1]' || chr(10), 'g'), '(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr)\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g'), chr(10)),
+      lambda t: trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda t: t <> ''), chr(10)) AS lines FROM pages""",
     "smart_content": V.with_views(STEP) + "SELECT id AS page_id, readable AS text FROM step",
 }

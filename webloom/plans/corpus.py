@@ -235,7 +235,7 @@ QUERIES = {
     "core_texts": lambda s, d: V.expressions(s, d).select("id", X.core_normalized(F.col("html")).alias("text")),
     "plain_texts": lambda s, d: table(s, d, "documents").select("doc_id", X.normalized(F.col("text")).alias("text")),
     "embedding_texts": lambda s, d: table(s, d, "documents").select("doc_id", X.embedding_text(F.concat(F.col("text"), F.lit(" mail a.b@c.org call +33 6 12 34 56 78 see https://x.org/y!!! now"))).alias("text")),
-    "text_summaries": lambda s, d: table(s, d, "documents").select("doc_id", *[c.alias(n) for n, c in X.summary_stats(F.col("text")).items()]),
+    "text_summaries": lambda s, d: table(s, d, "documents").select("doc_id", *[c.alias(n) for n, c in X.summary_stats(F.col("text"), 6).items()]),
     "verdicts": lambda s, d: V.expressions(s, d).select("id", X.first_word(F.col("validllm")).alias("first_word"), X.yes_no(F.coalesce("validllm", F.lit(""))).alias("yes"), F.length(X.relevance_prompt(F.lit("P"), F.lit(["a", "b"]), F.col("title"), F.col("readable"))).alias("prompt_chars")),
     "sentence_cuts": lambda s, d: table(s, d, "documents").select("doc_id", X.cut_at_sentence(F.col("text"), 500).alias("text")),
     "cleaned_markup": lambda s, d: table(s, d, "pages").select("page_id", X.clean_markup(F.col("html")).alias("text")),
@@ -292,10 +292,11 @@ ORACLES = {
     "rebuilt_links": V.with_views(E) + """, h AS (SELECT id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS u FROM expressions)
       SELECT e.id, 1 AS lost, (SELECT count(DISTINCT root || u) FROM h WHERE h.id = e.id AND root || u <> h.url) AS gained FROM expressions e""",
     "combined_texts": V.with_views(E) + "SELECT id, CASE WHEN trim(readable) <> '' AND trim(title) <> '' THEN readable || chr(10) || chr(10) || title ELSE coalesce(nullif(trim(readable), ''), title) END AS text FROM expressions",
+    "core_texts": V.with_views(E) + "SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[–—]', '-', 'g'), '[^\\p{L}\\p{M}\\p{Nd}_\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM expressions",
     "plain_texts": "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM documents",
     "text_summaries": f"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex({_STRIP('text')}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM documents)
       SELECT doc_id, len(ws)::INT AS word_count, length({_STRIP('text')}) AS char_count, greatest(len(regexp_extract_all(text, '[.!?]+')), 1)::INT AS sentence_count,
-      CASE WHEN len(ws) > 0 THEN round(list_sum(list_transform(ws, lambda w: length(regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]', '', 'g')))) / len(ws), 2) ELSE 0 END AS avg_word_length,
+      CASE WHEN len(ws) > 0 THEN round(list_sum(list_transform(ws, lambda w: length(regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]', '', 'g')))) / len(ws), 6) ELSE 0 END AS avg_word_length,
       len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda p: {_STRIP('p')} <> ''))::INT AS paragraph_count FROM w""",
     "verdicts": V.with_views(E) + "SELECT id, coalesce(validllm, '?') AS first_word, coalesce(validllm = 'oui', false) AS yes, length('Project: P') + length('Words: a, b') + length('Title: ' || coalesce(title, '')) + length('Text: ') + CASE WHEN length(readable) > 1000 THEN 1003 ELSE length(readable) END + length('Does the page belong to the project? Answer oui or non.') + 4 AS prompt_chars FROM expressions",
     "sentence_cuts": "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text WHEN strpos(left(text, 500), '.') > 0 AND 500 - strpos(reverse(left(text, 500)), '.') > 400 THEN left(text, 501 - strpos(reverse(left(text, 500)), '.')) ELSE left(text, 500) END AS text FROM documents",
