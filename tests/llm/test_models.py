@@ -1,6 +1,7 @@
 """Models by held-out accuracy, page extraction by literal pages, the pipeline by brute force."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -142,3 +143,18 @@ def test_pipeline(spark, tmp_path, labelled):
 def test_all_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_language_id_edges(spark):
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, lang, 30), lang) for i, lang in enumerate(list(SYLLABLES) * 40)]
+    rows += [(900, "ka no mi " * 40_000, "aa"), (901, rows[0][1], "aa"), (901, rows[0][1], "aa"), (902, "éé", f"{'x' * 300}"), (903, None, "aa")]
+    rows += [(1000 + k, sentence(rng, "aa", 4), f"rare{k}") for k in range(260)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, Lang_Pred string")
+    net = langid.train(df.where(~langid.held_out()))
+    known = {r[2] for r in rows if r[1] and zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert set(net.labels) == known and len(known) > 180
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.language_id(df).collect()]
+    assert len(got) == len(rows) and len({x[1:] for x in got if x[0] == 901}) == 1 and all(0 <= s <= 1 for _, _, s in got)
+    drawn = langid.train(df.where("doc_id = 900"), per_label=50)
+    assert drawn.labels == ["aa"]

@@ -33,21 +33,23 @@ def with_computed(
     """
     ship(df.sparkSession)
     new = {f.name.lower() for f in outputs}  # Spark's column names ignore case
-    kept = [f for f in df.schema if f.name.lower() not in new]
-    names = [f.name for f in kept]
-    schema = T.StructType([*kept, *outputs])
+    kept = [i for i, f in enumerate(df.schema) if f.name.lower() not in new]
+    # columns go by number while they are away, since a name may hold anything
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    fields = [T.StructField(f"c{i}", df.schema[i].dataType) for i in kept] + [T.StructField(f"o{i}", f.dataType) for i, f in enumerate(outputs)]
+    sources = [df.columns.index(c) for c in inputs]
     kinds = [to_arrow_type(f.dataType) for f in outputs]
 
     def run(batches):
         compute = make()
         for batch in batches:
-            at = {name: i for i, name in enumerate(batch.schema.names)}
-            texts = batch.column(at[inputs[0]])
+            texts = batch.column(sources[0])
             for begin, end in slices(["" if t is None else t for t in texts.to_pylist()], max_chars):
                 part = batch.slice(begin, end - begin)
-                made = compute(*(part.column(at[c]) for c in inputs))
-                arrays = [part.column(at[n]) for n in names]
+                made = compute(*(part.column(i) for i in sources))
+                arrays = [part.column(i) for i in kept]
                 arrays += [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(made, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(f.name for f in outputs)])
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
-    return df.mapInArrow(run, schema)
+    made = plain.mapInArrow(run, T.StructType(fields))
+    return made.toDF(*(df.columns[i] for i in kept), *(f.name for f in outputs))
