@@ -237,8 +237,8 @@ LINKS = "id long, other long, links long"
 def _compare(one: DataFrame, dim: int, n: int, threshold: float, axes_sample: int, size: int, lead: int = 8, most_boxes: int = 1024):
     spark = one.sparkSession
     chance = F.pmod(F.xxhash64(F.lit(17), "node"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = one.where(chance < min(1.0, axes_sample / n)).select("_v").limit(2 * axes_sample).toPandas()["_v"]
-    matrix = scaled(np.array(sample.tolist(), np.float64).reshape(-1, dim))
+    sample = one.where(chance < min(1.0, axes_sample / n)).select("_v").limit(2 * axes_sample).toArrow().column("_v")
+    matrix = scaled(sample.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
     axes = principal_axes(matrix / np.maximum(np.sqrt((matrix**2).sum(1, keepdims=True)), 1e-300))
     steps = sorted({max(1, dim // 4), max(1, dim // 2), dim})
     depth = max(0, math.ceil(math.log2(n / size)))
@@ -268,7 +268,7 @@ def _compare(one: DataFrame, dim: int, n: int, threshold: float, axes_sample: in
     packed = materialize(one.mapInArrow(pack, "node long, copies long, bytes binary, box long"), "vector-boxes")
     kind = "box long, axis long, lo double, hi double"
     edges = packed.select("bytes", "box").mapInArrow(bounds, kind).groupBy("box", "axis").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    edges = edges.orderBy("box", "axis").toPandas()  # a few numbers for each of ``most_boxes``
+    edges = edges.orderBy("box", "axis").toArrow().to_pandas()  # a few numbers for each of ``most_boxes``
     known = sorted(set(edges["box"]))
     near = meeting_boxes(*(edges[c].to_numpy().reshape(len(known), -1) for c in ("lo", "hi")), threshold)
     partners = [(known[i], [known[j] for j in np.flatnonzero(near[i]).tolist()]) for i in range(len(known))]
