@@ -96,7 +96,7 @@ class _Pieces(dict):
 class PieceEncoder:
     """Ids of many texts at once; ``max_pieces`` bounds a generation of a worker's cache."""
 
-    def __init__(self, name_or_path: str, max_pieces: int = 400_000):
+    def __init__(self, name_or_path: str, max_pieces: int = 250_000):
         self.tokenizer = load_tokenizer(name_or_path)
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
