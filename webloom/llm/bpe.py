@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.columns import text_list, with_computed
-from webloom.llm.tokens import byte_alphabet, load_tokenizer, vocabulary_path
+from webloom.llm.tokens import ENTRY_BYTES, byte_alphabet, load_tokenizer, vocabulary_path
 
 _FAR = np.int64(1) << 40
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -220,22 +220,23 @@ class _Seen(dict):
     def __missing__(self, piece):
         slot = self.owner.slots
         self.owner.slots += 1
+        self.owner.held += len(piece) + ENTRY_BYTES
         self.owner.waiting.append((piece, self is self.owner.first))
         self[piece] = slot
         return slot
 
 
 class SlotEncoder:
-    """Ids of many texts at once; ``max_pieces`` bounds the cache of a worker."""
+    """Ids of many texts at once; ``max_pieces`` and ``max_bytes`` bound the cache of a worker."""
 
-    def __init__(self, name_or_path: str, max_pieces: int = 600_000):
+    def __init__(self, name_or_path: str, max_pieces: int = 600_000, max_bytes: int = 128 << 20):
         self.tokenizer = load_tokenizer(name_or_path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.max_pieces = max_pieces
+        self.max_pieces, self.max_bytes = max_pieces, max_bytes
         self.reset()
 
     def reset(self):
-        self.slots, self.waiting = 0, []
+        self.slots, self.waiting, self.held = 0, [], 0
         self.first, self.rest = _Seen(self), _Seen(self)
         self.flat = np.empty(1 << 20, np.uint32)
         self.used = 0
@@ -261,6 +262,10 @@ class SlotEncoder:
         self.rest.clear()
         for seen, items in old:
             seen.update((piece, int(slot[k])) for piece, k in items.items() if keep[k])
+        self.held = sum(len(piece) + ENTRY_BYTES for seen, _ in old for piece in seen)
+        if self.held > self.max_bytes // 2:
+            self.reset()
+            return
         self.slots = self.filled = len(sizes)
         self.start[: self.filled], self.length[: self.filled] = to - sizes, lengths
         self.hits[:] = 0
@@ -269,7 +274,7 @@ class SlotEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (uint32), and the end of each text among them (int64)."""
-        if self.slots > self.max_pieces:
+        if self.slots > self.max_pieces or self.held > self.max_bytes:
             self._age()
         slots, ends = [], np.zeros(len(texts), np.int64)
         first, rest = self.first, self.rest.__getitem__
@@ -308,8 +313,8 @@ class WordEncoder(SlotEncoder):
     them; a text with the string of a special token goes through the library whole.
     """
 
-    def __init__(self, name_or_path: str, max_pieces: int = 600_000):
-        super().__init__(name_or_path, max_pieces)
+    def __init__(self, name_or_path: str, max_pieces: int = 600_000, max_bytes: int = 128 << 20):
+        super().__init__(name_or_path, max_pieces, max_bytes)
         self.bpe = SpeculativeBpe(name_or_path)
         with open(vocabulary_path(name_or_path), encoding="utf-8") as f:
             whole = json.load(f)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, html_extract, jaccard, langid, line_dedup, media, packing, repair, toxicity, vectors
+from webloom.llm import bpe, filter_audit, html_extract, importance, jaccard, langid, line_dedup, media, packing, repair, toxicity, vectors, window_packing
 from webloom.session import table
 
 
@@ -47,6 +47,18 @@ def op10_language_id(spark, sf_dir):
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_window_packing(spark, sf_dir):
+    return window_packing.window_packing(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resampling(spark, sf_dir):
+    return importance.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -58,7 +70,12 @@ QUERIES = {
     "op8_repair_token_store": op8_repair_token_store,
     "op9_vector_near_dedup": op9_vector_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_window_packing": op11_window_packing,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_importance_resampling": importance.ORACLE,
 }

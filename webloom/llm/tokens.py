@@ -73,30 +73,39 @@ class _Unsafe(Exception):
     """A text that must go through the library whole."""
 
 
+#: What an entry of a cache takes besides its characters and ids: two objects and a place in the table.
+ENTRY_BYTES = 200
+
+
 class _Pieces(dict):
-    """Piece -> its ids as bytes. Pieces that a whole generation did not meet are forgotten."""
+    """Piece -> its ids as bytes. Pieces that a whole generation did not meet are forgotten.
+
+    A generation ends when it holds ``limit`` pieces or ``max_bytes``.
+    """
 
-    def __init__(self, encode, limit: int):
+    def __init__(self, encode, limit: int, max_bytes: int):
         super().__init__()
-        self.encode, self.limit, self.older = encode, limit, {}
+        self.encode, self.limit, self.max_bytes, self.older, self.held = encode, limit, max_bytes, {}, 0
 
     def __missing__(self, piece):
         ids = self.older.get(piece)
         if ids is None:
             ids = self.encode(piece)
         self[piece] = ids
+        self.held += len(piece) + len(ids) + ENTRY_BYTES
         return ids
 
     def age(self):
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.held > self.max_bytes:
             self.older = dict(self)
             self.clear()
+            self.held = 0
 
 
 class PieceEncoder:
-    """Ids of many texts at once; ``max_pieces`` bounds a generation of a worker's cache."""
+    """Ids of many texts at once; ``max_pieces`` and ``max_bytes`` bound a generation of a worker's cache."""
 
-    def __init__(self, name_or_path: str, max_pieces: int = 250_000):
+    def __init__(self, name_or_path: str, max_pieces: int = 250_000, max_bytes: int = 64 << 20):
         self.tokenizer = load_tokenizer(name_or_path)
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -104,9 +113,9 @@ class PieceEncoder:
         self.split_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.space = self.alphabet[ord(" ")]
-        self.words = _Pieces(self._word, max_pieces // 2)
-        self.rest = _Pieces(lambda piece: self._piece(" " + piece, piece), max_pieces)
-        self.first = _Pieces(lambda piece: self._piece(piece, piece) if piece else b"", max_pieces // 8)
+        self.words = _Pieces(self._word, max_pieces // 2, max_bytes // 4)
+        self.rest = _Pieces(lambda piece: self._piece(" " + piece, piece), max_pieces, max_bytes // 2)
+        self.first = _Pieces(lambda piece: self._piece(piece, piece) if piece else b"", max_pieces // 8, max_bytes // 8)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():  # these bytes stand for themselves, but for the space
