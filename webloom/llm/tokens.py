@@ -105,7 +105,7 @@ class _Pieces(dict):
 class PieceEncoder:
     """Ids of many texts at once; ``max_pieces`` and ``max_bytes`` bound a generation of a worker's cache."""
 
-    def __init__(self, name_or_path: str, max_pieces: int = 250_000, max_bytes: int = 64 << 20):
+    def __init__(self, name_or_path: str, max_pieces: int = 250_000, max_bytes: int = 128 << 20):
         self.tokenizer = load_tokenizer(name_or_path)
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]

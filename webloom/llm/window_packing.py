@@ -21,8 +21,8 @@ empty table gives no rows. Other columns are not looked at.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,7 @@ CLOSERS = b"\"')]}"
 SEQUENCES = 1 << 33
 
 
+@cache
 def sentence_tables(tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By token id: ends a sentence if white space follows, ends one whatever follows, begins with white space."""
     back = {c: b for b, c in enumerate(byte_alphabet())}
@@ -111,25 +112,22 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, prices: Prices) -> list[int
     ends, starts = exact_starts(places, capacity)
     edge = np.searchsorted(ends, np.arange(len(at) + 1)).tolist()
     starts = starts.tolist()
-    least, came = [0] * len(at), [0] * len(at)
-    queue: deque[tuple[int, int, int]] = deque()  # (least cost plus place, place, index): costs rise from head to tail
-    head_key, head_at, head_i = 0, 0, 0
-    key = 0  # of the place before this one
+    least, came, keys = [0] * len(at), [0] * len(at), [0] * len(at)
+    queue, head = [0], 0  # places by rising cost plus place (their keys); those before ``head`` are out of reach
     for j in range(1, len(at)):
         here = at[j]
-        while queue and queue[-1][0] > key:
-            queue.pop()
-        queue.append((key, at[j - 1], j - 1))
-        while here - queue[0][1] > capacity:
-            queue.popleft()
-        head_key, head_at, head_i = queue[0]
-        cost, source = head_key + capacity - here, head_i
-        for e in range(edge[j], edge[j + 1]):
-            i = starts[e]
+        while here - at[queue[head]] > capacity:
+            head += 1
+        source = queue[head]
+        cost = keys[source] + capacity - here
+        for i in starts[edge[j] : edge[j + 1]]:
             if least[i] < cost:
                 cost, source = least[i], i
-        least[j], came[j] = cost + price[j], source
-        key = least[j] + here
+        cost += price[j]
+        least[j], came[j], keys[j] = cost, source, cost + here
+        while len(queue) > head and keys[queue[-1]] > cost + here:
+            queue.pop()
+        queue.append(j)
     out, j = [], len(at) - 1
     while j:
         out.append(at[j])
