@@ -266,3 +266,52 @@ def test_deep_trees_and_rings(spark):
     nested = {r["id"]: json.loads(r["tree"]) for r in nested_tree(tree).collect()}
     assert [c["id"] for c in nested[1]["children"]] == [4, 2] and nested[1]["children"][1]["children"][0]["name"] == "c" and nested[5]["children"] == []
     assert {(r["id"], r["distance"]) for r in descendants(tree, 1).collect()} == {(2, 1), (3, 2), (4, 1)}
+
+
+def test_element_tree(spark):
+    from webloom.functions import html as H
+    from webloom.functions import tree as T
+
+    def text_of(page, use=T.main_content):
+        return one(spark, T.bound(T.parsed(F.lit(page)), lambda t: use(t)))[0]
+
+    long, longer = "word " * 45, "other " * 60
+    two = f"<body><article><p>{long}</p></article><p>between</p><article><h2>T&amp;U</h2>{longer}<script>var x='</article>'</script></article></body>"
+    assert text_of(two) == "T&U\n" + longer.strip()
+    assert text_of(f"<nav>menu</nav><div id=content class='x'>short</div><div class='a post-body'>{long}</div>") == long.strip()
+    assert text_of(f'<div role="main">{long}<br>{long}</div>') == f"{long.strip()}\n{long.strip()}"
+    assert text_of(f"<p>{'a' * 60}<p>{'b' * 60}</p><p>c</p>") == f"{'a' * 60}{'b' * 60}c\n\n{'b' * 60}"
+    assert text_of("<nav>menu</nav><p>few <b>words</b></p><aside>beside</aside><style>p{}</style>") == "few\nwords"
+    assert text_of("no markup at all") == "no markup at all" and text_of("") == "" and one(spark, H.main_content(F.lit(None).cast("string")))[0] is None
+    old = '<title>T</title><div class="box menu">m</div><form>f</form>a <b>b</b>\n  <img src="i.png"> <video src=v.mp4>no video</video>\n\n<audio></audio><aside>c</aside>'
+    assert one(spark, H.marked_lines(F.lit(old)))[0] == "T a  b\n[IMAGE: i.png]   [VIDEO: v.mp4]\nc"
+    shapes = "<ul><li class='a b'>1<li>2</ul></div><p title='x > y' hidden>3</p><!-- <p> --><br/>4 < 5"
+    tree = T.read_page(shapes)
+    assert [(e["tag"], e["first"], e["last"]) for e in tree["elements"]] == [("ul", 1, 6), ("li", 2, 6), ("li", 4, 6), ("p", 7, 9), ("br", 10, 10)]
+    assert [n for n in tree["nodes"] if n] == ["1", "2", "3", "4 < 5"] and dict(tree["elements"][3]["attrs"]) == {"title": "x > y", "hidden": ""}
+
+
+def test_all_media_of_a_page(spark):
+    from webloom.functions import html as H
+
+    page = (
+        '<audio src="s.mp3"></audio><img src="/a.png" srcset="/a.png 1x, b.png 2x,"><video><source src="v.webm"><p><source src="v.mp4"></p></video><source src="x.mp4">'
+        '<img data-src="l.png"><img src="data:image/png;base64,A"> ![m](c_(1).png "t") [AUDIO: https://o.org/t.mp3] [image: a.png] [VIDEO: none'
+    )
+    got = one(spark, H.page_media(F.lit(page), F.lit("https://h.org/d/p")))[0]
+    assert [tuple(x) for x in got] == [
+        ("https://h.org/a.png", "img"), ("https://h.org/d/b.png", "img"), ("https://h.org/d/v.webm", "video"), ("https://h.org/d/v.mp4", "video"), ("https://h.org/d/s.mp3", "audio"),
+        ("https://h.org/d/c_(1).png", "img"), ("https://o.org/t.mp3", "audio"), ("https://h.org/d/a.png", "img"),
+    ]
+
+
+def test_brackets_of_markdown(spark):
+    from webloom.functions import html as H
+
+    md = "[a](b_(c)) [d](e (f) ![g](h 'x') [i] j](k) [l](m \"n\") [o]() ](p) [q](r"
+    got = one(spark, H.brackets(F.lit(md)))[0]
+    assert [(x["image"], x["label"], x["inner"], x["address"], x["title"]) for x in got] == [
+        (False, "a", "b_(c)", "b_(c)", None), (False, "d", "e (f", None, None), (True, "g", "h 'x'", None, None), (False, "l", 'm "n"', "m", "n"), (False, "o", "", None, None),
+    ]
+    old = "see (https://h.org/a_(b)) and (ftp://x.y/z) (http://?no) (https://h.org/c(d) (mailto:x) ((https://e.f/g))"
+    assert one(spark, H.parenthesised_links(F.lit(old)))[0] == ["https://h.org/a_(b", "ftp://x.y/z", "https://h.org/c(d", "https://e.f/g"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.functions.text import strip
+from webloom.functions import tree
+from webloom.functions.text import bound, strip
 from webloom.functions.url import link_type, media_type, resolved
 
 
@@ -57,52 +58,78 @@ def published(html: Column) -> Column:
     )
 
 
-def without_boilerplate(html: Column) -> Column:
-    """Without scripts, styles and page furniture."""
-    out = html
-    for tag in ("script", "style", "nav", "footer", "aside"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    return out
-
-
-def plain_text(html: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(html, "(?s)<[^>]*>", " "), r"\s+", " "))
-
-
 def main_content(html: Column, least: int = 100) -> Column:
-    """The text of the article or main element if long enough, else of the page without furniture."""
-    article = plain_text(without_boilerplate(F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*)</article>", 1)))
-    main = plain_text(without_boilerplate(F.regexp_extract(html, r"(?is)<main\b[^>]*>(.*)</main>", 1)))
-    body = plain_text(without_boilerplate(F.regexp_replace(html, "(?is)<head.*?</head>", " ")))
-    return F.when(F.length(article) >= least, article).when(F.length(main) >= least, main).otherwise(body)
+    """The main text of a page: see ``functions.tree``."""
+    return bound(tree.parsed(html), lambda page: tree.main_content(page, least))
 
 
 def content_source(html: Column, readable: Column, archived: Column, least: int = 100) -> Column:
     """Which of the sources gives the text of a page, in order of preference."""
     long = lambda c: F.length(F.coalesce(c, F.lit(""))) >= least
-    return (
-        F.when(long(readable), "extractor")
+    return bound(
+        tree.parsed(html),
+        lambda page: F.when(long(readable), "extractor")
         .when(long(archived), "archive")
-        .when(long(main_content(html)), "smart")
-        .when(long(plain_text(html)), "plain")
-        .otherwise("none")
+        .when(F.length(F.coalesce(tree.smart_content(page), F.lit(""))) > least, "smart")
+        .when(long(tree.plain_content(page)), "plain")
+        .otherwise("none"),
     )
 
 
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def brackets(text: Column) -> Column:
+    """(image, label, inner, address, title) of what Markdown puts in square and round brackets, in order.
+
+    The text is cut where one closes and the other opens: the label ends the part before, the address begins the part
+    after and goes on to the round bracket that balances it. ``address`` is null where there is none, or where more
+    than a quoted title follows it.
+    """
+    parts = F.split(text, r"\]\(", -1)
+
+    def closed(part: Column) -> Column:
+        first = F.substring_index(part, ")", 1)
+        return bound(
+            F.struct(first.alias("first"), F.call_function("substring_index", part, F.lit(")"), _count(first, "(") + 1).alias("wide")),
+            lambda c: F.when((_count(c["wide"], "(") == _count(c["wide"], ")")) & (F.length(c["wide"]) < F.length(part)), c["wide"]).otherwise(c["first"]),
+        )
+
+    def link(at: Column) -> Column:
+        before, after = F.get(parts, at - 1), F.get(parts, at)
+        label, inner = F.substring_index(before, "[", -1), closed(after)
+        mark = F.substring(before, F.length(before) - F.length(label) - 1, F.lit(1))
+        holds = before.contains("[") & ~label.contains("]") & (F.length(inner) < F.length(after))
+        found = F.struct((mark == "!").alias("image"), label.alias("label"), inner.alias("inner"))
+        return F.when(holds, found)
+
+    def read(x: Column) -> Column:
+        bare = strip(F.regexp_replace(x["inner"], r'\s"[^"]*"\s*$', ""))
+        title = F.nullif(strip(F.regexp_extract(x["inner"], r'\s"([^"]*)"\s*$', 1)), F.lit(""))
+        address = F.when((bare != "") & ~bare.rlike(r'[\s"]'), bare)
+        return F.struct(x["image"].alias("image"), x["label"].alias("label"), x["inner"].alias("inner"), address.alias("address"), title.alias("title"))
+
+    places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(F.transform(places, link), lambda x: x.isNotNull()), read)
+
+
+def markers(text: Column) -> Column:
+    """(url, type) of the marker lines that stand for media: ``[VIDEO: address]``."""
+    parts = F.split(text, r"\[", -1)
+    kind = lambda p: F.upper(F.substring_index(p, ":", 1))
+    found = F.filter(parts, lambda p: kind(p).isin("IMAGE", "VIDEO", "AUDIO") & p.contains(":") & p.contains("]"))
+    address = lambda p: strip(F.substring_index(F.substring(p, F.instr(p, ":") + 1, F.length(p)), "]", 1))
+    typed = lambda p: F.when(kind(p) == "IMAGE", "img").otherwise(F.lower(kind(p)))
+    return F.transform(found, lambda p: F.struct(address(p).alias("url"), typed(p).alias("type")))
+
+
 def markdown_links(text: Column) -> Column:
     """(anchor, url) of inline links; images are no links, anchors are cut at 200 characters."""
-    pattern = r"(?<!!)\[([^\]]*)\]\(([^)\s]+)[^)]*\)"
-    anchors = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    urls = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     named = lambda a: F.when(strip(a) == "", F.lit("No text")).otherwise(F.substring(strip(a), 1, 200))
-    return F.zip_with(anchors, urls, lambda a, u: F.struct(named(a).alias("anchor"), u.alias("url")))
-
-
-def _matches(text: Column, pattern: str, groups: dict[str, int], **more: Column) -> Column:
-    """One struct for each match; empty groups are null."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = lambda m, k: F.nullif(strip(F.regexp_extract(m, pattern, k)), F.lit(""))
-    return F.transform(found, lambda m: F.struct(*[part(m, k).alias(n) for n, k in groups.items()], *[v(m).alias(n) for n, v in more.items()]))
+    address = lambda x: F.element_at(F.split(strip(x["inner"]), r"\s"), 1)
+    found = F.filter(brackets(text), lambda x: ~x["image"] & (strip(x["inner"]) != ""))
+    return F.transform(found, lambda x: F.struct(named(x["label"]).alias("anchor"), address(x).alias("url")))
 
 
 def _first_by_url(found: Column) -> Column:
@@ -111,69 +138,89 @@ def _first_by_url(found: Column) -> Column:
     return F.filter(found, lambda x, i: (F.array_position(urls, x["url"]) == i + 1))
 
 
+def _named(found: Column, label: str) -> Column:
+    """Bracketed addresses as (label, url, title)."""
+    part = lambda c: F.nullif(strip(c), F.lit(""))
+    return F.transform(F.filter(found, lambda x: x["address"].isNotNull()), lambda x: F.struct(part(x["label"]).alias(label), x["address"].alias("url"), x["title"].alias("title")))
+
+
 def link_list(text: Column, base: Column) -> Column:
     """(url, anchor, title, link_type) of Markdown links and HTML anchors, absolute, each address once."""
-    # a look-behind would see nothing before a match that is read again, so the marker of an image is kept out here
-    plain = F.regexp_replace(text, r"!\[([^\]]*)\]\([^\s\")]+(?:\s+\"[^\"]*\")?\)", " ")
-    inline = _matches(plain, r'\[([^\]]*)\]\(([^\s")]+)(?:\s+"([^"]*)")?\)', {"anchor": 1, "url": 2, "title": 3})
-    tag = r"""(?is)<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>"""
-    of = r"""(?is)^<a[^>]*\stitle=["']([^"']*)["']"""
-    anchors = F.transform(
-        F.regexp_extract_all(text, F.lit(tag), F.lit(0)),
-        lambda m: F.struct(
-            F.nullif(strip(F.regexp_replace(F.regexp_extract(m, tag, 2), "<[^>]+>", "")), F.lit("")).alias("anchor"),
-            strip(F.regexp_extract(m, tag, 1)).alias("url"),
-            F.nullif(strip(F.regexp_extract(m, of, 1)), F.lit("")).alias("title"),
-        ),
-    )
-    wanted = lambda x: ~F.lower(x["url"]).rlike(r"^(?:#|mailto:|tel:|javascript:|data:)") & x["url"].isNotNull()
-    full = F.transform(F.filter(F.concat(inline, anchors), wanted), lambda x: F.struct(resolved(base, x["url"]).alias("url"), x["anchor"].alias("anchor"), x["title"].alias("title")))
+    found = F.concat(_named(F.filter(brackets(text), lambda x: ~x["image"]), "anchor"), bound(tree.parsed(text), tree.links))
+    outside = lambda x: F.lower(x["url"]).rlike(r"^(?:#|mailto:|tel:|javascript:|data:)")
+    full = F.transform(F.filter(found, lambda x: ~outside(x)), lambda x: F.struct(resolved(base, x["url"]).alias("url"), x["anchor"].alias("anchor"), x["title"].alias("title")))
     typed = F.transform(full, lambda x: F.struct(x["url"].alias("url"), x["anchor"].alias("anchor"), x["title"].alias("title"), link_type(base, x["url"]).alias("link_type")))
-    return _first_by_url(typed)
+    return bound(typed, _first_by_url)
 
 
 def media_table(text: Column, base: Column) -> Column:
     """(url, alt, title, type) of Markdown images and HTML images, absolute, each address once."""
-    inline = _matches(text, r'!\[([^\]]*)\]\(([^\s")]+)(?:\s+"([^"]*)")?\)', {"alt": 1, "url": 2, "title": 3})
-    tags = F.regexp_extract_all(text, F.lit(r"""(?i)(<img[^>]+src=["'][^"']+["'][^>]*>)"""), F.lit(1))
-    at = lambda m, name: F.nullif(strip(F.regexp_extract(m, rf"""(?i)\s{name}=["']([^"']*)["']""", 1)), F.lit(""))
-    images = F.transform(tags, lambda m: F.struct(at(m, "alt").alias("alt"), at(m, "src").alias("url"), at(m, "title").alias("title")))
+    inline, images = _named(F.filter(brackets(text), lambda x: x["image"]), "alt"), bound(tree.parsed(text), tree.images)
     full = lambda x, kind: F.struct(resolved(base, x["url"]).alias("url"), x["alt"].alias("alt"), x["title"].alias("title"), kind(resolved(base, x["url"])).alias("type"))
-    kept = lambda x: x["url"].isNotNull() & ~F.lower(x["url"]).startswith("data:")
+    kept = lambda x: ~F.lower(x["url"]).startswith("data:")
     both = F.concat(
         F.transform(F.filter(inline, kept), lambda x: full(x, media_type)), F.transform(F.filter(images, kept), lambda x: full(x, lambda u: F.lit("img")))
     )
-    return _first_by_url(both)
+    return bound(both, _first_by_url)
+
+
+def page_media(text: Column, base: Column) -> Column:
+    """(url, type) of all media of a page or a Markdown text, absolute, each address once.
+
+    Media elements come first, with the candidates of ``srcset`` and the sources of video and audio, then Markdown
+    images, then markers.
+    """
+    images = F.filter(brackets(text), lambda x: x["image"] & x["address"].isNotNull())
+    found = F.concat(bound(tree.parsed(text), tree.media_addresses), _typed(F.transform(images, lambda x: x["address"]), "img"), markers(text))
+    kept = F.filter(found, lambda x: (x["url"] != "") & ~F.lower(x["url"]).startswith("data:"))
+    return bound(F.transform(kept, lambda x: F.struct(resolved(base, x["url"]).alias("url"), x["type"].alias("type"))), _first_by_url)
 
 
 def bare_markdown_links(text: Column) -> Column:
-    """The addresses in the parentheses of Markdown links, images included, as they stand."""
-    return F.regexp_extract_all(text, F.lit(r"\[.*?\]\((.*?)\)"), F.lit(1))
+    """What stands in the round brackets of Markdown links, images included, up to the first that closes."""
+    return F.transform(brackets(text), lambda x: F.substring_index(x["inner"], ")", 1))
+
+
+#: The schemes of the older form.
+SCHEMES = "https?|ftp"
+
+
+def parenthesised_links(text: Column) -> Column:
+    """Web addresses in round brackets, as the older form reads them.
+
+    In a run without white space the address goes on to the last closing bracket. Another one at its end is taken off,
+    unless the address opens more brackets than it closes.
+    """
+    tails = F.transform(F.split(text, r"\s+"), lambda run: F.regexp_extract(run, rf"\(((?:{SCHEMES})://.*)$", 1))
+    cut = lambda t: F.substring(t, F.lit(1), F.length(t) - F.length(F.substring_index(t, ")", -1)) - 1)
+    whole = F.transform(F.filter(tails, lambda t: t.contains(")")), cut)
+    good = F.filter(whole, lambda u: u.rlike(r"^[a-z]+://[^/$.?#]."))
+    extra = lambda u: u.endswith(")") & (_count(u, "(") <= _count(u, ")"))
+    return F.transform(good, lambda u: F.when(extra(u), F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(u))
 
 
 def enriched(text: Column, html: Column, base: Column) -> dict[str, Column]:
     """Markdown with marker lines for the media of its HTML, and the list of all its media, each address once."""
-    sources = lambda tag: F.regexp_extract_all(html, F.lit(rf"""(?i)<{tag}\b[^>]*?\ssrc=["']([^"']+)["']"""), F.lit(1))
     kinds = {"img": "![IMAGE](%s)", "video": "[VIDEO: %s]", "audio": "[AUDIO: %s]"}
-    found = {k: F.transform(F.coalesce(sources(k), F.array().cast("array<string>")), lambda u: resolved(base, u)) for k in kinds}
+
+    def sources(kind):
+        addresses = lambda page: F.filter(F.transform(tree.select(page, kind), lambda e: tree.attribute(e, "src")), lambda u: u.isNotNull())
+        return F.transform(F.coalesce(bound(tree.parsed(html), addresses), F.array().cast("array<string>")), lambda u: resolved(base, u))
+
+    found = {k: sources(k) for k in kinds}
     marker = lambda form: lambda u: F.format_string(form, u)
     lines = F.concat(*[F.transform(found[k], marker(form)) for k, form in kinds.items()])
-    more = F.transform(F.regexp_extract_all(text, F.lit(r"!\[.*?\]\((.*?)\)"), F.lit(1)), lambda u: resolved(base, u))
+    more = F.transform(F.filter(brackets(text), lambda x: x["image"]), lambda x: resolved(base, x["inner"]))
     media = F.concat(*[_typed(found[k], k) for k in kinds])
     known = F.concat(*found.values())
-    media = F.concat(media, _typed(F.array_distinct(F.filter(more, lambda u: ~F.array_contains(known, u))), "img"))
+    media = F.concat(media, _typed(F.array_except(more, known), "img"))
     whole = F.when(F.size(lines) > 0, F.concat(text, F.lit("\n\n"), F.array_join(lines, "\n"))).otherwise(text)
     return {"markdown": whole, "media": media}
 
 
 def marked_lines(html: Column) -> Column:
-    """Text of a page with its media as marker lines: trimmed lines that hold something."""
-    out = without_boilerplate(html)
-    for tag, form in (("img", "[IMAGE: $1]"), ("video", "[VIDEO: $1]"), ("audio", "[AUDIO: $1]")):
-        out = F.regexp_replace(out, rf"""(?i)<{tag}\b[^>]*?\ssrc=["']([^"']+)["'][^>]*>""", f"\n{form}\n")
-    out = F.regexp_replace(out, r"(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr)\b[^>]*>", "\n")
-    lines = F.transform(F.split(F.regexp_replace(out, "(?s)<[^>]*>", ""), "\n"), strip)
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    """Text of a page with its media as markers: see ``functions.tree``."""
+    return bound(tree.parsed(html), lambda page: tree.marked_lines(page))
 
 
 def _typed(urls: Column, kind: str) -> Column:
@@ -182,6 +229,14 @@ def _typed(urls: Column, kind: str) -> Column:
 
 def markdown_media(text: Column) -> Column:
     """(url, type) of images, and of marked video and audio, once each."""
-    kinds = [(r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)", "img"), (r"\[VIDEO:\s*([^\]\s]+)\]", "video"), (r"\[AUDIO:\s*([^\]\s]+)\]", "audio"), (r'<img[^>]*\bsrc="([^"]+)"', "img")]
-    found = [_typed(F.regexp_extract_all(text, F.lit(p), F.lit(1)), k) for p, k in kinds]
-    return F.array_distinct(F.concat(*found))
+    address = lambda x: F.element_at(F.split(strip(x["inner"]), r"\s"), 1)
+    inline = F.transform(F.filter(brackets(text), lambda x: x["image"] & (strip(x["inner"]) != "")), address)
+    images = F.transform(bound(tree.parsed(text), tree.images), lambda x: x["url"])
+    played = F.filter(markers(text), lambda m: m["type"] != "img")
+    return F.array_distinct(F.concat(_typed(inline, "img"), F.array_sort(played, lambda a, b: _later(a, b)), _typed(images, "img")))
+
+
+def _later(a: Column, b: Column) -> Column:
+    """Video before audio; the sort keeps the order of equals."""
+    rank = lambda m: F.when(m["type"] == "video", 0).otherwise(1)
+    return rank(a) - rank(b)

@@ -105,12 +105,19 @@ def _crawled(s, d):
 
 
 _STOP = lambda words: ", ".join(f"'{w}'" for w in words)
-_PLAIN = lambda c: f"trim(regexp_replace(regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+#: The references that the pages hold, decoded.
+_DECODED = lambda c: f"replace(replace(replace(replace(replace(replace({c}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_STRINGS = lambda c: f"list_filter(list_transform(regexp_split_to_array({c}, '(?s)<!--.*?-->|<[^>]*>'), lambda t: trim({_DECODED('t')}, {_TRIM})), lambda t: t <> '')"
 
 
-def _bare(c: str) -> str:
-    for tag in ("script", "style", "nav", "footer", "aside"):
-        c = f"regexp_replace({c}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+#: The paragraphs of an article; where one is left open, it is the first, and goes on to the end.
+_PARAGRAPHS = lambda c: f"list_concat(CASE WHEN len(regexp_extract_all({c}, '<p>')) > len(regexp_extract_all({c}, '</p>')) THEN [regexp_extract({c}, '(?s)<p>(.*)', 1)] ELSE [] END, regexp_extract_all(CASE WHEN len(regexp_extract_all({c}, '<p>')) > len(regexp_extract_all({c}, '</p>')) THEN regexp_extract({c}, '(?s)<p>(.*)', 1) ELSE {c} END, '(?s)<p>(.*?)</p>', 1))"
+
+
+def _bare(c: str, tags=("script", "style", "nav", "footer", "aside")) -> str:
+    for tag in tags:
+        c = f"regexp_replace({c}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', '<x>', 'g')"
     return c
 
 
@@ -118,9 +125,10 @@ _TOKENS = "regexp_extract_all(lower({0}), '([a-zà-öø-ÿ]+)', 1)"
 _TERMS = "(VALUES " + ", ".join(f"('{t}', {w}::DOUBLE)" for t, w in V.DICTIONARY) + ") d(term, w)"
 _POLAR = "(VALUES " + ", ".join(f"('{t}', {w}::DOUBLE)" for t, w in LEXICON.items()) + ") x(term, p)"
 STEP = f"""src AS (SELECT page_id AS id, url, html, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS t0, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
-   {_PLAIN(_bare("regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)"))} AS art, {_PLAIN(_bare("regexp_replace(html, '(?is)<head.*?</head>', ' ', 'g')"))} AS body,
+   array_to_string({_STRINGS("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")}, chr(10)) AS art, array_to_string({_STRINGS(_bare("html"))}, chr(10)) AS body,
+   array_to_string(list_filter(list_transform({_PARAGRAPHS("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")}, lambda p: array_to_string({_STRINGS("p")}, '')), lambda p: length(p) > 50), chr(10) || chr(10)) AS par,
    CASE page_id % 7 WHEN 0 THEN 'oui' WHEN 1 THEN 'non' END AS validllm FROM pages),
- txt AS (SELECT id, url, lang, validllm, coalesce(t0, 'Content from ' || regexp_extract(url, '^https?://([^/?#]*)', 1)) AS title, CASE WHEN length(art) >= 100 THEN art ELSE body END AS readable FROM src),
+ txt AS (SELECT id, url, lang, validllm, coalesce(t0, 'Content from ' || regexp_extract(url, '^https?://([^/?#]*)', 1)) AS title, CASE WHEN length(art) > 200 THEN art WHEN length(par) > 100 THEN par ELSE body END AS readable, length(art) > 200 OR length(par) > 100 AS smart, length(body) AS plain FROM src),
  kw AS (SELECT id, lang, 0 AS part, unnest({_TOKENS.format('title')}) AS word, generate_subscripts({_TOKENS.format('title')}, 1) AS pos, 20 AS most FROM txt
    UNION ALL SELECT id, lang, 1, unnest({_TOKENS.format('readable')}), generate_subscripts({_TOKENS.format('readable')}, 1), 50 FROM txt),
  fw AS (SELECT id, lang, part, most, word, row_number() OVER (PARTITION BY id, part ORDER BY min(pos)) AS n FROM kw
@@ -130,7 +138,7 @@ STEP = f"""src AS (SELECT page_id AS id, url, html, nullif(trim(regexp_extract(h
  head AS (SELECT id, CASE WHEN length(readable) <= 2000 THEN readable ELSE CASE WHEN strpos(left(readable, 2000), '.') > 0 AND 2000 - strpos(reverse(left(readable, 2000)), '.') > 1600
    THEN left(readable, 2001 - strpos(reverse(left(readable, 2000)), '.')) ELSE left(readable, 2000) END END AS h FROM txt),
  pol AS (SELECT id, greatest(-1, least(1, avg(p))) AS p FROM (SELECT id, unnest({_TOKENS.format('h')}) AS word FROM head) JOIN {_POLAR} ON x.term = word GROUP BY 1),
- step AS (SELECT t.id, title, t.lang, readable, validllm, len(list_filter(string_split_regex(readable, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))::INT AS word_count,
+ step AS (SELECT t.id, title, t.lang, readable, smart, plain, validllm, len(list_filter(string_split_regex(readable, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))::INT AS word_count,
    CASE WHEN t.lang NOT IN ('', 'en', 'fr') OR validllm = 'non' THEN 0.0 ELSE coalesce(score, 0) END::DOUBLE AS relevance,
    round(coalesce(p, 0), 3) AS polarity, CASE WHEN p > 0.1 THEN 'positive' WHEN p < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment
    FROM txt t LEFT JOIN rel ON rel.id = t.id LEFT JOIN pol ON pol.id = t.id)"""
@@ -145,9 +153,11 @@ QUERIES = {
     "markdown_media": lambda s, d: media_of(_marked(s, d), "md"),
     "crawl_links": lambda s, d: links_of(_marked(s, d).withColumnRenamed("md", "html")).select("id", "target", "link_type"),
     "enriched_markdown": lambda s, d: _enriched(s, d),
+    "page_media": lambda s, d: _marked(s, d).select("id", F.explode(H.page_media(F.col("md"), F.col("url"))).alias("m")).select("id", "m.url", "m.type"),
+    "parenthesised_links": lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(H.parenthesised_links(F.concat(F.lit("see ("), "url", F.lit(") or (ftp://h.org/?) and ("), "url", F.lit("(x)y) end")))).alias("position", "link")),
     "bare_links": lambda s, d: _marked(s, d).select("id", F.posexplode(H.bare_markdown_links(F.col("md"))).alias("position", "link")),
     "allowed_media": lambda s, d: V.media(s, d).select("id", U.has_extension(F.concat("url", F.lit("?a=.png")), (".mp4", ".mp3")).alias("allowed"), U.media_type(F.col("url")).alias("media_type")),
-    "proxied_media": lambda s, d: V.media(s, d).select("id", U.unproxied(F.concat(F.lit("https://i1.wp.com/"), F.substring("url", 9, 200), F.lit("?ssl=1&w=3"))).alias("url"), U.media_cleaned(F.concat("url", F.lit("?utm_source=a&w=3#x"))).alias("clean")),
+    "proxied_media": lambda s, d: V.media(s, d).select("id", U.unproxied(F.concat(F.lit("https://i1.wp.com/"), F.regexp_replace("url", "^https://", ""), F.lit("?ssl=1&w=3"))).alias("url"), U.media_cleaned(F.concat("url", F.lit("?utm_source=a&w=3#x"))).alias("clean")),
     "recomputed_relevance": lambda s, d: recomputed(V.expressions(s, d), V.DICTIONARY[:4]).select("id", "relevance"),
     "stem_relevance": lambda s, d: stem_relevance(V.expressions(s, d), V.DICTIONARY),
     "word_stems": lambda s, d: V.expressions(s, d).select("lang", F.explode(X.tokens(F.col("readable"))).alias("word")).distinct().select("lang", "word", lemmas(F.array("word"), F.col("lang"))[0].alias("stem")),
@@ -197,6 +207,8 @@ ORACLES = {
     "crawl_links": f"WITH {_MD} SELECT DISTINCT id, CASE WHEN i % 3 = 2 THEN up || u || '?q=1' ELSE root || u END AS target, 'internal' AS link_type FROM md WHERE i % 3 <> 1 AND CASE WHEN i % 3 = 2 THEN up || u || '?q=1' ELSE root || u END <> url",
     "enriched_markdown": f"WITH {_MD} SELECT p.page_id AS id, '![IMAGE](' || regexp_extract(p.url, '^(https?://[^/?#]*)', 1) || '/pic.png)' || chr(10) || '[VIDEO: ' || regexp_replace(p.url, '[^/]*$', '') || 'v.mp4]' || chr(10) || '[AUDIO: https://a.example/s.mp3]' AS marker_lines, "
     "(3 + (SELECT count(DISTINCT u) FROM md WHERE md.id = p.page_id AND i % 3 = 1))::INT AS n_media FROM pages p",
+    "page_media": f"WITH {_MD} SELECT DISTINCT id, regexp_replace(url, '[^/]*$', '') || 'img' || u || '.png?ref=1&w=2' AS url, 'img' AS type FROM md WHERE i % 3 = 1",
+    "parenthesised_links": "SELECT page_id, unnest([0, 1, 2]) AS position, unnest([url, 'ftp://h.org/?', url || '(x)y']) AS link FROM pages",
     "bare_links": f"WITH {_MD} SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS position, CASE WHEN i % 3 = 0 THEN u || ' \"T\"' ELSE 'img' || u || '.png?ref=1&w=2' END AS link FROM md WHERE i % 3 <> 2",
     "allowed_media": V.with_views(V.MEDIA) + "SELECT id, id % 5 < 2 AS allowed, type AS media_type FROM media",
     "proxied_media": V.with_views(V.MEDIA) + "SELECT id, url || '?w=3' AS url, url || '?w=3' AS clean FROM media",
@@ -208,10 +220,10 @@ ORACLES = {
       rel AS (SELECT id, round((sum(CASE WHEN part = 0 THEN 10 * w ELSE w END) + CASE WHEN count(*) > 1 THEN 0.5 * count(*) ELSE 0 END) * CASE WHEN any_value(lang) = 'fr' THEN 1.1 ELSE 1.0 END::DOUBLE, 2) AS score FROM hit GROUP BY id)
       SELECT e.id, CASE WHEN validllm = 'non' THEN 0.0 ELSE coalesce(score, 0) END::DOUBLE AS relevance FROM expressions e LEFT JOIN rel ON rel.id = e.id""",
     "page_dates": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '2024-01-03' WHEN page_id % 3 = 0 THEN '2024-02-03' WHEN page_id % 4 = 0 THEN '2024-03-03' WHEN page_id % 5 = 0 THEN '2024-04-03' WHEN page_id % 6 = 0 THEN '2024-05-03' END AS published, 'a, b' AS keywords FROM pages",
-    "content_sources": V.with_views(STEP) + f"SELECT s.id AS page_id, CASE WHEN s.id % 3 = 0 THEN 'extractor' WHEN s.id % 4 = 0 THEN 'archive' WHEN length(readable) >= 100 THEN 'smart' WHEN length({_PLAIN('html')}) >= 100 THEN 'plain' ELSE 'none' END AS source FROM step s JOIN pages p ON p.page_id = s.id",
-    "marked_lines": "SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace("
-    + _bare("(html || '<img src=\"/a.png\">')")
-    + """, '(?i)<img\\b[^>]*?\\ssrc=["'']([^"'']+)["''][^>]*>', chr(10) || '[IMAGE: \\1]' || chr(10), 'g'), '(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr)\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g'), chr(10)),
-      lambda t: trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda t: t <> ''), chr(10)) AS lines FROM pages""",
+    "content_sources": V.with_views(STEP) + f"SELECT s.id AS page_id, CASE WHEN s.id % 3 = 0 THEN 'extractor' WHEN s.id % 4 = 0 THEN 'archive' WHEN smart THEN 'smart' WHEN plain >= 100 THEN 'plain' ELSE 'none' END AS source FROM step s JOIN pages p ON p.page_id = s.id",
+    "marked_lines": "SELECT page_id, array_to_string(list_filter(list_transform(string_split(array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace("
+    + _bare("(html || '<img src=\"/a.png\">')", ("script", "style", "iframe", "form", "footer", "nav"))
+    + f""", '(?i)<img\\b[^>]*?\\ssrc=["'']([^"'']+)["''][^>]*>', '<x>[IMAGE: \\1]<x>', 'g'), '(?s)<!--.*?-->|<[^>]*>'), lambda t: t <> ''), lambda t: {_DECODED('t')}), ' '), chr(10)),
+      lambda t: trim(t, {_TRIM})), lambda t: t <> ''), chr(10)) AS lines FROM pages""",
     "smart_content": V.with_views(STEP) + "SELECT id AS page_id, readable AS text FROM step",
 }
