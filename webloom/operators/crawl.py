@@ -13,7 +13,7 @@ from webloom.functions.dates import simple_date
 from webloom.functions.quality import relevance, with_quality
 from webloom.functions.stem import lemma_keywords, lemmas
 from webloom.functions.quality import relevance_of
-from webloom.session import table
+from webloom.session import spread, table
 
 #: A small example lexicon of polarities.
 LEXICON = {"good": 0.7, "bad": -0.7, "bon": 0.7, "mal": -0.6, "the": 0.15, "der": -0.2, "que": 0.3}
@@ -87,7 +87,7 @@ def stem_relevance(pages: DataFrame, terms: list[tuple[str, float]]) -> DataFram
 
 
 def _pages(s, d):
-    p = table(s, d, "pages")
+    p = spread(table(s, d, "pages"))
     reply = F.when(F.col("page_id") % 7 == 0, "Oui, elle l'est.").when(F.col("page_id") % 7 == 1, "non")
     return p.select(F.col("page_id").alias("id"), "url", "html", F.lit("200").alias("http_status"), F.lit("2024-03-01").cast("date").alias("crawled_at"), reply.alias("reply"))
 

@@ -144,7 +144,7 @@ QUERIES = {
     "paragraph_stats": lambda s, d: paragraph_stats(V.paragraphs(s, d)),
     "readable_stats": lambda s, d: readable_stats(V.expressions(s, d)),
     "project_totals": lambda s, d: project_totals(V.expressions(s, d), V.paragraphs(s, d), V.tagged_content(s, d)),
-    "quality_table": lambda s, d: quality_table(V.expressions(s, d)),
+    "quality_table": lambda s, d: quality_table(V.expressions(s, d, even=True)),
     "quality_histogram": lambda s, d: quality_histogram(V.expressions(s, d)),
 }
 ORACLES = {

@@ -10,7 +10,7 @@ from webloom.functions import html as H
 from webloom.functions import text as X
 from webloom.functions import url as U
 from webloom.functions.quality import relevance, relevance_counted
-from webloom.session import table
+from webloom.session import spread, table
 
 
 def text_metrics(docs: DataFrame) -> DataFrame:
@@ -123,14 +123,14 @@ _sql_list = lambda words: ", ".join(f"'{w}'" for w in words)
 _WEIGHTS = "(VALUES " + ", ".join(f"('{t}', {w}::DOUBLE)" for t, w in V.DICTIONARY) + ") d(term, w)"
 _slug = lambda c: f"substring(trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), 1, 50)"
 QUERIES = {
-    "text_metrics": lambda s, d: text_metrics(table(s, d, "documents")),
+    "text_metrics": lambda s, d: text_metrics(spread(table(s, d, "documents"))),
     "detected_languages": lambda s, d: detected_languages(table(s, d, "documents")),
-    "frequent_words": lambda s, d: frequent_words(table(s, d, "documents")),
+    "frequent_words": lambda s, d: frequent_words(spread(table(s, d, "documents"))),
     "first_keywords": lambda s, d: first_keywords(table(s, d, "documents")),
     "slugs": lambda s, d: slugs(table(s, d, "documents")),
     "line_paragraphs": lambda s, d: line_paragraphs(table(s, d, "documents")),
     "title_similarity": lambda s, d: title_similarity(V.expressions(s, d)),
-    "page_relevance": lambda s, d: page_relevance(V.expressions(s, d)),
+    "page_relevance": lambda s, d: page_relevance(V.expressions(s, d, even=True)),
     "page_relevance_counted": lambda s, d: page_relevance_counted(V.expressions(s, d)),
     "html_links": lambda s, d: page_links(V.expressions(s, d)),
     "clean_urls": lambda s, d: clean_urls(V.expressions(s, d)),

@@ -34,6 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` dealt out over all cores where its files are fewer and small.
+
+    A file of one row group is read by one task, whatever is computed from it. Only tables of up to ``most_bytes`` for
+    each core move, and only where there are fewer files than cores, so a large table stays where it is read.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(cores) if size <= most_bytes * cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python tasks can import it."""
     app = spark.sparkContext.applicationId

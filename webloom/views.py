@@ -9,14 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.session import table
+from webloom.session import spread, table
 
 FIRST_DAY = "2024-01-01"
 
 
-def expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages: one row per crawled page of two projects (``land_id`` 1 and 2)."""
+def expressions(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    """Pages: one row per crawled page of two projects (``land_id`` 1 and 2).
+
+    ``even`` deals a small table out over all cores (``session.spread``), for queries that compute much from each page.
+    """
     p = table(spark, sf_dir, "pages")
+    p = spread(p) if even else p
     n = F.col("page_id")
     day = lambda k: F.date_add(F.lit(FIRST_DAY).cast("date"), (n % k).cast("int"))
     crawled = F.when(n % 11 != 0, day(30))
