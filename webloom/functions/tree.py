@@ -162,22 +162,30 @@ def parsed(html: Column) -> Column:
     return _parsed(html)
 
 
-def select(tree: Column, selector: str) -> Column:
-    """The elements that a selector names: ``tag``, ``.class``, ``#id`` or ``[attribute="value"]``."""
+def fits(element: Column, selector: str) -> Column:
+    """Does a selector name the element? ``tag``, ``.class``, ``#id`` or ``[attribute="value"]``."""
     given = re.fullmatch(r'\[([\w-]+)="([^"]*)"\]', selector)
     if given:
-        fits = lambda e: F.element_at(e["attrs"], given[1]) == given[2]
+        found = F.element_at(element["attrs"], given[1]) == given[2]
     elif selector.startswith("."):
-        fits = lambda e: F.array_contains(e["classes"], selector[1:])
+        found = F.array_contains(element["classes"], selector[1:])
     elif selector.startswith("#"):
-        fits = lambda e: e["id"] == selector[1:]
+        found = element["id"] == selector[1:]
     else:
-        fits = lambda e: e["tag"] == selector
-    return F.filter(tree["elements"], lambda e: F.coalesce(fits(e), F.lit(False)))
+        return element["tag"] == selector
+    return F.coalesce(found, F.lit(False))
+
+
+def select(tree: Column, *selectors: str) -> Column:
+    """The elements that one of the selectors names, in the order of the page."""
+    tags = [s for s in selectors if s[0] not in "[.#"]
+    others = [s for s in selectors if s[0] in "[.#"]
+    return F.filter(tree["elements"], lambda e: reduce(lambda a, b: a | b, [fits(e, s) for s in others], e["tag"].isin(*tags) if tags else F.lit(False)))
 
 
 def select_any(tree: Column, selectors: tuple[str, ...]) -> Column:
-    return reduce(F.array_union, [_spans(select(tree, s)) for s in selectors])
+    """The spans of the elements that one of the selectors names."""
+    return _spans(select(tree, *selectors))
 
 
 def _spans(elements: Column) -> Column:
@@ -208,24 +216,26 @@ FURNITURE = ("script", "style", "nav", "footer", "aside")
 OLD_FURNITURE = ("script", "style", "iframe", "form", "footer", ".footer", "nav", ".nav", ".menu", ".social", ".modal")
 
 
-def _largest(tree: Column, selector: str) -> Column:
-    """(size, text) of the element with the most text among those that a selector names; the first of equals."""
-    each = F.transform(
-        select(tree, selector),
-        lambda e: bound(stripped(texts(tree, e["first"], e["last"])), lambda t: F.struct(F.length(F.array_join(t, "")).alias("size"), (-e["first"]).alias("rank"), F.array_join(t, "\n").alias("text"))),
-    )
-    return F.array_max(each)["text"]
-
-
 def smart_content(tree: Column, least: int = 200) -> Column:
     """The text of the largest element of the first selector of ``MAIN`` that gives enough, a line for each text.
 
     Else the paragraphs of more than 50 characters, with an empty line between; null without any.
     """
-    long = lambda found: bound(found, lambda t: F.when(F.length(t) > least, t))
+
+    def candidates(e: Column) -> Column:
+        ranks = F.filter(F.array(*[F.when(fits(e, s), i) for i, s in enumerate(MAIN)]), lambda i: i.isNotNull())
+        found = F.when(F.size(ranks) > 0, stripped(texts(tree, e["first"], e["last"])))
+        size = F.length(F.array_join(found, ""))
+        return F.transform(ranks, lambda i: F.struct(i.alias("rank"), (-size).alias("minus"), e["first"].alias("first"), F.array_join(found, "\n").alias("text")))
+
+    def chosen(all_: Column) -> Column:  # sorted: of each selector the largest comes first, and of equals the first on the page
+        largest = F.filter(all_, lambda c, i: (i == 0) | (F.get(all_, i - 1)["rank"] != c["rank"]))
+        return F.get(F.filter(largest, lambda c: F.length(c["text"]) > least), F.lit(0))["text"]
+
+    main = bound(F.array_sort(F.flatten(F.transform(tree["elements"], candidates))), chosen)
     paragraphs = F.transform(select(tree, "p"), lambda e: F.array_join(stripped(texts(tree, e["first"], e["last"])), ""))
     paragraphs = F.array_join(F.filter(paragraphs, lambda t: F.length(t) > 50), "\n\n")
-    return F.coalesce(*[long(_largest(tree, s)) for s in MAIN], F.nullif(paragraphs, F.lit("")))
+    return F.coalesce(main, F.nullif(paragraphs, F.lit("")))
 
 
 def plain_content(tree: Column, furniture: tuple[str, ...] = FURNITURE) -> Column:
