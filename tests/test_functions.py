@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +267,19 @@ def test_deep_trees_and_rings(spark):
     nested = {r["id"]: json.loads(r["tree"]) for r in nested_tree(tree).collect()}
     assert [c["id"] for c in nested[1]["children"]] == [4, 2] and nested[1]["children"][1]["children"][0]["name"] == "c" and nested[5]["children"] == []
     assert {(r["id"], r["distance"]) for r in descendants(tree, 1).collect()} == {(2, 1), (3, 2), (4, 1)}
+    n = 200
+    chain = [(i, i - 1 if i > 1 else None, f"t{i}", 0) for i in range(1, n + 1)] + [(1000 + i, 1000 + (i + 1) % 30, "ring", 0) for i in range(30)] + [(2000, 1000, "below a ring", 0), (2001, 3, "side", -1)]
+    long = spark.createDataFrame(chain, "id int, parent_id int, name string, sorting int")
+    found = {r["id"]: (r["path"], r["depth"]) for r in tag_paths(long).collect()}
+    assert found == {i: ("_".join(f"t{k}" for k in range(1, i + 1)), i - 1) for i in range(1, n + 1)} | {2001: ("t1_t2_t3_side", 3)}
+    (row,) = nested_tree(long).collect()
+    sys.setrecursionlimit(5000)
+    at = json.loads(row["tree"])
+    for i in range(1, n + 1):
+        assert (at["id"], at["name"]) == (i, f"t{i}")
+        assert [c["id"] for c in at["children"]] == ([2001, 4] if i == 3 else [i + 1] if i < n else [])
+        at = at["children"][-1] if i < n else None
+    assert descendants(long, 100).count() == 100
 
 
 def test_element_tree(spark):

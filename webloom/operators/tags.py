@@ -2,54 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom import views as V
+from webloom.session import discard, materialize
 
 
-TREE = "id int, parent_id int, name string, sorting int, path string, depth int, is_leaf boolean"
-
-
-def tag_paths(tags: DataFrame, separator: str = "_", most: int = 100_000) -> DataFrame:
-    """Each tag with its path from the root, its depth, and whether it is a leaf.
+def tag_chains(tags: DataFrame) -> DataFrame:
+    """Each tag with ``chain``: (sorting, id, name) of all tags from its root down to itself.
 
-    A tag whose parent is missing counts as a root. A tree of up to ``most`` tags, as people keep it by hand, is
-    walked on the driver; a larger one by a recursive query.
+    A tag whose parent is missing is a root; tags of a ring, and those below one, have no root and are left out. Every
+    round joins each tag to the tag that its chain hangs on, so that chains double and a tree of any depth takes as many
+    rounds as its depth has binary digits. When a round completes no chain, only rings are left: had there been a
+    deeper tag, one of its ancestors would have been completed.
     """
-    spark = tags.sparkSession
-    rows = tags.select("id", "parent_id", "name", "sorting").limit(most + 1).collect()
-    if len(rows) <= most:
-        known = {r["id"]: r for r in rows}
-        parents = {r["parent_id"] for r in rows}
-        names = {}
-        for r in rows:
-            chain, at, seen = [], r, set()
-            while at is not None and at["id"] not in seen:
-                seen.add(at["id"])
-                chain.append(at["name"])
-                at = known.get(at["parent_id"])
-            if at is None:  # tags of a ring have no root
-                names[r["id"]] = chain[::-1]
-        return spark.createDataFrame([(*known[i], separator.join(c), len(c) - 1, i not in parents) for i, c in names.items()], TREE)
-    view = f"_tags_{uuid.uuid4().hex}"
-    tags.createOrReplaceTempView(view)
-    walked = spark.sql(
-        f"""
-        WITH RECURSIVE tree(id, parent_id, name, sorting, path, depth) AS (
-          SELECT t.id, t.parent_id, t.name, t.sorting, t.name, 0 FROM {view} t
-          LEFT ANTI JOIN {view} p ON t.parent_id = p.id
-          UNION ALL
-          SELECT c.id, c.parent_id, c.name, c.sorting, concat(tree.path, :sep, c.name), tree.depth + 1
-          FROM tree JOIN {view} c ON c.parent_id = tree.id
-        ) SELECT * FROM tree
-        """,
-        args={"sep": separator},
-    )
+    link = F.struct("sorting", "id", "name")
+    parents = tags.select(F.col("id").alias("_id")).distinct()
+    begun = tags.join(parents, F.col("parent_id") == F.col("_id"), "left").withColumn("chain", F.array(link))
+    state = materialize(begun.select("id", "parent_id", "name", "sorting", F.col("_id").alias("_up"), "chain"), "tag-chains")
+    hanging, before = state.where("_up IS NOT NULL").count(), None
+    while hanging and hanging != before:
+        above = state.select(F.col("id").alias("_of"), F.col("_up").alias("_next"), F.col("chain").alias("_above"))
+        longer = state.where("_up IS NOT NULL").join(above, F.col("_up") == F.col("_of"))
+        longer = longer.select("id", "parent_id", "name", "sorting", F.col("_next").alias("_up"), F.concat("_above", "chain").alias("chain"))
+        old, state = state, materialize(state.where("_up IS NULL").unionByName(longer), "tag-chains")
+        discard(old)
+        hanging, before = state.where("_up IS NOT NULL").count(), hanging
+    return state.where("_up IS NULL").drop("_up")
+
+
+def tag_paths(tags: DataFrame, separator: str = "_") -> DataFrame:
+    """Each tag with its path from the root, its depth, and whether it is a leaf; see ``tag_chains``."""
     parents = tags.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("_p")).distinct()
-    return walked.join(parents, walked.id == parents["_p"], "left").select("id", "parent_id", "name", "sorting", "path", "depth", F.col("_p").isNull().alias("is_leaf"))
+    path = F.array_join(F.transform("chain", lambda c: c["name"]), separator).alias("path")
+    found = tag_chains(tags).select("id", "parent_id", "name", "sorting", path, (F.size("chain") - 1).alias("depth"))
+    return found.join(parents, F.col("id") == F.col("_p"), "left").select("id", "parent_id", "name", "sorting", "path", "depth", F.col("_p").isNull().alias("is_leaf"))
 
 
 def ordered_tags(tags: DataFrame) -> DataFrame:
@@ -57,32 +45,31 @@ def ordered_tags(tags: DataFrame) -> DataFrame:
     return tags.orderBy(F.col("parent_id").asc_nulls_last(), "sorting", "id")
 
 
-def nested_tree(tags: DataFrame, most_depth: int = 10) -> DataFrame:
+def nested_tree(tags: DataFrame) -> DataFrame:
     """One row per root with its subtree as JSON: id, name, children in order; a missing parent makes a root.
 
-    Children are folded into their parents level by level, from the deepest up.
+    Sorted by their chains, the tags of a root stand as they do in the text: each opens its object, and closes as many
+    as the next one stands higher.
     """
-    paths = tag_paths(tags).select("id", "parent_id", "name", "sorting", "depth")
-    node = lambda children: F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"name":'), F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(',"children":['), children, F.lit("]}"))
-    below = None
-    deepest = min(most_depth, paths.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0])
-    for depth in range(deepest, -1, -1):
-        level = paths.where(F.col("depth") == depth)
-        if below is None:
-            made = level.withColumn("tree", node(F.lit("")))
-        else:
-            listed = F.array_sort(F.collect_list(F.struct("sorting", "id", "tree")))
-            folded = below.groupBy(F.col("parent_id").alias("_of")).agg(F.array_join(F.transform(listed, lambda x: x["tree"]), ",").alias("_children"))
-            made = level.join(folded, F.col("id") == F.col("_of"), "left").withColumn("tree", node(F.coalesce("_children", F.lit(""))))
-        below = made.select("id", "parent_id", "sorting", "tree")
-    return below.select("id", "tree")
+    order = F.transform("chain", lambda c: F.struct(c["sorting"], c["id"])).alias("order")
+    tag = F.struct(order, (F.size("chain") - 1).alias("depth"), "id", "name").alias("tag")
+    grouped = tag_chains(tags).groupBy(F.col("chain")[0]["id"].alias("id")).agg(F.array_sort(F.collect_list(tag)).alias("tags"))
+
+    def written(t, i):
+        earlier = F.coalesce(F.get("tags", i - 1)["depth"], F.lit(-1))
+        later = F.coalesce(F.get("tags", i + 1)["depth"], F.lit(0))
+        name = F.to_json(F.array(t["name"]))
+        head = F.concat(F.when(earlier >= t["depth"], ",").otherwise(""), F.lit('{"id":'), t["id"].cast("string"), F.lit(',"name":'), name.substr(F.lit(2), F.length(name) - 2))
+        return F.concat(head, F.lit(',"children":['), F.repeat(F.lit("]}"), F.when(later > t["depth"], 0).otherwise(t["depth"] - later + 1)))
+
+    return grouped.select("id", F.array_join(F.transform("tags", written), "").alias("tree"))
 
 
 def descendants(tags: DataFrame, tag_id: int) -> DataFrame:
-    """The tags below a tag, with their distance from it; ids part the steps of a path here."""
-    steps = tag_paths(tags.withColumn("name", F.col("id").cast("string")), "/").select("id", F.split("path", "/").alias("steps"))
-    at = F.array_position("steps", F.lit(str(tag_id)))
-    return steps.where(at > 0).select("id", (F.size("steps") - at).cast("int").alias("distance")).where("distance > 0")
+    """The tags below a tag, with their distance from it."""
+    chains = tag_chains(tags).select("id", F.transform("chain", lambda c: c["id"]).alias("steps"))
+    at = F.array_position("steps", F.lit(tag_id))
+    return chains.where(at > 0).select("id", (F.size("steps") - at).cast("int").alias("distance")).where("distance > 0")
 
 
 def edited_passages(tagged: DataFrame, inserts: DataFrame, updates: DataFrame, deletes: DataFrame) -> DataFrame:
