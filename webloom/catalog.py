@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from webloom.operators import browse, crawl, export, more, pairs, stats, tags, texts, worklists
+from webloom.operators import browse, crawl, dictionaries, export, more, pairs, stats, tags, texts, worklists
 from webloom.plans import corpus, lifecycle
 from webloom.streaming import timeline
 
-MODULES = (export, browse, stats, tags, texts, more, worklists, crawl, pairs, lifecycle, corpus, timeline)
+MODULES = (export, browse, stats, tags, texts, more, worklists, crawl, dictionaries, pairs, lifecycle, corpus, timeline)
 
 #: Date columns leave as ISO text, so that every client reads them alike.
 DATES = {

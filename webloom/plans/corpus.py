@@ -203,10 +203,10 @@ def _cascade(s, d):
     return cascade(p, 2.0, links=(V.links(s, d), ("source_id", "target_id")), media=(V.media(s, d), ("expression_id",)), paragraphs=(V.paragraphs(s, d), ("expression_id",)), tagged=(V.tagged_content(s, d), ("expression_id",)))
 
 
-def _terms(s: SparkSession):
-    words = s.createDataFrame([("climat",), ("walk",)], "term string")
-    dictionary = s.createDataFrame([(1, "climat", 1.0, 1), (1, "climat", 3.0, 2), (1, "mer", 2.0, 1)], "land_id int, term string, weight double, added int")
-    return words, dictionary, s.createDataFrame([(1, "mer", "fr"), (2, "walk", "en"), (2, "Haus", "de")], "land_id int, term string, lang string")
+def _terms(s: SparkSession, d: str):
+    """Some words are known, and the first project has entries already."""
+    dictionary = V.dictionary(s, d).where("land_id = 1")
+    return V.dictionary(s, d).where("added % 6 = 0").select("term").distinct(), dictionary, V.project_terms(s, d)
 
 
 QUERIES = {
@@ -223,9 +223,9 @@ QUERIES = {
     "similarity_nli": lambda s, d: _run(s, d, "nli", 0.4).withColumn("score", F.round("score", 6)),
     "relation_summary": lambda s, d: relation_summary(_run(s, d, "cosine", 0.35)),
     "similar_in_project": lambda s, d: similar_in_project(_run(s, d, "cosine", 0.3), None, V.expressions(s, d), 1, 3.0).withColumn("score", F.round("score", 6)),
-    "populated_words": lambda s, d: populated(*_terms(s))["words"],
-    "populated_entries": lambda s, d: populated(*_terms(s))["entries"],
-    "dictionary_weights": lambda s, d: weights_of(_terms(s)[1], 1),
+    "populated_words": lambda s, d: populated(*_terms(s, d))["words"],
+    "populated_entries": lambda s, d: populated(*_terms(s, d))["entries"],
+    "dictionary_weights": lambda s, d: weights_of(V.dictionary(s, d), 1),
     "cascade_media": lambda s, d: _cascade(s, d)["media"].select("id", "expression_id"),
     "cascade_paragraphs": lambda s, d: _cascade(s, d)["paragraphs"].select("id", "expression_id"),
     "cascade_tagged": lambda s, d: _cascade(s, d)["tagged"].select("id", "tag_id"),
@@ -282,9 +282,9 @@ ORACLES = {
     "similar_in_project": V.with_views(E, P, _OLD) + f""", r AS (SELECT source_id, target_id, source_page, target_page, score::DOUBLE AS score FROM old WHERE method <> 'cosine' UNION ALL SELECT * FROM
       (SELECT a.id, b.id, a.expression_id, b.expression_id, {pairs._COS} AS score FROM paragraphs a JOIN paragraphs b ON a.id < b.id AND a.expression_id <> b.expression_id) WHERE score >= 0.3)
       SELECT r.source_id, r.target_id, a.url AS source_url, b.url AS target_url, round(score, 6) AS score FROM r JOIN expressions a ON a.id = source_page AND a.land_id = 1 AND a.relevance >= 3 JOIN expressions b ON b.id = target_page AND b.land_id = 1""",
-    "populated_words": "SELECT term FROM (VALUES ('walks'), ('walkies'), ('walked'), ('walking'), ('walker'), ('walkest'), ('Haus')) v(term)",
-    "populated_entries": "SELECT 2 AS land_id, term, 1.0::DOUBLE AS weight FROM (VALUES ('walk'), ('walks'), ('walkies'), ('walked'), ('walking'), ('walker'), ('walkest'), ('Haus')) v(term)",
-    "dictionary_weights": "SELECT * FROM (VALUES ('climat', 3.0::DOUBLE), ('mer', 2.0)) v(term, weight)",
+    "populated_words": V.with_views(E, V.DICTIONARY_TABLE, V.PROJECT_TERMS) + "SELECT DISTINCT variation AS term FROM spelled WHERE land_id = 2 AND variation NOT IN (SELECT term FROM dictionary WHERE added % 6 = 0)",
+    "populated_entries": V.with_views(E, V.PROJECT_TERMS) + "SELECT DISTINCT land_id, variation AS term, 1.0::DOUBLE AS weight FROM spelled WHERE land_id = 2",
+    "dictionary_weights": V.with_views(E, V.DICTIONARY_TABLE) + "SELECT term, max_by(weight, added) AS weight FROM dictionary WHERE land_id = 1 GROUP BY 1",
     "cascade_media": V.with_views(E, M, _GONE) + "SELECT id, expression_id FROM media WHERE expression_id NOT IN (SELECT id FROM gone)",
     "cascade_paragraphs": V.with_views(E, P, _GONE) + "SELECT id, expression_id FROM paragraphs WHERE expression_id NOT IN (SELECT id FROM gone)",
     "cascade_tagged": V.with_views(E, G, _GONE) + "SELECT id, tag_id FROM tagged WHERE expression_id NOT IN (SELECT id FROM gone)",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom import views as V
 from webloom.functions import text as X
 from webloom.functions import url as U
-from webloom.session import materialize
+from webloom.session import materialize, table
 
 
 def expand_frontier(links: DataFrame, seeds: DataFrame, most_depth: int, every: int = 2) -> DataFrame:
@@ -95,21 +95,28 @@ def without_irrelevant(pages: DataFrame, links: DataFrame, least: float) -> tupl
     return kept, links
 
 
-def calendar_windows(spark: SparkSession, start: str, end: str, step: str) -> DataFrame:
-    """[window_start, window_end] that cover the days; the last is cut. A clamped month end carries on."""
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+def calendar_windows(span: DataFrame, step: str) -> DataFrame:
+    """[window_start, window_end] that cover the days ``first`` to ``last`` of each row; the last is cut.
+
+    A month that is too short for its day ends it earlier, and the months after carry that on.
+    """
     if step in ("day", "week"):
         n = 1 if step == "day" else 7
-        starts = spark.range(1).select(F.explode(F.sequence(first, last, F.expr(f"interval {n} days"))).alias("window_start"))
-        return starts.select("window_start", F.least(F.date_add("window_start", n - 1), last).alias("window_end"))
-    return spark.sql(
-        """
-        WITH RECURSIVE w(window_start) AS (
-          SELECT to_date(:first) UNION ALL SELECT add_months(window_start, 1) FROM w WHERE add_months(window_start, 1) <= to_date(:last))
-        SELECT window_start, least(date_sub(add_months(window_start, 1), 1), to_date(:last)) AS window_end FROM w
-        """,
-        args={"first": start, "last": end},
-    )
+        starts = F.sequence("first", "last", F.expr(f"interval {n} days"))
+        after = lambda d: F.date_add(d, n)
+    else:
+        months = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.months_between("last", "first")).cast("int") + 1))
+        walked = F.aggregate(months, F.array("first"), lambda found, _: F.array_append(found, F.add_months(F.element_at(found, -1), 1)))
+        starts = F.filter(walked, lambda d: d <= F.col("last"))
+        after = lambda d: F.add_months(d, 1)
+    each = span.select("last", F.explode(starts).alias("window_start"))
+    return each.select("window_start", F.least(F.date_sub(after(F.col("window_start")), 1), "last").alias("window_end"))
+
+
+def ordered_days(orders: DataFrame) -> DataFrame:
+    """The first and the last day of a table of orders."""
+    day = F.to_date("o_orderdate")
+    return orders.agg(F.min(day).alias("first"), F.max(day).alias("last"))
 
 
 def redomained(pages: DataFrame, heuristics: dict[str, str]) -> DataFrame:
@@ -118,10 +125,9 @@ def redomained(pages: DataFrame, heuristics: dict[str, str]) -> DataFrame:
     return pages.select("id", host.alias("domain"), (host != F.col("domain_name")).alias("moved"))
 
 
-def dictionary_terms(spark: SparkSession, terms: list[tuple[str, str]]) -> DataFrame:
-    """The terms of a dictionary (term, language) with their variations, once each."""
-    rows = spark.createDataFrame(terms, "term string, lang string")
-    return rows.select("lang", F.explode(X.term_variations(F.col("term"), F.col("lang"))).alias("variation")).distinct()
+def dictionary_terms(terms: DataFrame) -> DataFrame:
+    """The terms of a dictionary (term, lang) with their variations, once each."""
+    return terms.select("lang", F.explode(X.term_variations(F.col("term"), F.col("lang"))).alias("variation")).distinct()
 
 
 def consolidated(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -172,6 +178,7 @@ def _merge_sql(rule) -> str:
     return V.with_views(E, _OLD, _NEW) + "SELECT o.id, " + ", ".join(f"{rule(f)} AS {f}" for f in _FIELDS) + " FROM o LEFT JOIN n ON n.id = o.id"
 
 
+_DAYS = "WITH RECURSIVE days AS (SELECT min(o_orderdate)::DATE AS f, max(o_orderdate)::DATE AS l FROM orders)"
 QUERIES = {
     "frontier_expansion": lambda s, d: expand_frontier(V.links(s, d), V.expressions(s, d).where("id % 97 = 0"), 3),
     "new_pages": lambda s, d: new_rows(_known(s, d).select("url"), _results(s, d).select("url"), "url"),
@@ -182,10 +189,10 @@ QUERIES = {
     "search_result_merge": lambda s, d: merged_results(_known(s, d), _results(s, d)),
     "delete_irrelevant_pages": lambda s, d: without_irrelevant(V.expressions(s, d), V.links(s, d), 2.0)[0].select("id"),
     "delete_irrelevant_links": lambda s, d: without_irrelevant(V.expressions(s, d), V.links(s, d), 2.0)[1].select("source_id", "target_id"),
-    "calendar_weeks": lambda s, d: calendar_windows(s, "2024-01-10", "2024-03-05", "week"),
-    "calendar_months": lambda s, d: calendar_windows(s, "2024-01-31", "2024-06-10", "month"),
+    "calendar_weeks": lambda s, d: calendar_windows(ordered_days(table(s, d, "orders")), "week"),
+    "calendar_months": lambda s, d: calendar_windows(ordered_days(table(s, d, "orders")).withColumn("first", F.date_add("first", 30)), "month"),
     "redomained_pages": lambda s, d: redomained(V.expressions(s, d), HEURISTICS),
-    "dictionary_terms": lambda s, d: dictionary_terms(s, [("climat", "fr"), ("walk", "en"), ("Haus", "de"), ("climat", "fr")]),
+    "dictionary_terms": lambda s, d: dictionary_terms(V.project_terms(s, d)),
     "consolidation": lambda s, d: consolidated(V.expressions(s, d), V.links(s, d)),
 }
 ORACLES = {
@@ -203,14 +210,13 @@ ORACLES = {
     "delete_irrelevant_pages": V.with_views(E) + "SELECT id FROM expressions WHERE NOT coalesce(relevance < 2 AND crawled_at IS NOT NULL, false)",
     "delete_irrelevant_links": V.with_views(E, L)
     + ", g AS (SELECT id FROM expressions WHERE relevance < 2 AND crawled_at IS NOT NULL) SELECT source_id, target_id FROM links WHERE source_id NOT IN (SELECT id FROM g) AND target_id NOT IN (SELECT id FROM g)",
-    "calendar_weeks": "SELECT d::DATE AS window_start, least(d::DATE + 6, DATE '2024-03-05') AS window_end FROM range(DATE '2024-01-10', DATE '2024-03-06', INTERVAL 7 DAY) t(d)",
-    "calendar_months": "WITH RECURSIVE w AS (SELECT DATE '2024-01-31' AS window_start UNION ALL SELECT (window_start + INTERVAL 1 MONTH)::DATE FROM w WHERE window_start + INTERVAL 1 MONTH <= DATE '2024-06-10') "
-    "SELECT window_start, least((window_start + INTERVAL 1 MONTH)::DATE - 1, DATE '2024-06-10') AS window_end FROM w",
+    "calendar_weeks": f"{_DAYS} SELECT d::DATE AS window_start, least(d::DATE + 6, l) AS window_end FROM days, range(f, l + 1, INTERVAL 7 DAY) t(d)",
+    "calendar_months": f"{_DAYS}, w AS (SELECT f + 30 AS window_start, l FROM days UNION ALL SELECT (window_start + INTERVAL 1 MONTH)::DATE, l FROM w WHERE window_start + INTERVAL 1 MONTH <= l) "
+    "SELECT window_start, least((window_start + INTERVAL 1 MONTH)::DATE - 1, l) AS window_end FROM w",
     "redomained_pages": V.with_views(E)
     + r", h AS (SELECT id, domain_name, CASE WHEN suffix(domain_name, 'example.com') THEN coalesce(nullif(regexp_extract(url, '^https?://(?:www\.|m\.)?([^/?#]+)', 1), ''), domain_name) "
     r"WHEN suffix(domain_name, 'example.org') THEN coalesce(nullif(regexp_extract(url, '^https?://([^./]+)\.', 1), ''), domain_name) ELSE domain_name END AS domain FROM expressions) SELECT id, domain, domain <> domain_name AS moved FROM h",
-    "dictionary_terms": "SELECT DISTINCT lang, term || ending AS variation FROM (VALUES ('climat', 'fr'), ('walk', 'en'), ('Haus', 'de')) t(term, lang) JOIN (VALUES ('fr', ''), ('fr', 's'), ('fr', 'es'), ('fr', 'er'), ('fr', 'tion'), ('fr', 'eux'), ('fr', 'if'), "
-    "('en', ''), ('en', 's'), ('en', 'ies'), ('en', 'ed'), ('en', 'ing'), ('en', 'er'), ('en', 'est'), ('de', '')) e(l, ending) ON e.l = t.lang",
+    "dictionary_terms": V.with_views(E, V.PROJECT_TERMS) + "SELECT DISTINCT lang, variation FROM spelled",
     "consolidation": V.with_views(E, L)
     + f"SELECT e.id, ({_APPROVED}) IS NOT NULL AS approved, (SELECT count(*) FROM links l WHERE l.source_id = e.id) AS links_out, (SELECT count(*) FROM links l WHERE l.target_id = e.id) AS links_in FROM expressions e",
 }

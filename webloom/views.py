@@ -171,6 +171,32 @@ PARAGRAPHS = "paragraphs AS (SELECT vec_id AS id, CAST(label * 5 + vec_id % 5 AS
 DICTIONARY = [("the", 1.0), ("und", 1.0), ("anthe", 2.0), ("thea", 0.5), ("eur", 1.5), ("ment", 1.0), ("que", 2.5), ("los", 1.0), ("der", 0.5), ("tion", 3.0)]
 
 
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionaries of the projects: terms of one, two and three words from the titles of their pages."""
+    words = F.regexp_extract_all(F.lower("title"), F.lit("([a-zà-öø-ÿ]+)"), F.lit(1))
+    pages = expressions(spark, sf_dir).select("id", "land_id", words.alias("w")).where("size(w) >= 4")
+    terms = F.array(*[F.array_join(F.slice("w", a, n), " ") for a, n in ((1, 1), (1, 2), (2, 3))])
+    each = pages.select("land_id", "id", F.posexplode(terms).alias("k", "term"))
+    return each.select("land_id", "term", (1 + (F.col("id") % 4) / 2.0).alias("weight"), (F.col("id") * 3 + F.col("k")).alias("added"))
+
+
+DICTIONARY_TABLE = """titled AS (SELECT id, land_id, regexp_extract_all(lower(title), '([a-zà-öø-ÿ]+)', 1) AS w FROM expressions), dictionary AS (
+  SELECT land_id, unnest([w[1], w[1] || ' ' || w[2], w[2] || ' ' || w[3] || ' ' || w[4]]) AS term, 1 + (id % 4) / 2.0::DOUBLE AS weight, id * 3 + unnest([0, 1, 2]) AS added FROM titled WHERE len(w) >= 4)"""
+
+
+def project_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(land_id, term, lang): the first words of the titles of a project's pages."""
+    word = F.regexp_extract(F.lower("title"), "([a-zà-öø-ÿ]+)", 1).alias("term")
+    return expressions(spark, sf_dir).select("land_id", word, "lang").where("term <> ''").distinct()
+
+
+#: With the spellings of the terms: the endings are fixed values.
+PROJECT_TERMS = """project_terms AS (SELECT DISTINCT land_id, regexp_extract(lower(title), '([a-zà-öø-ÿ]+)', 1) AS term, lang FROM expressions WHERE regexp_matches(lower(title), '[a-zà-öø-ÿ]')),
+ spelled AS (SELECT land_id, lang, term || ending AS variation FROM project_terms
+   JOIN (VALUES ('fr', ''), ('fr', 's'), ('fr', 'es'), ('fr', 'er'), ('fr', 'tion'), ('fr', 'eux'), ('fr', 'if'), ('en', ''), ('en', 's'), ('en', 'ies'), ('en', 'ed'), ('en', 'ing'), ('en', 'er'), ('en', 'est'), ('', '')) e(l, ending)
+   ON e.l = CASE WHEN lang IN ('fr', 'en') THEN lang ELSE '' END WHERE length(term || ending) >= 2)"""
+
+
 def with_views(*parts: str) -> str:
     """A WITH clause of the DuckDB views, in order."""
     return "WITH " + ", ".join(parts) + "\n"
