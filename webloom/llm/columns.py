@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -18,6 +19,14 @@ def text_list(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def give_back() -> None:
+    """Memory that a task no longer uses goes back to the system, for a worker stays for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def with_computed(
     df: DataFrame,
     inputs: list[str],
@@ -50,6 +59,7 @@ def with_computed(
                 arrays = [part.column(i) for i in kept]
                 arrays += [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+        give_back()
 
     made = plain.mapInArrow(run, T.StructType(fields))
     return made.toDF(*(df.columns[i] for i in kept), *(f.name for f in outputs))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.llm.columns import text_list
+from webloom.llm.columns import give_back, text_list
 from webloom.llm.tokens import encoder, slices
 from webloom.session import materialize, ship
 
@@ -66,6 +66,8 @@ def token_pieces(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        encoder(vocabulary).rest_between_tasks()
+        give_back()
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return narrow.mapInArrow(run, PIECES)

@@ -101,6 +101,10 @@ class _Pieces(dict):
             self.clear()
             self.held = 0
 
+    def forget(self):
+        """Keep this generation alone."""
+        self.older = {}
+
 
 class PieceEncoder:
     """Ids of many texts at once; ``max_pieces`` and ``max_bytes`` bound a generation of a worker's cache."""
@@ -114,8 +118,8 @@ class PieceEncoder:
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.space = self.alphabet[ord(" ")]
         self.words = _Pieces(self._word, max_pieces // 2, max_bytes // 4)
-        self.rest = _Pieces(lambda piece: self._piece(" " + piece, piece), max_pieces, max_bytes // 2)
-        self.first = _Pieces(lambda piece: self._piece(piece, piece) if piece else b"", max_pieces // 8, max_bytes // 8)
+        self.rest = _Pieces(lambda piece: self._piece(" " + piece, piece, self.rest), max_pieces, max_bytes // 2)
+        self.first = _Pieces(lambda piece: self._piece(piece, piece, self.first) if piece else b"", max_pieces // 8, max_bytes // 8)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():  # these bytes stand for themselves, but for the space
@@ -124,11 +128,11 @@ class PieceEncoder:
             plain = word.encode().decode("latin-1").translate(self.alphabet)
         return array("I", map(_ID, self.model.tokenize(plain))).tobytes()
 
-    def _piece(self, whole: str, piece: str) -> bytes:
-        if piece.isalpha():
-            return self.words[whole]
+    def _piece(self, whole: str, piece: str, pieces: _Pieces) -> bytes:
+        if piece.isalpha():  # the cache of pieces will hold it: that of words need not
+            return self._word(whole)
         if piece[:-1].isalpha() and piece[-1] in MARKS:
-            return self.words[whole[:-1]] + self.words[piece[-1]]
+            return pieces[piece[:-1]] + self.words[piece[-1]]
         if not piece or piece[-1].isspace() or any([s in piece for s in self.specials]):
             raise _Unsafe
         split = self.split_ascii if whole.isascii() else self.split
@@ -143,6 +147,10 @@ class PieceEncoder:
         except _Unsafe:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def rest_between_tasks(self):
+        for cache in (self.words, self.rest, self.first):
+            cache.forget()
+
     def encode(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (uint32), and the end of each text among them (int64).
 

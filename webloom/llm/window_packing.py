@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.columns import text_list
+from webloom.llm.columns import give_back, text_list
 from webloom.llm.tokens import byte_alphabet, encoder, slices
 from webloom.session import ship
 
@@ -212,6 +212,8 @@ def window_packing(
         rows = stream.settle(True)
         if rows:
             yield made(rows)
+        coder.rest_between_tasks()
+        give_back()
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return narrow.mapInArrow(run, PIECES)
