@@ -8,6 +8,10 @@ import pytest
 from webloom.llm import html_extract
 
 PROSE = ("The cat sat on the mat and it was not for the dog that the man had to go out in the rain with his hat. " * 3).strip()
+RUSSIAN = "Вчера вечером дети гуляли у реки. Потом пошёл сильный дождь, и все побежали домой! " * 4
+RUSSIAN = RUSSIAN.strip()
+ITALIAN = ("Il gatto dorme sopra il tavolo della cucina. Nessuno vuole svegliarlo prima di cena. " * 4).strip()
+FIGURES = " ".join(f"{k * 37} {k * 91}" for k in range(60))
 LINKS = '<ul><li><a href="/a">One more story of the day</a></li><li><a href="/b">Another story of the day</a></li></ul>'
 CARDS = "".join(f'<article class="teaser"><h3>Card {k}</h3><p>Read it today.</p></article>' for k in range(3))
 
@@ -33,6 +37,16 @@ CARDS = "".join(f'<article class="teaser"><h3>Card {k}</h3><p>Read it today.</p>
         (f'<article class="post"><p>{PROSE}</p></article><article class="comment" id="comment-7"><p>{PROSE}</p></article>', PROSE),
         (f'<main><p>{PROSE}</p><article class="related teaser"><p>{PROSE}</p></article></main>', PROSE),
         (f'<article><p class="social-history">{PROSE}</p><section id="related-work"><p>{PROSE}</p></section><p class="postComments-list">Hi</p></article>', f"{PROSE}\n{PROSE}"),
+        # languages whose function words are not listed
+        (f"<body>{LINKS}<p>{RUSSIAN}</p><p>Да.</p><p>{RUSSIAN}</p></body>", f"{RUSSIAN}\nДа.\n{RUSSIAN}"),
+        (f"<body><div>{LINKS}</div><p>{ITALIAN}</p><footer>Tutti i diritti</footer></body>", ITALIAN),
+        # what holds few stop words stays between good neighbours
+        (f"<body><p>{PROSE}</p><pre>{FIGURES}</pre><p>{PROSE}</p></body>", f"{PROSE}\n{FIGURES}\n{PROSE}"),
+        # readers' comments by other names
+        (f'<article><p>{PROSE}</p><section class="reader-comments"><p>{PROSE}</p></section></article>', PROSE),
+        (f'<article><p>{PROSE}</p><section class="discussion"><h2>Comments</h2><p>{PROSE}</p></section></article>', PROSE),
+        # a sentence that opens like a notice is none
+        (f"<article><p>{PROSE}</p><p>All rights reserved clauses were struck by the court in the end.</p><p>All rights reserved. © 2024</p></article>", f"{PROSE}\nAll rights reserved clauses were struck by the court in the end."),
         # notices and adverts inside an article
         (f"<article><p>{PROSE}</p><p>Sponsored by X</p><p>{PROSE}</p><p>Disclaimer: this is no advice.</p></article>", f"{PROSE}\n{PROSE}"),
         # text of mathematics, drawings and objects

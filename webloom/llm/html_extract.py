@@ -2,7 +2,8 @@
 
 The first pass labels each block on its own: blocks inside menus, footers, sidebars, forms, adverts,
 notices and reader comments, and blocks that are mostly links, are bad; long blocks rich in stop words are
-good; short ones, headings and blocks poor in stop words are left open. In the second pass an open block
+good; short ones, headings and blocks without links that are poor in stop words are left open. On a page in whose
+text the listed stop words are rare, as in another language, ends of sentences count instead. In the second pass an open block
 inherits from its nearest decided neighbours: good where both sides, or the nearer good side, allow it.
 Blocks of a marked article stand by themselves: what is open there looks at neighbours of the same article
 only, and is good where the article decides nothing else; an advert or a menu in it decides nothing.
@@ -55,7 +56,7 @@ BLOCKS = NESTING | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "
 HINTS = frozenset(
     """
     ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies
-    consent disqus disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification
+    consent discussion discussions disqus disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification
     pagination popup promo promos promotion promoted related replies reply respond share sharing sidebar signup sitemap social
     sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar widget widgets alert alerts
     """.split()
@@ -63,20 +64,21 @@ HINTS = frozenset(
 BESIDE = frozenset(
     """
     a area articles bar block body bottom box button buttons card center column container content div entry feed form global group
-    header icon icons inner item items left link links list main message module outer page panel popular post posts primary right
+    header icon icons inner item items left link links list main message module outer page panel popular post posts primary reader readers right
     row secondary section site slot small space stories strip text thread top unit user view wrap wrapper
     """.split()
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar", "alertdialog"}
 #: How notices and adverts open.
 NOTICE = re.compile(
-    r"(?:advertisement|sponsored(?: by| content| post|$)|paid (?:post|content|partnership)|promoted(?: by| content|$)|disclaimer\b|all rights reserved"
-    r"|(?:we|this (?:web)?site) uses? cookies|share this (?:article|post|story|page)|follow us\b|sign up (?:for|to) (?:our|the)|subscribe to (?:our|the)"
-    r"|anzeige$|werbung$|gesponsert(?: von|$)|haftungsausschluss\b|alle rechte vorbehalten|wir verwenden cookies"
-    r"|publicité$|sponsorisé(?: par|$)|tous droits réservés|nous utilisons des cookies"
-    r"|publicidad$|patrocinado(?: por|$)|todos los derechos reservados|utilizamos cookies)",
+    r"(?:advertisement|sponsored(?: by| content| post|$)|paid (?:post|content|partnership)|promoted(?: by| content|$)|disclaimer\W*(?::|$)|all rights reserved\W*(?:$|©|\()"
+    r"|(?:we|this (?:web)?site) uses? cookies|share this (?:article|post|story|page)|follow us(?: on\b|\W*$)|sign up (?:for|to) (?:our|the)|subscribe to (?:our|the)"
+    r"|anzeige$|werbung$|gesponsert(?: von|$)|haftungsausschluss\W*(?::|$)|alle rechte vorbehalten\W*(?:$|©|\()|wir verwenden cookies"
+    r"|publicité$|sponsorisé(?: par|$)|tous droits réservés\W*(?:$|©|\()|nous utilisons des cookies"
+    r"|publicidad$|patrocinado(?: por|$)|todos los derechos reservados\W*(?:$|©|\()|utilizamos cookies)",
     re.I,
 )
+SENTENCE_END = re.compile(r"[.!?…](?=[\s\"'»”)]|$)|[。！？।؟]")
 HINTING = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 QUOTED = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+')""")
 HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w=-])", re.I)
@@ -247,6 +249,18 @@ def stop_word_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def list_fits(blocks: list[Block], few: float) -> bool:
+    """Are the stop words those of the page's language? All its text without links and marks of its own speaks for it."""
+    text = " ".join(b.text for b in blocks if not b.linked and not b.bad)
+    return stop_word_density(text) >= few
+
+
+def sentence_density(text: str, few: float, many: float) -> float:
+    """What stands in for the density of stop words in other languages: prose has several sentences."""
+    ends = len(SENTENCE_END.findall(text))
+    return many if ends >= 2 else few if ends else 0.0
+
+
 def classify(
     blocks: list[Block],
     short: int = 70,
@@ -257,6 +271,7 @@ def classify(
     second_pass: bool = True,
 ) -> list[Block]:
     """Label every block ``good`` or ``bad``; the first pass alone leaves some ``open``."""
+    known = list_fits(blocks, few_stop_words)
     for b in blocks:
         density = b.linked / len(b.text)
         if b.bad or density > most_linked or len(b.text) < long and NOTICE.match(b.text):
@@ -264,13 +279,13 @@ def classify(
         elif b.heading or len(b.text) < short:
             b.label = "bad" if b.linked and not b.article and not b.heading else "open"
         else:
-            rich = stop_word_density(b.text)
+            rich = stop_word_density(b.text) if known else sentence_density(b.text, few_stop_words, many_stop_words)
             if rich >= many_stop_words and len(b.text) > long or b.article and rich >= few_stop_words:
                 b.label = "good"
             elif rich >= few_stop_words or b.article:
                 b.label = "open"
             else:
-                b.label = "open" if density == 0 and len(b.text) < long else "bad"
+                b.label = "open" if density == 0 else "bad"  # neighbours decide on tables of figures, code and verse
     if not second_pass:
         return blocks
     n = len(blocks)
