@@ -7,8 +7,8 @@ lines to drop meet their document.
 
 Null handling: a null or empty text is one empty line. A row without ``doc_id`` cannot be told
 apart from others: it neither counts nor loses lines. Rows that repeat a ``doc_id`` count as one
-document. Columns other than the id and the text pass through unchanged; names that begin with ``__ld_`` are
-taken.
+document. A very long text is split and rebuilt within its row. Columns other than the id and the text pass through
+unchanged, whatever their names; ``names`` give way to the new columns. An empty table gives an empty one.
 """
 
 from __future__ import annotations
