@@ -209,14 +209,24 @@ def combined(*fields: Column) -> Column:
     return F.array_join(F.filter(F.array(*fields), lambda f: F.coalesce(strip(f), F.lit("")) != ""), "\n\n")
 
 
+#: What a text loses, or what stands for it, before it is embedded, in this order: fixed values. Words as Unicode has them.
+FOR_EMBEDDING = (
+    (r"[\x00-\x1f\x7f-\x9f]", ""),  # control characters, line feeds among them
+    (r"(?U)\s+", " "),
+    (r"https?://[!$-_a-z]+", ""),
+    (r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b", ""),
+    (r"(?U)\b0[1-9](?:[-.\s]?\d{2}){4}\b", ""),  # French telephone numbers
+    (r"[.,;:!?]{2,}", "."),
+    (r"[-_]{3,}", ""),
+)
+
+
 def embedding_text(text: Column) -> Column:
-    """Without control characters, addresses, French telephone numbers and repeated marks."""
-    out = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    out = F.regexp_replace(out, r"https?://\S+", "")
-    out = F.regexp_replace(out, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "")
-    out = F.regexp_replace(out, r"(?<!\d)(?:\+33|0)[1-9](?:[\s.-]?\d{2}){4}(?!\d)", "")
-    out = F.regexp_replace(out, r"([.!?,;:])\1+", "$1")
-    return strip(F.regexp_replace(out, r"\s+", " "))
+    """Without control characters, addresses and French telephone numbers; runs of marks become one full stop."""
+    out = F.coalesce(text, F.lit(""))
+    for pattern, plain in FOR_EMBEDDING:
+        out = F.regexp_replace(out, pattern, plain)
+    return strip(out)
 
 
 def summary_stats(text: Column, digits: int = 2) -> dict[str, Column]:
