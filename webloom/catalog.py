@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from webloom.operators import browse, crawl, dictionaries, export, more, pairs, stats, tags, texts, vector_index, worklists
+from webloom.operators import browse, crawl, dictionaries, export, more, pairs, sentiment, stats, tags, texts, vector_index, worklists
 from webloom.plans import corpus, crawl_loop, lifecycle
 from webloom.streaming import timeline
 
-MODULES = (export, browse, stats, tags, texts, more, worklists, crawl, dictionaries, pairs, vector_index, lifecycle, corpus, crawl_loop, timeline)
+MODULES = (export, browse, stats, tags, texts, more, worklists, crawl, dictionaries, pairs, vector_index, sentiment, lifecycle, corpus, crawl_loop, timeline)
 
 #: Date columns leave as ISO text, so that every client reads them alike.
 DATES = {

@@ -13,7 +13,9 @@ from webloom.functions import url as U
 from webloom.functions import vectors as W
 from webloom.operators import crawl, pairs
 from webloom.plans.lifecycle import HEURISTICS, new_rows
-from webloom.session import table
+from webloom.functions import models
+from webloom.session import table, work_path
+from webloom.sinks.partitions import replace_part, stored
 
 
 def next_pages(found: DataFrame, pages: DataFrame, domains: DataFrame, heuristics: dict[str, str] | None = None) -> dict[str, DataFrame]:
@@ -78,8 +80,8 @@ def unknown_relation(source: F.Column, target: F.Column) -> F.Column:
     return F.struct(F.lit(0).alias("relation"), F.lit(0.5).alias("confidence"))
 
 
-def similarity_run(paragraphs: DataFrame, old: DataFrame, method: str, threshold: float, k: int = 5, predict: Callable | None = None) -> DataFrame:
-    """All similarities after a run: rows of other methods stay, those of ``method`` are made anew.
+def similarity_rows(paragraphs: DataFrame, method: str, threshold: float, k: int = 5, predict: Callable | None = None) -> DataFrame:
+    """What a run of a method finds.
 
     ``cosine`` compares all pairs, ``cosine_lsh`` those of one sign signature, ``knn`` the nearest ones; ``nli`` asks
     ``predict``, a model for pairs of texts (columns in, struct of relation and confidence out), about the nearest ones.
@@ -101,8 +103,18 @@ def similarity_run(paragraphs: DataFrame, old: DataFrame, method: str, threshold
         found = found.join(text("source"), "source_id").join(text("target"), "target_id")
         said = predict(F.col("source_text"), F.col("target_text"))
     columns = ["source_id", "target_id", "source_page", "target_page", "score"]
-    rows = found.select(*columns, F.lit(method).alias("method"), said.alias("_s")).select(*columns, "method", "_s.relation", "_s.confidence")
-    return old.where(F.col("method") != method).unionByName(rows)
+    return found.select(*columns, F.lit(method).alias("method"), said.alias("_s")).select(*columns, "method", "_s.relation", "_s.confidence")
+
+
+def similarity_run(paragraphs: DataFrame, old: DataFrame, method: str, threshold: float, k: int = 5, predict: Callable | None = None) -> DataFrame:
+    """All similarities after a run: rows of other methods stay, those of ``method`` are made anew."""
+    return old.where(F.col("method") != method).unionByName(similarity_rows(paragraphs, method, threshold, k, predict))
+
+
+def stored_run(paragraphs: DataFrame, path: str, method: str, threshold: float, k: int = 5, predict: Callable | None = None) -> DataFrame:
+    """The same on a stored table with a partition for each method: only the files of ``method`` are written anew."""
+    replace_part(similarity_rows(paragraphs, method, threshold, k, predict), path, "method", method)
+    return stored(paragraphs.sparkSession, path, SIMILAR)
 
 
 def relation_summary(similar: DataFrame, methods: tuple[str, ...] = ("nli", "cosine", "cosine_lsh"), least: int = 0) -> DataFrame:
@@ -195,6 +207,20 @@ def _run(s, d, method, threshold, predict=None):
     return similarity_run(V.paragraphs(s, d), old, method, threshold, 3, predict)
 
 
+def _stored(s, d):
+    """A stored table of three methods: two of them run, one of these again with another threshold."""
+    path, p = work_path(s, "similar"), V.paragraphs(s, d)
+    stored_run(p, path, "cosine", 0.9)
+    stored_run(p, path, "knn", 0.3, 3)
+    return stored_run(p, path, "cosine", 0.35).withColumn("score", F.round("score", 6))
+
+
+def _judged(s, d):
+    """The nearest paragraphs, judged by a model that reads both texts."""
+    told = V.paragraphs(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return similarity_rows(told, "nli", 0.3, 3, models.pair_model(s, models.overlap_judge)).withColumns({c: F.round(c, 6) for c in ("score", "confidence")})
+
+
 SIMILAR = "source_id long, target_id long, source_page long, target_page long, score double, method string, relation int, confidence double"
 
 
@@ -221,6 +247,8 @@ QUERIES = {
     "new_vectors": lambda s, d: _vectors(s, d).select("id", "provider", F.round("norm", 9).alias("norm"), F.size("embedding").alias("dim")),
     "similarity_knn": lambda s, d: _run(s, d, "knn", 0.3).withColumn("score", F.round("score", 6)),
     "similarity_nli": lambda s, d: _run(s, d, "nli", 0.4).withColumn("score", F.round("score", 6)),
+    "similarity_stored": _stored,
+    "similarity_judged": _judged,
     "relation_summary": lambda s, d: relation_summary(_run(s, d, "cosine", 0.35)),
     "similar_in_project": lambda s, d: similar_in_project(_run(s, d, "cosine", 0.3), None, V.expressions(s, d), 1, 3.0).withColumn("score", F.round("score", 6)),
     "populated_words": lambda s, d: populated(*_terms(s, d))["words"],
@@ -234,7 +262,7 @@ QUERIES = {
     "combined_texts": lambda s, d: V.expressions(s, d).select("id", X.combined(F.col("readable"), F.when(F.col("id") % 2 == 0, F.lit(" ")), F.col("title")).alias("text")),
     "core_texts": lambda s, d: V.expressions(s, d).select("id", X.core_normalized(F.col("html")).alias("text")),
     "plain_texts": lambda s, d: table(s, d, "documents").select("doc_id", X.normalized(F.col("text")).alias("text")),
-    "embedding_texts": lambda s, d: table(s, d, "documents").select("doc_id", X.embedding_text(F.concat(F.col("text"), F.lit(" mail a.b@c.org call +33 6 12 34 56 78 see https://x.org/y!!! now"))).alias("text")),
+    "embedding_texts": lambda s, d: table(s, d, "documents").select("doc_id", X.embedding_text(F.concat(F.col("text"), F.lit(" mail a.b@c.org call 06 12 34 56 78 see https://x.org/y!!! now..."))).alias("text")),
     "text_summaries": lambda s, d: table(s, d, "documents").select("doc_id", *[c.alias(n) for n, c in X.summary_stats(F.col("text"), 6).items()]),
     "verdicts": lambda s, d: V.expressions(s, d).select("id", X.first_word(F.col("validllm")).alias("first_word"), X.yes_no(F.coalesce("validllm", F.lit(""))).alias("yes"), F.length(X.relevance_prompt(F.lit("P"), F.lit(["a", "b"]), F.col("title"), F.col("readable"))).alias("prompt_chars")),
     "sentence_cuts": lambda s, d: table(s, d, "documents").select("doc_id", X.cut_at_sentence(F.col("text"), 500).alias("text")),
@@ -275,6 +303,14 @@ ORACLES = {
     "new_vectors": "SELECT doc_id AS id, 'hashed' AS provider, CASE WHEN text = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm, 64 AS dim FROM documents WHERE doc_id % 3 <> 0",
     "similarity_knn": V.with_views(P, _NEAR, _OLD) + _knn(0.3, "knn", "NULL", "NULL"),
     "similarity_nli": V.with_views(P, _NEAR, _OLD) + _knn(0.4, "nli", "0", "0.5"),
+    "similarity_stored": V.with_views(P, _NEAR) + f"""SELECT DISTINCT least(id, n) AS source_id, greatest(id, n) AS target_id, CASE WHEN id < n THEN pa ELSE pb END AS source_page, CASE WHEN id < n THEN pb ELSE pa END AS target_page,
+      round(score, 6)::DOUBLE AS score, 'knn' AS method, NULL::INT AS relation, NULL::DOUBLE AS confidence FROM near WHERE score >= 0.3 UNION ALL
+      SELECT a.id, b.id, a.expression_id, b.expression_id, round({pairs._COS}, 6), 'cosine', NULL, NULL FROM paragraphs a JOIN paragraphs b ON a.id < b.id AND a.expression_id <> b.expression_id WHERE {pairs._COS} >= 0.35""",
+    "similarity_judged": "WITH paragraphs AS (SELECT vec_id AS id, CAST(label * 5 + vec_id % 5 AS BIGINT) AS expression_id, embedding FROM embeddings JOIN documents ON doc_id = vec_id), " + _NEAR + f""", worded AS (
+      SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: lower(w))) AS w FROM documents), told AS (SELECT doc_id, w, len(list_intersect(w, {list(models.TURNING)})) > 0 AS t FROM worded),
+      found AS (SELECT DISTINCT least(id, n) AS source_id, greatest(id, n) AS target_id, CASE WHEN id < n THEN pa ELSE pb END AS source_page, CASE WHEN id < n THEN pb ELSE pa END AS target_page, round(score, 6)::DOUBLE AS score FROM near WHERE score >= 0.3),
+      judged AS (SELECT f.*, a.t <> b.t AS turned, CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) ELSE 0 END AS share FROM found f JOIN told a ON a.doc_id = source_id JOIN told b ON b.doc_id = target_id)
+      SELECT source_id, target_id, source_page, target_page, score, 'nli' AS method, CASE WHEN turned AND share >= 0.2 THEN -1 WHEN share >= 0.5 AND NOT turned THEN 1 ELSE 0 END::INT AS relation, round(0.5 + share / 2, 6) AS confidence FROM judged""",
     "relation_summary": V.with_views(P, _OLD) + f""", r AS (SELECT source_page, target_page, relation, confidence FROM old WHERE method <> 'cosine' UNION ALL SELECT pa, pb, NULL, NULL FROM
       (SELECT a.expression_id AS pa, b.expression_id AS pb, {pairs._COS} AS score FROM paragraphs a JOIN paragraphs b ON a.id < b.id AND a.expression_id <> b.expression_id) WHERE score >= 0.35)
       SELECT least(source_page, target_page) AS page_a, greatest(source_page, target_page) AS page_b, count(*) AS weight, count(*) FILTER (WHERE relation = 1) AS entail, count(*) FILTER (WHERE relation = 0) AS neutral,
@@ -298,6 +334,9 @@ ORACLES = {
       SELECT doc_id, len(ws)::INT AS word_count, length({_STRIP('text')}) AS char_count, greatest(len(regexp_extract_all(text, '[.!?]+')), 1)::INT AS sentence_count,
       CASE WHEN len(ws) > 0 THEN round(list_sum(list_transform(ws, lambda w: length(regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]', '', 'g')))) / len(ws), 6) ELSE 0 END AS avg_word_length,
       len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda p: {_STRIP('p')} <> ''))::INT AS paragraph_count FROM w""",
+    "embedding_texts": """SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      text || ' mail a.b@c.org call 06 12 34 56 78 see https://x.org/y!!! now...', '[\\x00-\\x1f\\x7f-\\x{9f}]', '', 'g'), '\\s+', ' ', 'g'), 'https?://[!$-_a-z]+', '', 'g'),
+      '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z|]{2,}\\b', '', 'g'), '\\b0[1-9]([-.\\s]?\\d{2}){4}\\b', '', 'g'), '[.,;:!?]{2,}', '.', 'g'), '[-_]{3,}', '', 'g')) AS text FROM documents""",
     "verdicts": V.with_views(E) + "SELECT id, coalesce(validllm, '?') AS first_word, coalesce(validllm = 'oui', false) AS yes, length('Project: P') + length('Words: a, b') + length('Title: ' || coalesce(title, '')) + length('Text: ') + CASE WHEN length(readable) > 1000 THEN 1003 ELSE length(readable) END + length('Does the page belong to the project? Answer oui or non.') + 4 AS prompt_chars FROM expressions",
     "sentence_cuts": "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text WHEN strpos(left(text, 500), '.') > 0 AND 500 - strpos(reverse(left(text, 500)), '.') > 400 THEN left(text, 501 - strpos(reverse(left(text, 500)), '.')) ELSE left(text, 500) END AS text FROM documents",
     "cleaned_markup": f"SELECT page_id, {_clean('html')} AS text FROM pages",
