@@ -98,6 +98,12 @@ def test_text_for_embedding(spark):
     assert [r[0] for r in out] == ["abc", "onetwo three", "see ~c, d", "mail é!", "x  y +33 6 12 34 56 78", "so. --   _", ""]
 
 
+def test_addresses_end_where_letters_with_marks_begin(spark):
+    texts = ["see a.b@c0.example.comÉté x", "Étéa@b.org.", "é06 12 34 56 78é", "a@b.orgx1 y"]
+    out = spark.createDataFrame(list(enumerate(texts)), "id int, t string").orderBy("id").select(embedding_text(F.col("t"))).collect()
+    assert [r[0] for r in out] == ["see Été x", "Été.", "éé", "a@b.orgx1 y"]
+
+
 def files(path, method):
     return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path.removeprefix('file://')}/method={method}/*.parquet")}
 
