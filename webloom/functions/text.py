@@ -209,15 +209,17 @@ def combined(*fields: Column) -> Column:
     return F.array_join(F.filter(F.array(*fields), lambda f: F.coalesce(strip(f), F.lit("")) != ""), "\n\n")
 
 
-#: Where a word of ASCII letters, digits and ``_`` begins or ends, whatever stands beside it.
-_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: Where a word of ASCII letters, digits and ``_`` ends, and what follows the local part of a mail address.
+_END = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<=\|)(?=[A-Za-z0-9_]))"
+_HOST = rf"@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}{_END}"
 #: What a text loses, or what stands for it, before it is embedded, in this order: fixed values.
 FOR_EMBEDDING = (
     (r"[\x00-\x1f\x7f-\x9f]", ""),  # control characters, line feeds among them
     (r"(?U)\s+", " "),
     (r"https?://[!$-_a-z]+", ""),
-    (rf"(?U)(?:\b|{_EDGE})[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}{_EDGE}", ""),
-    (rf"{_EDGE}0[1-9](?:[-.\s]?[0-9]{{2}}){{4}}{_EDGE}", ""),  # French telephone numbers
+    (rf"(?U)\b[A-Za-z0-9._%+-]+{_HOST}", ""),
+    (rf"([^\x00-\x7f])(?=[A-Za-z0-9_])[A-Za-z0-9._%+-]+{_HOST}", "$1"),  # behind a letter with a mark, too
+    (rf"0[1-9](?<![A-Za-z0-9_]..)(?:[-.\s]?[0-9]{{2}}){{4}}{_END}", ""),  # French telephone numbers
     (r"[.,;:!?]{2,}", "."),
     (r"[-_]{3,}", ""),
 )
