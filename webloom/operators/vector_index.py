@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom import views as V
+from webloom.operators import blocks as B
 from webloom.session import materialize, ship, work_path
 
 #: Angles are widened by this much, for the rounding of the arc cosine.
@@ -27,13 +28,6 @@ NOWHERE = -1
 FOUND = "id long, neighbour long, page long, score double"
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
-    x = x.reshape(len(x), -1)
-    length = np.sqrt((x**2).sum(1, keepdims=True))
-    return x / np.where(length == 0, 1, length)
-
-
 def fitted_centres(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Spherical k-means on unit vectors: centres of unit length, at most ``cells`` of them."""
     sample = sample[np.abs(sample).sum(1) > 0]
@@ -53,7 +47,7 @@ def fitted_centres(sample: np.ndarray, cells: int, rounds: int = 8, seed: int =
 class VectorIndex:
     """An index that was written to ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, part_rows: int = 4096):
+    def __init__(self, spark: SparkSession, path: str, part_rows: int = 32_768):
         self.spark, self.path, self.part_rows = spark, path, part_rows
         self.vectors = spark.read.parquet(f"{path}/vectors")
         rows = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # one row a cell
@@ -71,13 +65,13 @@ class VectorIndex:
         total = rows.count()
         some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // sample))) == 0).select("v").toArrow()
         wanted = min(most_cells, cells or max(1, int(total**0.5)))
-        centres = fitted_centres(_units(some.column("v")) if some.num_rows else np.zeros((0, 1)), wanted)
+        centres = fitted_centres(B.units(some.column("v")) if some.num_rows else np.zeros((0, 1)), wanted)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = _units(batch.column("v"))
+                x = B.units(batch.column("v"))
                 directed = np.abs(x).sum(1) > 0
                 cell, angle = np.full(len(x), NOWHERE), np.zeros(len(x))
                 if len(centres):
@@ -86,7 +80,7 @@ class VectorIndex:
                     cell = np.where(directed, near, NOWHERE)
                     angle = np.where(directed, np.arccos(np.clip(dots[np.arange(len(x)), near], -1, 1)), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("page"), pa.array(list(x), pa.list_(pa.float64())), pa.array(cell, pa.int64()), pa.array(angle)], names=["id", "page", "v", "cell", "angle"]
+                    [batch.column("id"), batch.column("page"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), pa.array(cell, pa.int64()), pa.array(angle)], names=["id", "page", "v", "cell", "angle"]
                 )
 
         rows.mapInArrow(assign, "id long, page long, v array<double>, cell long, angle double").write.parquet(f"{path}/vectors")
@@ -103,71 +97,91 @@ class VectorIndex:
         bounds[np.abs(x).sum(1) == 0] = 0
         return bounds
 
+    def _shards(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each shard a cell that lies in it, shards in order: cells are laid together up to ``part_rows``, larger ones cut."""
+        cell, shard, used, filled = [], [], 0, 0
+        for c, n in enumerate(self.counts.tolist()):
+            parts = -(-n // self.part_rows)
+            if parts > 1 or filled + n > self.part_rows:
+                used, filled = used + bool(filled), 0
+            cell += [c] * parts
+            shard += range(used, used + parts)
+            used, filled = (used + parts, 0) if parts > 1 else (used, filled + n)
+        return np.array(cell, np.int64), np.array(shard, np.int64)
+
     def _visits(self, queries: DataFrame, k: int, later: bool) -> DataFrame:
-        """(id, page, v, cell): the cells to read first, or those that remain once ``least`` is what there is to beat."""
+        """(id, page, v, least, shard, cells): what to read first, or what remains once ``least`` is what there is to beat.
+
+        A query goes to a shard once, with the cells that it reads there.
+        """
         spread = type(self)._bounds
         facts = {"cells": self.cells, "radii": self.radii, "centres": self.centres}
-        counts, enough = self.counts, 4 * k
+        counts, enough, (cell_of, shard_of) = self.counts, 4 * k, self._shards()
+        held = [(int(s), cell_of[shard_of == s]) for s in np.unique(shard_of)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = object.__new__(VectorIndex)
             here.__dict__.update(facts)
-            for batch in batches:
-                if not batch.num_rows or not len(counts):
-                    continue
-                bounds = spread(here, _units(batch.column("v")))
-                order = np.argsort(-bounds, axis=1, kind="stable")
-                held = np.cumsum(counts[order], axis=1)
-                first = np.zeros_like(bounds, bool)
-                np.put_along_axis(first, order, np.column_stack([np.ones(len(order), bool), held[:, :-1] < enough]), axis=1)
-                if later:
-                    least = np.array([-2.0 if t is None else t for t in batch.column("least").to_pylist()])
-                    chosen = ~first & (bounds >= least[:, None] - 1e-9)
-                else:
-                    chosen = first
-                row, cell = np.nonzero(chosen)
-                taken = batch.select(["id", "page", "v"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(facts["cells"][cell])], names=["id", "page", "v", "cell"])
-
-        return queries.mapInArrow(run, "id long, page long, v array<double>, cell long")
+            for whole in batches:
+                for begin in range(0, whole.num_rows if len(counts) else 0, 1024):
+                    batch = whole.slice(begin, 1024)
+                    bounds = spread(here, B.units(batch.column("v")))
+                    order = np.argsort(-bounds, axis=1, kind="stable")
+                    reached = np.cumsum(counts[order], axis=1)
+                    first = np.zeros_like(bounds, bool)
+                    np.put_along_axis(first, order, np.column_stack([np.ones(len(order), bool), reached[:, :-1] < enough]), axis=1)
+                    least = np.full(len(bounds), B.NOT)
+                    if later:
+                        least = np.array([B.NOT if t is None else t for t in batch.column("least").to_pylist()])
+                        first = ~first & (bounds >= least[:, None] - 1e-9)
+                    for shard, inside in held:
+                        row, at = np.nonzero(first[:, inside])
+                        if len(row):
+                            some, n = np.unique(row, return_counts=True)
+                            cells = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(facts["cells"][inside[at]]))
+                            taken = batch.select(["id", "page", "v"]).take(pa.array(some))
+                            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(least[some]), pa.array([shard] * len(some), pa.int64()), cells], names=["id", "page", "v", "least", "shard", "cells"])
+
+        return queries.mapInArrow(run, "id long, page long, v array<double>, least double, shard long, cells array<long>")
 
     def _search(self, visits: DataFrame, k: int, other_pages: bool) -> DataFrame:
-        """The best ``k`` of each cell that a query reads. Cells and their queries are dealt in parts of bounded size."""
+        """The best ``k`` of the cells that a query reads in each shard. Shards and queries are dealt in parts of bounded size."""
         rows, spark = self.part_rows, self.spark
         ship(spark)
-        read = visits.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("q_parts"))
-        sizes = spark.createDataFrame([(int(c), -(-int(n) // rows)) for c, n in zip(self.cells, self.counts)] or [(NOWHERE - 1, 1)], "cell long, parts long")
-        facts = F.broadcast(read.join(F.broadcast(sizes), "cell"))  # one row a cell
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        asked = visits.join(facts, "cell").withColumn("q", F.pmod(F.xxhash64("id"), F.col("q_parts"))).withColumn("p", every("parts"))
-        held = self.vectors.join(facts, "cell").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("q", every("q_parts"))
-        columns = ["cell", "p", "q", "id", "page", "v"]
+        cell_of, shard_of = self._shards()
+        read = visits.groupBy("shard").agg(F.ceil(F.count("*") / rows).alias("q_parts"))
+        first, parts = np.unique(cell_of, return_index=True)[1], np.bincount(cell_of, minlength=len(self.cells))
+        laid = spark.createDataFrame([(int(c), int(shard_of[f]), int(n)) for c, f, n in zip(self.cells, first, parts)] or [(NOWHERE - 1, 0, 1)], "cell long, from_shard long, parts long")
+        asked = visits.join(F.broadcast(read), "shard").withColumn("q", F.pmod(F.xxhash64("id"), F.col("q_parts")))  # one row a shard
+        held = self.vectors.join(F.broadcast(laid), "cell").withColumn("shard", F.col("from_shard") + F.pmod(F.xxhash64("id"), F.col("parts")))
+        held = held.join(F.broadcast(read), "shard").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1)))
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = {"id": [], "neighbour": [], "page": [], "score": []}
-            if left.num_rows and right.num_rows:
-                right = right.take(np.argsort(right.column("id").to_numpy(), kind="stable"))
-                a_id, b_id = left.column("id").to_numpy(), right.column("id").to_numpy()
-                number = lambda c: np.array([-1 if x is None else x for x in c.to_pylist()], np.int64)
-                a_page, b_page = number(left.column("page")), number(right.column("page"))
-                x, y = _units(left.column("v")), _units(right.column("v"))
-                for begin in range(0, len(x), 512):
-                    some = slice(begin, begin + 512)
-                    score = np.round(x[some] @ y.T, 12)
-                    score[a_id[some][:, None] == b_id[None, :]] = -2
-                    if other_pages:
-                        score[a_page[some][:, None] == b_page[None, :]] = -2
-                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(score, best, axis=1)
-                    row, col = np.nonzero(value > -2)
-                    found = best[row, col]
-                    for name, part in (("id", a_id[some][row]), ("neighbour", b_id[found]), ("page", b_page[found]), ("score", value[row, col])):
-                        out[name].append(part)
-            whole = {n: np.concatenate(c) if c else np.zeros(0, float if n == "score" else np.int64) for n, c in out.items()}
-            return pa.table(whole)
-
-        keys = ["cell", "p", "q"]
-        return asked.select(*columns).groupBy(*keys).cogroup(held.select(*columns).groupBy(*keys)).applyInArrow(meet, FOUND)
+            best = B.Best(left.num_rows, k, left.column("least").to_numpy()) if left.num_rows and right.num_rows else B.Best(0, k)
+            a_id, a_page = left.column("id").to_numpy(), B.numbers(left.column("page"))
+            if len(best.bound):
+                lists = left.column("cells").combine_chunks()
+                n = lists.value_lengths().to_numpy()
+                wanted = lists.flatten().to_numpy()
+                order = np.argsort(wanted, kind="stable")
+                wanted, asking = wanted[order], np.repeat(np.arange(len(n)), n)[order]
+                x = B.units(left.column("v"))
+                right = right.sort_by([("cell", "ascending"), ("page", "ascending"), ("id", "ascending")])
+                y, b_id, b_page, cell = B.units(right.column("v")), right.column("id").to_numpy(), B.numbers(right.column("page")), right.column("cell").to_numpy()
+                for c in np.unique(cell):
+                    near = slice(*np.searchsorted(cell, [c, c + 1]))
+                    mine = asking[slice(*np.searchsorted(wanted, [c, c + 1]))]
+                    for some in B.spans(len(mine), near.stop - near.start):
+                        score = x[mine[some]] @ y[near].T
+                        B.mask_equal(score, a_id[mine[some]], b_id[near])
+                        if other_pages:
+                            B.mask_equal(score, a_page[mine[some]], b_page[near])
+                        best.add(mine[some], b_id[near], score, b_page[near])
+            row, other, score, page = best.found()
+            return pa.table({"id": a_id[row], "neighbour": other, "page": page, "score": score})
+
+        keys = ["shard", "q"]
+        return asked.select(*keys, "id", "page", "v", "least", "cells").groupBy(*keys).cogroup(held.select(*keys, "id", "page", "v", "cell").groupBy(*keys)).applyInArrow(meet, FOUND)
 
     def nearest(self, queries: DataFrame, k: int, other_pages: bool = True) -> DataFrame:
         """(id, rank, neighbour, page, score): the ``k`` nearest vectors of each query (id, expression_id, embedding).
@@ -192,6 +206,7 @@ class VectorIndex:
         least = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("id").alias("_id"), F.col("score").alias("least"))
         visits = first.unionByName(self._visits(rows.join(least, F.col("id") == F.col("_id"), "left").drop("_id"), k, True))
         size = self.spark.createDataFrame([(int(c), int(m)) for c, m in zip(self.cells, self.counts)], "cell long, m long")
+        visits = visits.select("id", F.explode("cells").alias("cell")).distinct()
         compared = visits.join(F.broadcast(size), "cell").agg(F.sum("m")).first()[0] or 0
         return compared / max(1, n * total)
 
