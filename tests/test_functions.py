@@ -128,6 +128,20 @@ def test_vectors(spark):
     assert v[0] == v[1] and len(v[0]) == 64 and abs(sum(x * x for x in v[0]) - 1) < 1e-9
 
 
+def test_characters_are_counted_outside_the_plan(spark):
+    texts = [("Éa😀a",), ("",), (None,)]
+    v = values(spark, texts, Z.hashed_embedding(F.col("text")))
+    n = [0] * 64
+    for c in "éa😀a":
+        n[ord(c) * 39 % 64] += 1
+    length = sum(x * x for x in n) ** 0.5
+    assert v[0] == [x / length for x in n] and v[1] == [0.0] * 64 and v[2] is None
+    assert values(spark, [("Éœ ﬁ½ ß漢x",), ("",), (None,)], X.ascii_only(F.col("text"))) == ["E fi12 x", "", None]
+    rows = spark.createDataFrame(texts, "text string")
+    plan = rows.select(Z.hashed_embedding(F.col("text")), X.ascii_only(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan and "translate(" not in plan
+
+
 def test_written_dates(spark):
     from webloom.functions import dates as D
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from webloom.session import ship
 
 BLANKS = " \t\n\u000b\f\r"
 #: The letters that count as vowels of a syllable (``y`` is none).
@@ -52,13 +56,21 @@ def _decomposed() -> tuple[str, str, dict[str, str]]:
 MARKED, PLAIN, SEVERAL = _decomposed()
 
 
+_ASCII = str.maketrans(dict(zip(MARKED, PLAIN)) | SEVERAL)
+
+
+@F.arrow_udf(StringType())
+def _ascii_only(text: pa.Array) -> pa.Array:
+    plain = lambda t: t if t is None or t.isascii() else t.translate(_ASCII).encode("ascii", "ignore").decode()
+    return pa.array([plain(t) for t in text.to_pylist()], pa.string())
+
+
 def ascii_only(text: Column) -> Column:
     """Letters without their marks; what has no ASCII form goes."""
-    plain = F.translate(text, MARKED, PLAIN)
-    map_ = F.create_map(*[F.lit(x) for kv in SEVERAL.items() for x in kv])
-    spread = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(map_[c], c)), "")
-    plain = F.when(plain.rlike("[" + "".join(SEVERAL) + "]"), spread).otherwise(plain)
-    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+    return _ascii_only(text)
 
 
 def stop_free(word: Column, lang: Column) -> Column:

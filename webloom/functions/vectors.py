@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from webloom.functions.text import bound
+from webloom.session import ship
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,21 +34,27 @@ def normalized(a: Column) -> Column:
     return bound(a, unit)
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def _character_counts(text: pa.Array, size: pa.Array) -> pa.Array:
+    """Characters of lower-case texts in bins, of unit length, a text at a time."""
+    bins = size[0].as_py() if len(size) else 1
+    step, out = 1315423911 % bins, np.zeros((len(text), bins))
+    for i, t in enumerate(text.to_pylist()):
+        if t:
+            codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
+            out[i] = np.bincount(codes * step % bins, minlength=bins)
+    length = np.sqrt((out**2).sum(1, keepdims=True))
+    out /= np.where(length == 0, 1, length)
+    offsets = pa.array(np.arange(len(text) + 1) * bins, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=text.is_null())
+
+
 def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """Character counts in ``size`` bins, of unit length; the same text gives the same vector anywhere.
-
-    Bins are sorted and counted as runs, in one pass over the text.
-    """
-    step = 1315423911 % size
-    bins = F.array_sort(F.transform(F.filter(F.split(F.lower(text), ""), lambda c: c != ""), lambda c: (F.ascii(c) * step) % size))
-    run = lambda bin_, n: F.struct(bin_.alias("bin"), n.alias("n"))
-    start = F.struct(F.lit(-1).alias("bin"), F.lit(0).alias("n"), F.array().cast("array<struct<bin:int,n:int>>").alias("done"))
-    grow = lambda acc, b: F.when(
-        b == acc["bin"], F.struct(acc["bin"].alias("bin"), (acc["n"] + 1).alias("n"), acc["done"].alias("done"))
-    ).otherwise(F.struct(b.alias("bin"), F.lit(1).alias("n"), F.array_append(acc["done"], run(acc["bin"], acc["n"])).alias("done")))
-    counted = F.aggregate(bins, start, grow, lambda acc: F.map_from_entries(F.array_append(acc["done"], run(acc["bin"], acc["n"]))))
-    spread = lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(found[k], F.lit(0)).cast("double"))
-    return normalized(bound(counted, spread))
+    """Character counts in ``size`` bins, of unit length; the same text gives the same vector anywhere."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+    return _character_counts(F.lower(text), F.lit(size))
 
 
 def sign_planes(size: int, planes: int, seed: int = 42) -> list[list[int]]:
