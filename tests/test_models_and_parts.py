@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import models
 from webloom.functions.text import embedding_text
-from webloom.operators.sentiment import learned_lexicon, sentiments
+from webloom.operators.sentiment import learned_lexicon, polarities, sentiments
 from webloom.plans.corpus import SIMILAR, similarity_run, stored_run
 from webloom.session import work_path
 from webloom.sinks.partitions import replace_part, stored
@@ -92,6 +92,22 @@ def test_lexicon_is_learned_from_marks(spark):
     assert sorted(map(tuple, found)) == [("en", "day", round(12 / 11 - 1, 6)), ("en", "nice", 1.0), ("en", "poor", -1.0)]
 
 
+def test_places_of_a_common_word_are_dealt_to_many_tasks(spark):
+    rows = spark.createDataFrame([(k, "the day", "en") for k in range(600)], "id int, text string, lang string").repartition(2)
+    lexicon = spark.createDataFrame([("en", "the", 0.5), ("en", "The", 0.1), ("en", "day", -0.1)], "lang string, term string, polarity double")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(kept, ("-1", "false", "16")):
+            spark.conf.set(k, v)
+        found = polarities(rows, lexicon)
+        assert {r["polarity"] for r in found.collect()} == {0.2} and found.count() == 600
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(lang" in plan and "_salt" in plan.split("hashpartitioning(lang")[1].split(")")[0]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_text_for_embedding(spark):
     texts = ["a\u0085b\x00c", "one\ntwo  three", "see https://x.org/a(b)~c, d", "mail é.b@c.org!", "x 06.12.34.56.78 y +33 6 12 34 56 78", "so?!... -- --- ___ _", None]
     out = spark.createDataFrame(list(enumerate(texts)), "id int, t string").orderBy("id").select(embedding_text(F.col("t"))).collect()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from webloom.functions import text as X
 from webloom.session import table
 
+#: A word's places are dealt to so many tasks, however common it is.
+SALTS = 32
 #: Languages that are scored, characters that a text must have, and the confidence below which a score is doubtful: fixed values.
 SPOKEN = ("en", "fr")
 LEAST = 10
@@ -29,13 +31,15 @@ def learned_lexicon(texts: DataFrame, least: int = 5) -> DataFrame:
 def polarities(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(id, polarity) of the texts (id, text, lang) that hold a term of their language's lexicon: the mean over all its places.
 
-    Of repeated terms the mean counts. Polarities are summed in whole millionths, so the order of rows does not matter.
+    Of repeated terms the mean counts. The lexicon is copied ``SALTS`` times, so that a common word's places meet it in many
+    tasks. Polarities are summed in whole millionths, so the order of rows does not matter.
     """
     known = lexicon.where("polarity IS NOT NULL").groupBy(F.lower("lang").alias("lang"), "term").agg(F.avg("polarity").alias("p"))
     known = known.select("lang", "term", F.round(F.col("p") * 1_000_000).cast("long").alias("p"))
-    words = texts.select("id", F.lower("lang").alias("lang"), F.explode(X.tokens(F.col("text"))).alias("term"))
+    known = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    words = texts.select("id", F.lower("lang").alias("lang"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt"), F.explode(X.tokens(F.col("text"))).alias("term"))
     mean = F.sum("p") / F.lit(1_000_000) / F.count("*")
-    return words.join(known, ["lang", "term"]).groupBy("id").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean)).alias("polarity"))
+    return words.join(known, ["lang", "term", "_salt"]).groupBy("id").agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean)).alias("polarity"))
 
 
 def sentiments(texts: DataFrame, lexicon: DataFrame, model: Callable[[Column], Column] | None = None, best: Column | None = None) -> DataFrame:
