@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from webloom import views as V
 from webloom.plans.crawl_loop import Seen, crawl_rounds
 
 ROWS = "land_id long, url string"
@@ -73,3 +74,14 @@ def test_the_set_is_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         seen.close()
+
+
+def test_links_of_a_task_do_not_grow_with_the_table(spark, tmp_path):
+    """Many links: more tasks than the session's shuffle partitions, and each pair of pages once all the same."""
+    spark.range(1000).selectExpr("id AS page_id").write.parquet(str(tmp_path / "pages.parquet"))
+    n = 3_000_000
+    spark.range(n).selectExpr("id AS l_orderkey", "id DIV 1000 AS l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = V.links(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 8 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = spark.range(n).selectExpr("id % 1000 AS a", "(id DIV 1000) * 7 % 1000 AS b").where("a <> b").distinct()
+    assert found.count() == wanted.count() and found.exceptAll(wanted).isEmpty()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom import views as V
-from webloom.session import discard, drop_path, materialize, work_path
+from webloom.session import dealt, discard, drop_path, materialize, work_path
 
 WORDS = 8
 #: Addresses for each block of 512 bits.
@@ -114,11 +114,13 @@ def crawl_rounds(seeds: DataFrame, pages: DataFrame, links: DataFrame, most_dept
     each once, none to the page itself), ``rounds`` (new addresses of each) and ``false_positives`` of the filter.
     """
     spark = seeds.sparkSession
-    expected = expected or max(1, links.count())
+    count = links.count()
+    expected = expected or max(1, count)
     seen = Seen(spark, expected, filtered=filtered)
     # the pages that pass for the relevance, and the links that lead elsewhere, once for all rounds
     relevant = pages.where("relevance > 0").select("land_id", F.col("url").alias("source")).distinct()
-    open_links = materialize(links.where("source <> target").join(relevant, ["land_id", "source"]).select("land_id", "source", "target").distinct(), "links")
+    opened = links.where("source <> target").join(relevant, ["land_id", "source"]).select("land_id", "source", "target")
+    open_links = materialize(dealt(opened, count, "land_id", "source", "target").distinct(), "links")
     new = seen.unseen(seeds.select("land_id", "url").distinct().withColumn("depth", F.lit(0)))
     edges, rounds = [], []
     for depth in range(most_depth + 1):

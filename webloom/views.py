@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.session import spread, table
+from webloom.session import dealt, spread, table
 
 FIRST_DAY = "2024-01-01"
 
@@ -91,11 +91,8 @@ def page_count(spark: SparkSession, sf_dir: str) -> int:
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-to-page links: pages linked by order lines, at most once, never to themselves."""
     li, n = table(spark, sf_dir, "lineitem"), page_count(spark, sf_dir)
-    return (
-        li.select((F.col("l_orderkey") % n).alias("source_id"), (F.col("l_partkey") * 7 % n).alias("target_id"))
-        .where(F.col("source_id") != F.col("target_id"))
-        .distinct()
-    )
+    pairs = li.select((F.col("l_orderkey") % n).alias("source_id"), (F.col("l_partkey") * 7 % n).alias("target_id"))
+    return dealt(pairs.where(F.col("source_id") != F.col("target_id")), li.count(), "source_id", "target_id").distinct()
 
 
 _PAGES = "(SELECT greatest(count(*), 1) FROM pages)"
