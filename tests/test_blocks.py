@@ -57,3 +57,28 @@ def test_vectors_of_different_lengths_are_refused():
     with pytest.raises(ValueError):
         B.units(pa.array([[1.0], [1.0, 2.0]]))
     assert B.units(pa.array([[3.0, 4.0], [0.0, 0.0]])).tolist() == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_nearest_of_copies_and_close_scores():
+    """Copies in a page are scored once, single precision decides nothing, and other pages' ties go by id."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(30, 8))
+    near = base[rng.integers(0, 30, 300)] + 1e-6 * rng.normal(size=(300, 8))  # apart by less than single precision tells
+    x = np.concatenate([np.repeat(base[:1], 900, 0), near, np.zeros((5, 8)), np.full((1, 8), np.nan)])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    ids, pages = rng.permutation(len(x)), rng.integers(0, 4, len(x))
+    order = np.argsort(ids)
+    whole = B.Side(x[order], ids[order], pages[order])
+    some, more, of = whole.firsts(3)
+    assert len(more) > 800 and len(some.x) + len(more) == len(x) and (some.pages[of] == whole.pages[more]).all()
+    assert (some.x[of] == whole.x[more]).all() and (some.ids[of] < whole.ids[more]).all()
+    score = np.round(np.einsum("id,jd->ij", whole.x, whole.x), 12)
+    for left, right in ((whole, whole), (some, some)):
+        row, found, value = B.nearest_of(left, right, 3, True)[0].found()
+        got = {i: [] for i in left.ids}
+        for r, i, v in zip(row, found, value):
+            got[left.ids[r]].append((-v, i))
+        for n, i in enumerate(whole.ids):
+            if i in got:
+                wanted = sorted((-score[n, j], whole.ids[j]) for j in range(len(x)) if whole.pages[j] != whole.pages[n] and not np.isnan(score[n, j]))[:3]
+                assert [w[1] for w in wanted] == [g[1] for g in got[i]] and np.allclose([w[0] for w in wanted], [g[0] for g in got[i]], atol=1e-11)
