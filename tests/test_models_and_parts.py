@@ -165,3 +165,11 @@ def test_no_rows_empty_the_part_and_strange_rows_raise(spark, paragraphs):
     with pytest.raises(ValueError, match="partition name"):
         replace_part(stored(spark, path, SIMILAR), path, "method", "a/b")
     assert stored(spark, path, SIMILAR).count() > 0
+
+
+def test_only_a_batch_of_texts_becomes_strings():
+    import pyarrow as pa
+
+    a, b = pa.array(["x"] * 7), pa.array(["y"] * 7)
+    assert [(len(p), len(q)) for p, q in models._by(3, a, b)] == [(3, 3), (3, 3), (1, 1)] and not list(models._by(3, a[:0]))
+    assert next(models._by(3, a))[0].buffers()[2].address == a.buffers()[2].address  # no copy

@@ -15,7 +15,7 @@ import logging
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,34 +55,41 @@ def _loaded(load: Callable[[], Callable]) -> Callable | None:
         return None
 
 
-def _texts(column: pd.Series) -> list[str]:
-    return ["" if t is None else t for t in column]
+def _texts(column: pa.Array) -> list[str]:
+    return ["" if t is None else t for t in column.to_pylist()]
+
+
+def _by(batch: int, *columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """Columns cut to ``batch`` rows without a copy: only these become Python strings at a time."""
+    for begin in range(0, len(columns[0]), batch):
+        yield tuple(c.slice(begin, batch) for c in columns)
 
 
 def pair_model(spark: SparkSession, load: Callable[[], Callable[[Pairs], list[tuple[int, float]]]], batch: int = 64, tries: int = 2) -> Callable[[Column, Column], Column]:
     """(text, text) -> struct of relation (1 follows, 0 neutral, -1 contradicts) and confidence, by a model."""
     ship(spark)
 
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         ask = _loaded(load)
-        for a, b in parts:
-            said = asked(ask, list(zip(_texts(a), _texts(b), strict=True)), batch, tries, UNKNOWN)
-            yield pd.DataFrame({"relation": [int(r) for r, _ in said], "confidence": [float(c) for _, c in said]})
+        for whole in parts:
+            said = [x for a, b in _by(batch, *whole) for x in asked(ask, list(zip(_texts(a), _texts(b), strict=True)), batch, tries, UNKNOWN)]
+            relation, confidence = pa.array([int(r) for r, _ in said], pa.int32()), pa.array([float(c) for _, c in said], pa.float64())
+            yield pa.StructArray.from_arrays([relation, confidence], names=["relation", "confidence"])
 
-    return F.pandas_udf(run, RELATION)
+    return F.arrow_udf(run, RELATION)
 
 
 def text_model(spark: SparkSession, load: Callable[[], Callable[[list[str]], list[float | None]]], batch: int = 64, tries: int = 2) -> Callable[[Column], Column]:
     """text -> a number by a model; null where it has none. Null texts are not asked."""
     ship(spark)
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ask = _loaded(load)
-        for texts in parts:
-            answers = iter(asked(ask, [t for t in texts if t is not None], batch, tries, None))
-            yield pd.Series([None if t is None else next(answers) for t in texts], dtype="Float64")
+        for whole in parts:
+            answers = iter([x for (some,) in _by(batch, whole.drop_null()) for x in asked(ask, some.to_pylist(), batch, tries, None)])
+            yield pa.array([next(answers) if known else None for known in whole.is_valid().to_pylist()], pa.float64())
 
-    return F.pandas_udf(run, "double")
+    return F.arrow_udf(run, "double")
 
 
 #: Words that turn a sentence round: fixed values.
