@@ -56,3 +56,18 @@ def test_packed_numbers():
         values = np.random.default_rng(bits).integers(0, 2**bits, 101)
         assert np.array_equal(repair.unpack(repair.pack(values, bits), 101, bits), values)
     assert repair.pack(np.zeros(0, np.uint32), 0) == b"" and len(repair.unpack(b"", 0, 0)) == 0
+
+
+def test_nothing_is_collected_while_texts_are_encoded():
+    import gc
+
+    from webloom.llm.tokens import PieceEncoder
+
+    coder, states = PieceEncoder("byte_bpe_50k.json"), []
+    merge = coder.merge
+    coder.merge = lambda word: states.append(gc.isenabled()) or merge(word)
+    texts = ["plain words", "mots é́crits, ñandú", "a\nb c!"]
+    ids, ends = coder.encode(texts)
+    assert states and not any(states) and gc.isenabled()
+    for text, begin, end in zip(texts, [0, *ends], ends):
+        assert ids[begin:end].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids

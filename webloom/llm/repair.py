@@ -32,9 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.columns import text_list
+from webloom.llm.columns import text_list, text_parts
 from webloom.llm.stores import open_store, parts_for
-from webloom.llm.tokens import encoder, slices
+from webloom.llm.tokens import encoder
 from webloom.session import materialize, ship, work_path
 
 MAGIC = b"WLRP0002"
@@ -52,19 +52,32 @@ def _alternate(at: np.ndarray) -> np.ndarray:
     return (place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0
 
 
+def _where(mask: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
+    """What a mask marks of each; places are looked for once."""
+    at = np.flatnonzero(mask)
+    return [row.take(at) for row in rows]
+
+
 def _slots(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each code in ``wanted`` or -1, and whether it may be wanted at all.
 
     Of wanted codes with the same hash the first one is found, and the others only may be wanted.
     """
     bits = max(10, len(wanted).bit_length() + 2)
-    place = lambda c: ((c * HASH) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def place(c):
+        c = c * HASH
+        c >>= np.uint64(64 - bits)
+        return c.view(np.int64)
+
     table = np.full(1 << bits, -1, np.int32)
     hashed, first = np.unique(place(wanted), return_index=True)
     table[hashed] = first
-    slot = table[place(codes)]
+    slot = table.take(place(codes))
     may = slot >= 0
-    return np.where(may & (wanted[slot] == codes), slot, -1), may
+    wrong = wanted.take(slot, mode="wrap") != codes
+    slot[wrong] = -1
+    return slot, may
 
 
 def build_grammar(ids: np.ndarray, last: np.ndarray, base: int, least: int = 6):
@@ -77,19 +90,22 @@ def build_grammar(ids: np.ndarray, last: np.ndarray, base: int, least: int = 6):
     one counts.
     """
     rules: list[np.ndarray] = []
-    symbols, next_id = ids.astype(np.int64), base
+    symbols, next_id = ids.astype(np.uint32), base
     last = last.copy()
     live = ~last  # does a pair begin here that may be frequent?
     live[-1:] = False
     while True:
         at = np.flatnonzero(live)
         left, right = symbols.take(at), symbols.take(at + 1)
+        codes = left.astype(np.uint64)
+        codes <<= np.uint64(32)
+        codes |= right
         same = np.flatnonzero(left == right)
         if len(same):
             kept = np.ones(len(at), bool)
             kept[same[~_alternate(at[same])]] = False
-            at, left, right = at[kept], left[kept], right[kept]
-        codes = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+            at, codes = _where(kept, at, codes)
+        del left, right
         seen, count = np.unique(codes, return_counts=True)
         often = np.flatnonzero(count >= least)
         if not len(often):
@@ -98,13 +114,12 @@ def build_grammar(ids: np.ndarray, last: np.ndarray, base: int, least: int = 6):
         best = seen[often[np.lexsort((seen[often] * HASH, -count[often]))]]
         slot, may = _slots(codes, best)
         live[at[~may]] = False
-        hit = slot >= 0
-        at, slot = at[hit], slot[hit]
+        at, slot = _where(slot >= 0, at, slot)
         touch = np.diff(at) == 1
         free = np.ones(len(at), bool)
         free[1:] &= ~touch | (slot[1:] < slot[:-1])
         free[:-1] &= ~touch | (slot[:-1] < slot[1:])
-        at, slot = at[free], slot[free]
+        at, slot = _where(free, at, slot)
         used = np.bincount(slot, minlength=len(best)) >= least
         stays = used[slot]
         at, slot, best = at[stays], (np.cumsum(used) - 1)[slot[stays]], best[used]
@@ -116,22 +131,22 @@ def build_grammar(ids: np.ndarray, last: np.ndarray, base: int, least: int = 6):
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         # where two replaced pairs follow each other, the place before the second one is gone; the first is live
-        symbols, last, live = symbols[keep], last[keep], live[keep]
+        symbols, last, live = _where(keep, symbols, last, live)
         rules.append(np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         next_id += len(best)
-    return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    return symbols.astype(np.int64), last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def pack(values: np.ndarray, bits: int) -> bytes:
     """Numbers below 2**bits in so many bits each."""
-    each = np.ascontiguousarray(values, ">u4").view(np.uint8).reshape(-1, 4)
-    return np.packbits(np.unpackbits(each, axis=1)[:, 32 - bits :]).tobytes()
+    left = (values.astype(np.uint64) << np.uint64(32 - bits)).astype(">u4")  # the bits stand at the front
+    return np.packbits(np.unpackbits(left.view(np.uint8).reshape(-1, 4), axis=1, count=bits)).tobytes() if bits else b""
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
-    each = np.zeros((n, 32), np.uint8)
-    each[:, 32 - bits :] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
-    return np.packbits(each, axis=1).view(">u4").ravel().astype(np.uint32)
+    left = np.zeros((n, 4), np.uint8)
+    left[:, : -(-bits // 8)] = np.packbits(np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits), axis=1)
+    return (left.view(">u4").ravel().astype(np.uint64) >> np.uint64(32 - bits)).astype(np.uint32)
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,11 +295,10 @@ def write_token_files(
             doc_ids, counts, held, size = [], [], [], 0
 
         for batch in batches:
-            batch_ids, texts = batch.column(0).to_pylist(), text_list(batch.column(1))
-            for begin, end in slices(texts, min(block_ids, 2_000_000)):
-                own, ends = encode(texts[begin:end], closing)
+            for some in text_parts(batch, 1, min(block_ids, 2_000_000)):
+                own, ends = encode(text_list(some.column(1)), closing)
                 n = np.diff(np.concatenate([[0], ends]))
-                doc_ids += batch_ids[begin:end]
+                doc_ids += some.column(0).to_pylist()
                 counts += n.tolist()
                 held.append(own)
                 size += len(own)
