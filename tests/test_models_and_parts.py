@@ -173,3 +173,17 @@ def test_only_a_batch_of_texts_becomes_strings():
     a, b = pa.array(["x"] * 7), pa.array(["y"] * 7)
     assert [(len(p), len(q)) for p, q in models._by(3, a, b)] == [(3, 3), (3, 3), (1, 1)] and not list(models._by(3, a[:0]))
     assert next(models._by(3, a))[0].buffers()[2].address == a.buffers()[2].address  # no copy
+
+
+def test_a_part_is_written_once(spark, paragraphs, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    path, calls, write = work_path(spark, "similar"), [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: calls.append(a) or write(self, *a, **b))
+    for _ in range(2):
+        found = stored_run(paragraphs, path, "cosine", 0.9)
+    assert len(calls) == 2 and found.count() > 0
+    assert os.listdir(path.removeprefix("file://")) == ["method=cosine"]
+    replace_part(spark.createDataFrame([], SIMILAR), path, "method", "cosine")
+    replace_part(found.where("false"), path, "method", "cosine")
+    assert stored(spark, path, SIMILAR).count() == 0 and os.listdir(path.removeprefix("file://")) == []

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.session import discard, drop_path, materialize
+from webloom.session import drop_path
 
 
 def part_path(path: str, by: str, value: str) -> str:
@@ -28,22 +30,33 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return found.select(*spark.createDataFrame([], schema).columns)
 
 
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(source), path(target)):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def replace_part(rows: DataFrame, path: str, by: str, value: str) -> None:
     """Put ``rows`` in the place of the partition ``by = value`` of the table at ``path``.
 
     The rows are computed to the end before anything is touched: a run that fails leaves the table as it was, and a run may
-    read the table that it changes. Spark then writes them beside the table and moves them in when all tasks are through.
-    Running twice gives what running once gives. Rows of another partition, or of none, raise. No rows empty the partition.
+    read the table that it changes. They are written once, into a hidden folder of the table, and counted on the way; that
+    folder takes the partition's place when all tasks are through. Running twice gives what running once gives. Rows of
+    another partition, or of none, raise. No rows empty the partition.
     """
     spark = rows.sparkSession
     folder = part_path(path, by, value)
-    ready = materialize(rows, "part")
-    n, strange = ready.agg(F.count("*"), F.count_if(~F.col(by).eqNullSafe(F.lit(value)))).first()
-    if strange:
-        discard(ready)
-        raise ValueError(f"{strange} rows do not belong to {by}={value}")
-    if n:
-        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-    else:
+    ready = f"{path.rstrip('/')}/.{by}-{uuid.uuid4().hex}"
+    seen = Observation()
+    counted = rows.observe(seen, F.count("*").alias("n"), F.count_if(~F.col(by).eqNullSafe(F.lit(value))).alias("strange"))
+    try:
+        counted.drop(by).write.parquet(ready)
+        found = seen.get  # nothing, where the plan is known to have no rows
+        n, strange = found.get("n", 0), found.get("strange", 0)
+        if strange:
+            raise ValueError(f"{strange} rows do not belong to {by}={value}")
         drop_path(spark, folder)
-    discard(ready)
+        if n:
+            _move(spark, ready, folder)
+    finally:
+        drop_path(spark, ready)
