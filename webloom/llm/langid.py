@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.columns import text_list, with_computed
+from webloom.llm.tokens import forget_encoders
 from webloom.session import materialize, ship
 
 UNDECIDED = "und"
@@ -183,6 +184,7 @@ def identify(docs: DataFrame, net: ByteNet, text_col: str = "text", names: tuple
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few MB, whatever the data
 
     def make():
+        forget_encoders()
         own = shared.value
 
         def compute(texts):

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.llm.columns import give_back, text_list
-from webloom.llm.tokens import encoder, slices
+from webloom.llm.columns import give_back, text_list, text_parts
+from webloom.llm.tokens import encoder
 from webloom.session import materialize, ship
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -52,12 +52,11 @@ def token_pieces(
         encode = encoder(vocabulary).encode
         closing = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), text_list(batch.column(1))
-            for begin, end in slices(texts):
-                ids, ends = encode(texts[begin:end], closing)
+            for part in text_parts(batch, 1, 4_000_000):
+                ids, ends = encode(text_list(part.column(1)), closing)
                 ids = ids.astype("<u4", copy=False)
                 rows, at = [], 0
-                for doc_id, to in zip(doc_ids[begin:end], ends.tolist()):
+                for doc_id, to in zip(part.column(0).to_pylist(), ends.tolist()):
                     own = ids[at:to]
                     at = to
                     for k, (a, n) in enumerate(cut(len(own), capacity)):
