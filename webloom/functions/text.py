@@ -237,12 +237,28 @@ FOR_EMBEDDING = (
 )
 
 
-def embedding_text(text: Column) -> Column:
-    """Without control characters, addresses and French telephone numbers; runs of marks become one full stop."""
-    out = F.coalesce(text, F.lit(""))
-    for pattern, plain in FOR_EMBEDDING:
+#: The same as SQL's patterns read them: words, their ends and white space are ASCII, and an address is found in one pass.
+_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+FOR_EMBEDDING_ASCII = (
+    FOR_EMBEDDING[0],
+    (r"[ \t\n\f\r]+", " "),
+    FOR_EMBEDDING[2],
+    (rf"{_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}{_EDGE}", ""),
+    *FOR_EMBEDDING[5:],
+)
+#: What SQL trims: spaces of any width.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def embedding_text(text: Column, ascii_only: bool = False) -> Column:
+    """Without control characters, addresses and French telephone numbers; runs of marks become one full stop.
+
+    With ``ascii_only`` the rows are those of SQL: letters with accents end a word, and a missing text stays missing.
+    """
+    out = text if ascii_only else F.coalesce(text, F.lit(""))
+    for pattern, plain in FOR_EMBEDDING_ASCII if ascii_only else FOR_EMBEDDING:
         out = F.regexp_replace(out, pattern, plain)
-    return strip(out)
+    return F.btrim(out, F.lit(SPACES)) if ascii_only else strip(out)
 
 
 def summary_stats(text: Column, digits: int = 2) -> dict[str, Column]:
