@@ -1,11 +1,13 @@
 """What the workers do not hold of the toxicity models is looked up, so that their size changes no score."""
 
 import random
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from webloom.llm import toxicity
 
 
@@ -37,3 +39,13 @@ def test_scores_of_the_whole_models(corpus, words, pairs):
     assert np.std([wanted[i] for i in ids]) > 0.1
     texts = [r["text"] for r in docs.where("doc_id < 9").orderBy("doc_id").collect()]
     assert np.allclose(small.scores(texts), [wanted[i] for i in range(9)], rtol=1e-12)
+
+
+def test_the_pipeline_drops_the_same_rows(spark, tmp_path, corpus, monkeypatch):
+    docs = corpus.drop("toxic").withColumn("lang", F.lit("aa")).withColumn("a.b", F.col("doc_id")).withColumn("_more", F.lit("x"))
+    corpus.select("doc_id", "toxic", F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = lambda: sorted(map(tuple, corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()), key=lambda r: (r[0], r[1] or ""))
+    wanted = rows()
+    monkeypatch.setattr(toxicity, "train", partial(toxicity.train, most_words=10, most_pairs=10))
+    got = rows()
+    assert got == wanted and 700 < len(got) < 1150 and len(got[0]) == 5
